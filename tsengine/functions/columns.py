@@ -24,6 +24,12 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(F.coalesce(c, F.lit(low)), F.lit(high)), F.lit(low))
 
 
+def display(c: Column, digits: int) -> Column:
+    """Round for export, in decimal, so that noise below 1e-9 never decides a half."""
+    exact = F.round(c.try_cast("decimal(28,9)"), digits).cast("double")
+    return F.coalesce(exact, F.round(c, digits))
+
+
 def banded(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     """First label whose condition holds."""
     head, *rest = rules

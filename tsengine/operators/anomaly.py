@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsengine.functions.columns import any_of, banded, safe_divide
+from tsengine.functions.columns import any_of, banded, display, safe_divide
 from tsengine.schema import CORE_VARIABLES, DEFAULTS, SERIES, present
 
 ZSCORE, FOREST, COMBINED = "anomaly_zscore", "anomaly_iforest", "anomaly_combined"
@@ -85,7 +85,7 @@ def threshold_band(
 def anomaly_days(df: DataFrame, keys=SERIES) -> DataFrame:
     """Flagged days with two variables, rounded for export."""
     return df.filter(COMBINED).select(
-        *keys, "date", *[F.round(c, 2).alias(c) for c in present(df, ("temperature", "precipitation"))]
+        *keys, "date", *[display(F.col(c), 2).alias(c) for c in present(df, ("temperature", "precipitation"))]
     )
 
 
@@ -103,7 +103,7 @@ def anomaly_summary(df: DataFrame, value: str = "temperature", keys=SERIES) -> D
         *counts,
     )
     share = safe_divide(F.col("total_anomaly_days") * 100.0, F.col("total_rows"))
-    return out.withColumn("anomaly_percentage", F.round(share, 2))
+    return out.withColumn("anomaly_percentage", display(share, 2))
 
 
 def deviation_card(summary: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsengine.functions.columns import banded
+from tsengine.functions.columns import banded, display
 from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES, present
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -53,7 +53,7 @@ def monthly_feed(df: DataFrame, keys=SERIES) -> DataFrame:
     """Monthly means of four variables, rounded for export."""
     names = present(df, ("temperature", "precipitation", "humidity", "solar_radiation"))
     monthly = monthly_aggregates(df, names, keys)
-    return monthly.select(*keys, "year", "month", *[F.round(c, 2).alias(c) for c in names])
+    return monthly.select(*keys, "year", "month", *[display(F.col(c), 2).alias(c) for c in names])
 
 
 def annual_aggregates(df: DataFrame, values=VARIABLES, keys=SERIES) -> DataFrame:

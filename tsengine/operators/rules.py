@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions import texts
-from tsengine.functions.columns import banded, clip, codes, safe_divide
+from tsengine.functions.columns import banded, clip, codes, display
+from tsengine.operators.trend import forecast_divergence
 from tsengine.schema import DEFAULTS, SERIES
 
 
@@ -69,34 +70,34 @@ def executive_kpis(
     c = F.col
     averages = averages.select(
         *keys,
-        F.round("temperature_mean", 2).alias("avg_temperature"),
-        F.round("temperature_max", 2).alias("max_temperature"),
-        F.round("temperature_min", 2).alias("min_temperature"),
-        F.round("precipitation_mean", 2).alias("avg_precipitation"),
+        display(F.col("temperature_mean"), 2).alias("avg_temperature"),
+        display(F.col("temperature_max"), 2).alias("max_temperature"),
+        display(F.col("temperature_min"), 2).alias("min_temperature"),
+        display(F.col("precipitation_mean"), 2).alias("avg_precipitation"),
     )
     trends = trends.filter(c("variable") == "temperature").select(
         *keys,
-        F.round("trend_per_decade", 3).alias("warming_rate_per_decade"),
-        F.round("r_squared", 4).alias("historical_trend_r_squared"),
+        display(F.col("trend_per_decade"), 3).alias("warming_rate_per_decade"),
+        display(F.col("r_squared"), 4).alias("historical_trend_r_squared"),
         c("p_value").alias("historical_trend_p_value"),
     )
     anomalies = anomalies.select(*keys, c("total_anomaly_days").alias("anomaly_days"), "anomaly_percentage")
     forecasts = forecasts.select(
         *keys,
-        F.round("trend_per_decade", 3).alias("forecast_trend_per_decade"),
-        F.round("trend_r_squared", 4).alias("forecast_trend_r_squared"),
+        display(F.col("trend_per_decade"), 3).alias("forecast_trend_per_decade"),
+        display(F.col("trend_r_squared"), 4).alias("forecast_trend_r_squared"),
         c("trend_p_value").alias("forecast_trend_p_value"),
         "trend_consistency_ratio",
-        F.round("hist_trend", 3).alias("historical_trend_per_decade"),
+        display(F.col("hist_trend"), 3).alias("historical_trend_per_decade"),
         "forecast_class",
         "classification_reasons",
         "recommended_action",
         c("reliability_label").alias("forecast_reliability"),
         c("reliability_score").alias("forecast_reliability_score"),
         "reliability_factors",
-        F.round("r_squared", 4).alias("model_r_squared"),
+        display(F.col("r_squared"), 4).alias("model_r_squared"),
         c("n_folds").alias("validation_n_folds"),
-        *[F.round(f"avg_{m}", 4).alias(f"validation_avg_{m}") for m in ("rmse", "mae", "mape", "r_squared")],
+        *[display(F.col(f"avg_{m}"), 4).alias(f"validation_avg_{m}") for m in ("rmse", "mae", "mape", "r_squared")],
         c("best_model").alias("benchmark_best_model"),
         c("use_primary").alias("benchmark_use_hw"),
         c("recommendation").alias("benchmark_recommendation"),
@@ -315,10 +316,8 @@ def report_warnings(kpis: DataFrame) -> DataFrame:
     return kpis.withColumn("report_warnings", codes(rules))
 
 
-def divergence_warnings(kpis: DataFrame, variable: str = "Temperature") -> DataFrame:
+def divergence_warnings(kpis: DataFrame, variable: str = "Temperature", keys=SERIES) -> DataFrame:
     """Rule code and text where the forecast trend leaves the historical one."""
-    from tsengine.operators.trend import forecast_divergence
-
     hist, fc = F.col("historical_trend_per_decade"), F.col("forecast_trend_per_decade")
     share = F.abs(F.try_divide(fc, hist) - 1.0) * 100
     name = F.lit(variable.lower())
@@ -330,7 +329,7 @@ def divergence_warnings(kpis: DataFrame, variable: str = "Temperature") -> DataF
         code == "TREND_DIVERGENCE_MINOR",
         F.format_string(texts.DIVERGENCE["TREND_DIVERGENCE_MINOR"], hist, fc, name, share),
     )
-    return kpis.withColumns({"type": code, "details": text}).filter(F.col("type").isNotNull())
+    return kpis.select(*keys, code.alias("type"), text.alias("details")).filter(F.col("type").isNotNull())
 
 
 def rule_catalogue(spark) -> DataFrame:

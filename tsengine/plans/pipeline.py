@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsengine.functions.columns import safe_divide, total
+from tsengine.functions.columns import display, safe_divide, total
 from tsengine.operators import anomaly, eda, features, forecast, isolation, quality, rules, trend
 from tsengine.operators.order import date_spine
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, Settings, present
@@ -107,17 +107,17 @@ def feeds(
     span = df.groupBy(*keys).agg(
         F.count("*").alias("data_points"),
         F.struct(F.min(DATE).alias("start"), F.max(DATE).alias("end")).alias("date_range"),
-        F.round(F.avg("temperature"), 2).alias("avg_temp"),
-        F.round(F.sum("precipitation"), 2).alias("total_precip"),
+        display(F.avg("temperature"), 2).alias("avg_temp"),
+        display(F.sum("precipitation"), 2).alias("total_precip"),
         F.count_if(anomaly.COMBINED).alias("anomaly_days"),
     )
     daily = features.systematic_sample(df.select(*keys, DATE, *present(df, CORE_VARIABLES)), keys=keys)
-    rounded = [F.round(name, 2).alias(name) for name in present(df, CORE_VARIABLES)]
+    rounded = [display(F.col(name), 2).alias(name) for name in present(df, CORE_VARIABLES)]
     thinned = features.thin(forecast_rows, keys=keys)
     bounds = ("forecast", "forecast_upper", "forecast_lower")
     # At most 730 thinned rows per series.
     rows = thinned.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(DATE, *[F.round(b, 2).alias(b) for b in bounds]))).alias("data")
+        F.sort_array(F.collect_list(F.struct(DATE, *[display(F.col(b), 2).alias(b) for b in bounds]))).alias("data")
     )
     metadata = F.struct(
         "forecast_class",
