@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.schema import DATE, DEFAULTS, SERIES
+from tsengine.session import spread
 
 
 def odd_at_least(x: float) -> int:
@@ -165,6 +166,6 @@ def stl(
     )
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, DATE, value))
-    return daily.groupBy(*keys).applyInPandas(
+    return spread(daily, *keys).groupBy(*keys).applyInPandas(
         run, f"{schema}, trend double, seasonal_component double, residual double"
     )

@@ -24,7 +24,12 @@ PRIMARY = "holt_winters"
 
 
 def readings(df: DataFrame, value: str = "temperature", keys=SERIES) -> DataFrame:
-    """Present readings as ``y`` with their rank ``pos`` and the series length ``_n``."""
+    """Present readings as ``y`` with their rank ``pos`` and the series length ``_n``.
+
+    Already ranked readings pass through, so that callers can rank once and write the result.
+    """
+    if {"y", POS, ROWS} <= set(df.columns):
+        return df
     rows = df.filter(F.col(value).isNotNull()).select(*keys, DATE, F.col(value).alias("y"))
     return with_position(rows, keys)
 

@@ -346,10 +346,10 @@ def run_forecast(
     independent tasks; their results are written once and read by every later step.
     """
     steps = horizon_years * 365
-    ranked = evaluate.readings(daily, value, keys)
+    ranked = materialize(evaluate.readings(daily, value, keys))
     models = materialize(smoothing.fit_smoothing(daily, value, wanted=season, keys=keys))
-    folds = materialize(evaluate.validate_smoothing(daily, value, keys))
-    predictions = evaluate.baseline_predictions(daily, value, season=season, smoothing_too=True, keys=keys)
+    folds = materialize(evaluate.validate_smoothing(ranked, value, keys))
+    predictions = evaluate.baseline_predictions(ranked, value, season=season, smoothing_too=True, keys=keys)
     benchmark = materialize(
         evaluate.rank_models(evaluate.accuracy(predictions, keys=(*keys, "model")), keys)
     )

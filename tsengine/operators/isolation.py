@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 from tsengine.functions.columns import total
 from tsengine.operators.anomaly import FOREST
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, present
-from tsengine.session import materialize
+from tsengine.session import materialize, spread
 
 EULER_GAMMA = 0.5772156649015329
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -126,7 +126,7 @@ def fit_forest(
     key = [F.col(k) for k in (*keys, DATE)]
     scaled = complete.select(*key, *[_scaled(c, moments).alias(f"_f{j}") for j, c in enumerate(names)])
     drawn = _samples(scaled, n, trees, size, seed, key)
-    nodes = drawn.groupBy("tree").applyInPandas(_grow(len(names), height, seed), NODES).toPandas()
+    nodes = spread(drawn, "tree").groupBy("tree").applyInPandas(_grow(len(names), height, seed), NODES).toPandas()
     return _pack(nodes, names, size, height), moments
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tsengine.operators.order import POS
 from tsengine.schema import DATE, DEFAULTS, SERIES
+from tsengine.session import spread
 
 MODEL = (
     "n int, season_length int, alpha double, beta double, gamma double, phi double, "
@@ -158,7 +159,7 @@ def fit_smoothing(
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + MODEL
     fit = _fit_group(wanted, divisor, trend, season, damped, fixed, list(keys))
-    return daily.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(daily, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def forecast_value(h: Column) -> Column:

@@ -785,7 +785,7 @@ kpi0 AS (SELECT series_id, avg_temperature, max_temperature, min_temperature, av
 kpis AS (SELECT *, historical_trend_p_value < 0.05 AS hist_significant,
  CASE WHEN historical_trend_p_value < 0.05 THEN '{texts.SIGNIFICANCE[0]}' ELSE '{texts.SIGNIFICANCE[1]}' END AS hist_sig_text,
  trend_consistency_ratio < 2 AS fc_consistent, CASE WHEN trend_consistency_ratio < 2 THEN {quoted(_same)}
- ELSE {filled(_differs, 'trend_consistency_ratio')} END AS fc_consistency_text FROM ({risk('SELECT * FROM kpi0')}))"""
+ ELSE {filled(_differs, disp('trend_consistency_ratio', 2))} END AS fc_consistency_text FROM ({risk('SELECT * FROM kpi0')}))"""
 _KPI = (*_ASSESS, FLAGGED, ANOMALIES, SPAN, HALVES, KPIS)
 KPI_DOUBLES = (
     "avg_temperature max_temperature min_temperature avg_precipitation warming_rate_per_decade historical_trend_r_squared historical_trend_p_value "
@@ -835,8 +835,8 @@ Q["insights"] = chain(*_KPI) + rows_of(
         ("true", f"CASE WHEN {_rate} > 0.2 THEN {filled(_in['strong_trend'], _rate, 'hist_sig_text', _r2, _p, P_TEXT)} "
                  f"ELSE {filled(_in['trend'], _rate, 'hist_sig_text', _r2, P_TEXT)} END"),
         ("true", filled(_in["precipitation"], "avg_precipitation")),
-        ("true", filled(_in["anomalies"], "anomaly_days", "anomaly_percentage")),
-        ("true", f"CASE WHEN {_ratio} > 2 THEN {filled(_in['divergent'], 'forecast_horizon_years', _fc, f'abs({_ratio} - 1) * 100', _hist, 'forecast_trend_r_squared')} "
+        ("true", filled(_in["anomalies"], "anomaly_days", disp("anomaly_percentage", 1))),
+        ("true", f"CASE WHEN {_ratio} > 2 THEN {filled(_in['divergent'], 'forecast_horizon_years', _fc, disp(f'abs({_ratio} - 1) * 100', 0), _hist, 'forecast_trend_r_squared')} "
                  f"ELSE {filled(_in['consistent'], 'forecast_horizon_years', _fc, _hist, 'forecast_trend_r_squared')} END"),
     ),
     "insight",
@@ -857,7 +857,7 @@ Q["recommendations"] = chain(*_KPI) + rows_of(
         (f"{_ratio} > 2", _rec["divergent"]),
         (f"{_ratio} > 2", _rec["divergent_review"]),
         (f"{_ratio} > 1.5 AND {_ratio} <= 2", _rec["moderate_divergence"]),
-        ("anomaly_percentage > 5", filled(texts.RECOMMENDATIONS["anomalies"], "anomaly_percentage")),
+        ("anomaly_percentage > 5", filled(texts.RECOMMENDATIONS["anomalies"], disp("anomaly_percentage", 1))),
         ("true", _rec["coverage"]),
         ("true", _rec["update"]),
     ),
@@ -866,14 +866,14 @@ Q["recommendations"] = chain(*_KPI) + rows_of(
 )
 _cw, _rw = texts.CONSISTENCY_WARNINGS, texts.REPORT_WARNINGS
 Q["consistency_warnings"] = chain(*_KPI) + "SELECT series_id, array_to_string(" + listed(
-    (f"{_rate} <> 0 AND {_ratio} > 3", filled(_cw["divergence"], _fc, _rate, _ratio, "3e0")),
+    (f"{_rate} <> 0 AND {_ratio} > 3", filled(_cw["divergence"], _fc, _rate, disp(_ratio, 2), "3e0")),
     (f"{_rate} = 0 AND {_fc} <> 0", filled(_cw["zero_history"], _fc)),
-    (f"{_high} AND anomaly_percentage < 2", filled(_cw["risk_high"], "risk_category", "anomaly_percentage")),
+    (f"{_high} AND anomaly_percentage < 2", filled(_cw["risk_high"], "risk_category", disp("anomaly_percentage", 1))),
     (f"{_rate} > 0.3 AND risk_score < 0.3", filled(_cw["risk_low_score"], _rate, "risk_score")),
-    ("risk_category = 'Low' AND anomaly_percentage > 8", filled(_cw["low_risk_anomalies"], "anomaly_percentage")),
+    ("risk_category = 'Low' AND anomaly_percentage > 8", filled(_cw["low_risk_anomalies"], disp("anomaly_percentage", 1))),
     (f"{_high} AND {_p} > 0.05", filled(_cw["high_risk_trend"], "risk_category", _p)),
     (f"forecast_trend_r_squared < 0.1 AND {_ratio} > 2", filled(_cw["low_forecast_r2"], "forecast_trend_r_squared")),
-    ("avg_temperature < -10 OR avg_temperature > 60", filled(_cw["implausible"], "avg_temperature")),
+    ("avg_temperature < -10 OR avg_temperature > 60", filled(_cw["implausible"], disp("avg_temperature", 1))),
 ) + ", ' | ') AS consistency_warnings, array_to_string(" + listed(
     ("trend_dampening_applied", filled(_rw["dampened"], "original_trend_per_decade", _fc)),
 ) + ", ' | ') AS report_warnings FROM kpis"

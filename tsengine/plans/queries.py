@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +24,7 @@ from tsengine.operators import (
 from tsengine.operators.order import POS, ROWS, date_spine, framed, with_position
 from tsengine.plans import pipeline
 from tsengine.schema import DATE, SERIES, VARIABLES
-from tsengine.session import checkpoint_folder, materialize
+from tsengine.session import materialize, scratch_path
 from tsengine.sources import files, payloads, tables
 
 STEPS = 3 * 365
@@ -58,10 +56,6 @@ def imputed(spark: SparkSession, folder: str) -> DataFrame:
     return features.impute_linear(materialize(spine(spark, folder)), regular=True)
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/tsengine/{uuid.uuid4().hex}"
-
-
 # -- sources ------------------------------------------------------------------------------
 
 
@@ -70,20 +64,20 @@ def daily_panel(spark, folder):
 
 
 def csv_round_trip(spark, folder):
-    path = _folder(spark)
+    path = scratch_path(spark)
     files.write_csv(tables.shipment_panel(spark, folder), path)
     return shown(files.read_csv(spark, path))
 
 
 def json_round_trip(spark, folder):
-    path = _folder(spark)
+    path = scratch_path(spark)
     rows = date_spine(panel(spark, folder))
     files.write_json(rows, path)
     return shown(files.read_json(spark, path, rows.schema))
 
 
 def table_round_trip(spark, folder):
-    path = _folder(spark)
+    path = scratch_path(spark)
     files.write_table(tables.shipment_panel(spark, folder), path)
     kept = files.read_table(spark, path).filter(F.col("year").between(1996, 1998))
     return shown(kept.select(*SERIES, DATE, "year", *VARIABLES))
@@ -383,40 +377,44 @@ def seasonal_forecast(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return steps, forecast.residual_spread(seasonal_fit(rows), "y", "fitted")
 
 
+def ranked_readings(spark, folder) -> DataFrame:
+    return materialize(evaluate.readings(panel(spark, folder)))
+
+
 def naive_forecast(spark, folder):
-    rows = panel(spark, folder)
-    steps = forecast.naive_steps(evaluate.readings(rows), STEPS)
-    return shown(forecast.with_interval(steps, seasonal_forecast(rows)[1]))
+    ranked = ranked_readings(spark, folder)
+    return shown(forecast.with_interval(forecast.naive_steps(ranked, STEPS), seasonal_forecast(ranked)[1]))
 
 
 def seasonal_naive_forecast(spark, folder):
-    return shown(forecast.with_interval(*seasonal_forecast(panel(spark, folder))))
+    return shown(forecast.with_interval(*seasonal_forecast(ranked_readings(spark, folder))))
 
 
 def linear_forecast(spark, folder):
-    rows = panel(spark, folder)
-    return shown(forecast.linear_forecast(evaluate.readings(rows), seasonal_forecast(rows)[1], STEPS))
+    ranked = ranked_readings(spark, folder)
+    return shown(forecast.linear_forecast(ranked, seasonal_forecast(ranked)[1], STEPS))
 
 
 def forecast_overlay(spark, folder):
     rows = panel(spark, folder)
-    return shown(joins.overlay(rows, forecast.with_interval(*seasonal_forecast(rows))))
+    ahead = forecast.with_interval(*seasonal_forecast(materialize(evaluate.readings(rows))))
+    return shown(joins.overlay(rows, ahead))
 
 
 def forecast_trend(spark, folder):
-    return shown(forecast.forecast_trend(seasonal_forecast(panel(spark, folder))[0]), 8)
+    return shown(forecast.forecast_trend(seasonal_forecast(ranked_readings(spark, folder))[0]), 8)
 
 
 def seasonal_summary(rows: DataFrame) -> DataFrame:
     """Summary row per series with the seasonal-naive model as the primary one."""
-    steps, residuals = seasonal_forecast(rows)
-    steps, residuals = materialize(steps), materialize(residuals)
+    ranked = materialize(evaluate.readings(rows))
+    steps, residuals = seasonal_forecast(ranked)
     trends = forecast.historical_trend(rows).join(forecast.forecast_trend(steps), "series_id")
     trends = materialize(trends)
     checks = forecast.quality_checks(forecast.with_interval(steps, residuals), trends)
-    in_sample = evaluate.accuracy(seasonal_fit(rows), "y", "fitted").drop("rows")
-    folds = evaluate.summarize_folds(evaluate.validate_linear(rows), trends)
-    choice = evaluate.choose_model(baseline_ranks(rows), primary="seasonal_naive")
+    in_sample = evaluate.accuracy(seasonal_fit(ranked), "y", "fitted").drop("rows")
+    folds = evaluate.summarize_folds(evaluate.validate_linear(ranked), trends)
+    choice = evaluate.choose_model(baseline_ranks(ranked), primary="seasonal_naive")
     return materialize(
         trends.join(in_sample, "series_id")
         .join(folds, "series_id")
@@ -431,8 +429,7 @@ def _joined(name: str) -> Column:
 
 def forecast_quality(spark, folder):
     rows = panel(spark, folder)
-    steps, residuals = seasonal_forecast(rows)
-    steps = materialize(steps)
+    steps, residuals = seasonal_forecast(materialize(evaluate.readings(rows)))
     trends = forecast.historical_trend(rows).join(forecast.forecast_trend(steps), "series_id")
     checks = forecast.quality_checks(forecast.with_interval(steps, residuals), trends)
     return shown(checks.withColumn("quality_issues", _joined("quality_issues")))

@@ -43,6 +43,34 @@ def materialize(df: DataFrame) -> DataFrame:
     the table's size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/tsengine/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark).rstrip('/')}/tsengine/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, for tables of this application."""
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has materialized; results that read them end here."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the groups over all task slots before a CPU-bound grouped function.
+
+    Adaptive execution merges small partitions by their bytes; a model fit is small in
+    bytes and long in time, so the partition number is fixed here. The grouping that
+    follows reuses this partitioning: there is no second exchange.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)

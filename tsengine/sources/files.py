@@ -43,14 +43,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, files_per_year: int = 8) -> None:
-    """Parquet partitioned by year; each year is spread over several files by series."""
+def write_table(df: DataFrame, path: str) -> None:
+    """Parquet partitioned by year.
+
+    The rebalance hint lets adaptive execution split large years and merge small ones, so
+    file sizes stay even at any volume and no year is one task.
+    """
     out = df if "year" in df.columns else df.withColumn("year", F.year(DATE))
-    salt = F.pmod(F.xxhash64("series_id", DATE), F.lit(files_per_year))
     (
-        out.withColumn("_salt", salt)
-        .repartition("year", "_salt")
-        .drop("_salt")
+        out.hint("rebalance", "year")
         .sortWithinPartitions("year", "series_id", DATE)
         .write.mode("overwrite")
         .partitionBy("year")
