@@ -74,17 +74,16 @@ def correlation(df: DataFrame, values=CORE_VARIABLES, keys=SERIES) -> DataFrame:
         spread = F.sqrt(F.var_samp(F.when(both, F.col(x))) * F.var_samp(F.when(both, F.col(y))))
         return F.try_divide(F.covar_samp(x, y), spread)
 
-    pairs = list(combinations(names, 2)) if len(names) > 1 else []
+    if len(names) < 2:
+        empty = df.select(*keys).limit(0)
+        return empty.selectExpr(*keys, "'' as var_x", "'' as var_y", "0D as corr")
+    pairs = list(combinations(names, 2))
     wide = df.groupBy(*keys).agg(
         *[pearson(x, y).alias(f"{x}|{y}") for x, y in pairs],
-        *[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in names if pairs],
+        *[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in names],
     )
     cells = [(x, y, f"{x}|{y}") for x, y in pairs]
-    cells += [(y, x, f"{x}|{y}") for x, y in pairs] + [(c, c, f"{c}|{c}") for c in names if pairs]
-    if not cells:
-        return wide.select(
-            *keys, F.lit("").alias("var_x"), F.lit("").alias("var_y"), F.lit(0.0).alias("corr")
-        ).limit(0)
+    cells += [(y, x, f"{x}|{y}") for x, y in pairs] + [(c, c, f"{c}|{c}") for c in names]
     rows = F.array(
         *[
             F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), F.col(f"`{n}`").alias("corr"))
