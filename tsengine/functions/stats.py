@@ -37,7 +37,8 @@ def ols_columns(fit: Column) -> dict[str, Column]:
         return F.when(usable, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
 
     r = F.try_divide(fit["sxy"], F.sqrt(fit["sxx"] * fit["syy"]))
-    r = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    # least and greatest skip nulls, so an undefined r must not reach them.
+    r = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     unexplained = F.greatest(F.lit(1.0) - r * r, F.lit(0.0))
     std_err = F.sqrt(F.try_divide(unexplained * fit["syy"], fit["sxx"] * (fit["n"] - 2)))
     slope = guarded(fit["slope"])

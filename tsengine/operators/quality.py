@@ -191,7 +191,7 @@ def quality_score(df: DataFrame, keys=SERIES, full_span_days: int = 3650) -> Dat
         "completeness": remaining(safe_divide(F.col("missing_cells") * 100.0, cells)),
         "consistency": remaining(duplicates * 10.0),
         "validity": remaining(safe_divide(F.col("outlier_cells") * 100.0, cells)),
-        "temporal_coverage": F.least(F.lit(100.0), F.col("span_days") * 100.0 / full_span_days),
+        "temporal_coverage": F.least(F.lit(100.0), F.coalesce("span_days", F.lit(0)) * 100.0 / full_span_days),
     }
     scored = rows.withColumns(measures)
     accuracy = (F.col("completeness") + F.col("consistency") + F.col("validity")) / 3

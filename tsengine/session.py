@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -24,6 +25,11 @@ def local_session(cpus: int | str = "*", app: str = "tsengine") -> SparkSession:
     )
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tsengine-")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +37,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tsengine-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def materialize(df: DataFrame) -> DataFrame:
