@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import any_of, banded, display, safe_divide
+from tsengine.operators.joins import attach
 from tsengine.schema import CORE_VARIABLES, DEFAULTS, SERIES, present
 
 ZSCORE, FOREST, COMBINED = "anomaly_zscore", "anomaly_iforest", "anomaly_combined"
@@ -14,14 +15,13 @@ ZSCORE, FOREST, COMBINED = "anomaly_zscore", "anomaly_iforest", "anomaly_combine
 def with_moments(df: DataFrame, values, keys=SERIES, population: bool = False) -> DataFrame:
     """Mean and deviation of each value beside every row of its series.
 
-    The moments have one row per series. No broadcast is forced: the planner uses one when
-    the measured size allows, and splits a hot series otherwise.
+    The moments have one row per series; ``attach`` spreads the rows of a hot one.
     """
     spread = F.stddev_pop if population else F.stddev_samp
     moments = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in values], *[spread(c).alias(f"_std_{c}") for c in values]
     )
-    return df.join(moments, list(keys))
+    return attach(df, moments, keys)
 
 
 def zscore(c: str) -> Column:
@@ -50,7 +50,7 @@ def iqr_flags(
     quartiles = df.groupBy(*keys).agg(q.alias("_q"))
     reach = (F.col("_q")[1] - F.col("_q")[0]) * multiplier
     outside = (F.col(value) < F.col("_q")[0] - reach) | (F.col(value) > F.col("_q")[1] + reach)
-    return df.join(quartiles, list(keys)).select(
+    return attach(df, quartiles, keys).select(
         *df.columns, F.coalesce(outside, F.lit(False)).alias("anomaly_iqr")
     )
 

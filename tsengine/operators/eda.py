@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import banded, display
+from tsengine.operators.joins import attach
 from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES, present
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def quantiles(c: str, approx: bool = False) -> Column:
-    """Quartiles; exact and interpolated unless ``approx``."""
+    """Quartiles; exact and interpolated unless ``approx``.
+
+    The exact form keeps a count per distinct value, which one reading per day bounds. Rows
+    of a finer grain take ``approx``, whose state is of fixed size.
+    """
     points = F.array(*[F.lit(q) for q in QUARTILES])
     return F.percentile_approx(c, points, F.lit(10000)) if approx else F.percentile(c, points)
 
@@ -189,7 +194,7 @@ def box_statistics(
     group = [*keys, "month"]
     daily = df.withColumn("month", F.month(DATE)).select(*group, *names)
     quartiles = daily.groupBy(*group).agg(*[quantiles(c).alias(f"_q_{c}") for c in names])
-    joined = daily.join(quartiles, group)
+    joined = attach(daily, quartiles, group)
 
     def box(c: str) -> Column:
         q = F.col(f"_q_{c}")
@@ -291,7 +296,8 @@ def station_rollup(summary: DataFrame, stations: DataFrame, keys=SERIES) -> Data
 def histogram(df: DataFrame, value: str, bins: int = 50, keys=SERIES) -> DataFrame:
     """Counts in equal bins between the extremes; the top edge belongs to the last bin."""
     edges = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(edges, list(keys))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    rows = attach(rows, edges, keys)
     slot = F.floor(F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
     bin_no = F.least(F.coalesce(slot, F.lit(0)) + 1, F.lit(bins))
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tsengine.functions.columns import safe_divide
 from tsengine.functions.stats import NORMAL_975, normal_quantile, ols
 from tsengine.operators import smoothing
+from tsengine.operators.joins import attach
 from tsengine.operators.order import POS, ROWS, framed, with_position
 from tsengine.schema import DATE, DEFAULTS, SERIES
 
@@ -224,7 +225,7 @@ def autocorrelation(df: DataFrame, value: str, max_lag: int = 60, keys=SERIES) -
     """
     ranked = readings(df, value, keys)
     mean = ranked.groupBy(*keys).agg(F.avg("y").alias("_mean"))
-    centred = ranked.join(mean, list(keys)).withColumn("_c", F.col("y") - F.col("_mean"))
+    centred = attach(ranked, mean, keys).withColumn("_c", F.col("y") - F.col("_mean"))
     lags = range(max_lag + 1)
     lagged = framed(
         centred.select(*keys, DATE, POS, ROWS, "_c"),
@@ -261,7 +262,7 @@ def quantile_pairs(df: DataFrame, value: str, keys=SERIES) -> DataFrame:
     edges = present.groupBy(*keys).agg(F.min("sample").alias("_lo"), F.max("sample").alias("_hi"))
     slots = 64
     slot = F.floor(F.try_divide((F.col("sample") - F.col("_lo")) * slots, F.col("_hi") - F.col("_lo")))
-    ranged = present.join(edges, list(keys)).withColumn("_slot", F.coalesce(slot, F.lit(0)))
+    ranged = attach(present, edges, keys).withColumn("_slot", F.coalesce(slot, F.lit(0)))
     sizes = ranged.groupBy(*keys, "_slot").agg(F.count("*").alias("_size"))
     series = Window.partitionBy(*keys)
     earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

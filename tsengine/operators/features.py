@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.functions.columns import season_of
+from tsengine.operators.joins import attach
 from tsengine.operators.order import POS, ROWS, carried, day_index, framed, with_position
 from tsengine.schema import DATE, DEFAULTS, SERIES, present
 
@@ -125,7 +126,7 @@ def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -
             }
         ]
 
-    lagged = framed(df, columns, before=widest, keys=keys, index=F.col("_at")).join(edges, list(keys))
+    lagged = attach(framed(df, columns, before=widest, keys=keys, index=F.col("_at")), edges, keys)
 
     def value(c: str, k: int) -> Column:
         # The valid value at or after the lagged row, as long as its own lag falls inside the series.
@@ -140,7 +141,7 @@ def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -
 def elapsed_days(df: DataFrame, keys=SERIES) -> DataFrame:
     """Days since the first date of the series."""
     origin = df.groupBy(*keys).agg(F.min(DATE).alias("_origin"))
-    return df.join(origin, list(keys)).withColumn("elapsed", F.datediff(DATE, "_origin")).drop("_origin")
+    return attach(df, origin, keys).withColumn("elapsed", F.datediff(DATE, "_origin")).drop("_origin")
 
 
 def systematic_sample(df: DataFrame, target: int = 1000, keys=SERIES) -> DataFrame:

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from tsengine.schema import DATE, SERIES, VARIABLES
 
 
+SALTS = 8
+
+
+def attach(df: DataFrame, small: DataFrame, keys=SERIES, salts: int = SALTS) -> DataFrame:
+    """Inner join of one row per key to all rows of that key, with no hot key.
+
+    The one-row side is repeated per salt and the rows carry the number of the partition
+    they come from, so even a key with a third of all rows is spread over many tasks. No
+    broadcast is forced: the planner picks one only when the measured size allows it.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def merge_sources(primary: DataFrame, fallback: DataFrame, keys=SERIES) -> DataFrame:
     """Full outer join by series and day; each variable takes the primary's value if it has one.
 

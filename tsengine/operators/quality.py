@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tsengine.functions.columns import nan_to_null, safe_divide, snake_case, total
 from tsengine.operators.features import numeric_columns
+from tsengine.operators.joins import attach
 from tsengine.schema import DATE, DEFAULTS, PANEL_SCHEMA, REQUIRED, SERIES, VARIABLES, present
 
 
@@ -141,8 +142,7 @@ def duplicate_rows(df: DataFrame, keys=SERIES) -> DataFrame:
 def outlier_counts(df: DataFrame, threshold: float = 3.0, keys=SERIES) -> DataFrame:
     """Readings with |z| above the threshold, per series and numeric column.
 
-    The moments have one row per series and rejoin the rows; the planner broadcasts them
-    only after their size is known, and splits hot series otherwise.
+    The moments have one row per series; ``attach`` spreads the rows of a hot one.
     """
     names = numeric_columns(df, keys)
     moments = df.groupBy(*keys).agg(
@@ -154,7 +154,7 @@ def outlier_counts(df: DataFrame, threshold: float = 3.0, keys=SERIES) -> DataFr
         z = F.abs(F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_std_{c}")))
         return F.count_if(z > threshold).alias(f"_outliers_{c}")
 
-    wide = df.join(moments, list(keys)).groupBy(*keys).agg(
+    wide = attach(df, moments, keys).groupBy(*keys).agg(
         F.count("*").alias("total_rows"), *[far(c) for c in names]
     )
     return _long(wide, keys, names, {"_outliers_": "outliers"})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tsengine.functions.columns import codes
 from tsengine.functions.stats import ols, ols_columns, trend_p_value
+from tsengine.operators.joins import attach
 from tsengine.schema import DATE, SERIES, present
 
 
@@ -59,7 +60,7 @@ def trend_line(df: DataFrame, value: str = "temperature", keys=SERIES) -> DataFr
     line = F.when(F.col("degenerate"), F.col("mean")).otherwise(
         F.col("slope") * F.datediff(DATE, "_origin") + F.col("intercept")
     )
-    return df.join(small, list(keys)).select(*df.columns, line.alias("trend"))
+    return attach(df, small, keys).select(*df.columns, line.alias("trend"))
 
 
 def significance_codes(p_value: Column, r_squared: Column) -> Column:

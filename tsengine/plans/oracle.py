@@ -99,6 +99,9 @@ Q["table_round_trip"] = chain(PANEL) + out(
     ALL, "year",
 )
 
+Q["rename_columns"] = """SELECT o_orderstatus AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS BIGINT) AS orders
+ FROM orders GROUP BY ALL"""
+
 # -- quality ------------------------------------------------------------------------------
 
 _broken = ", ".join(
@@ -626,6 +629,16 @@ Q["linear_forecast"] = chain(PANEL, RANKED, FITTED, SPREAD, STEPS) + out(
     ),
     BOUNDS,
 )
+Q["forecast_feed"] = chain(PANEL, RANKED, FITTED, SPREAD, SEASONAL) + out(
+    f"""SELECT series_id, date, {', '.join(f'{disp(b, 2)} AS {b}' for b in BOUNDS.split())} FROM
+ (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM ({bounded('SELECT * FROM steps')})) WHERE i % 3 = 0""",
+    BOUNDS,
+)
+Q["daily_feed"] = chain(PANEL, RANKED) + out(
+    f"""SELECT series_id, date, {', '.join(f'{disp(v, 2)} AS {v}' for v in CORE)} FROM ({_placed})
+ WHERE pos % greatest(1, n // least(1000, n)) = 0""",
+    " ".join(CORE),
+)
 Q["forecast_overlay"] = chain(PANEL, RANKED, FITTED, SPREAD, SEASONAL) + out(
     f"""SELECT series_id, date, 'history' AS kind, temperature AS value, CAST(NULL AS DOUBLE) AS forecast_upper, CAST(NULL AS DOUBLE) AS forecast_lower FROM panel
  UNION ALL SELECT series_id, date, 'forecast', forecast, forecast_upper, forecast_lower FROM ({bounded('SELECT * FROM steps')})""",

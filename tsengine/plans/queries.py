@@ -23,7 +23,7 @@ from tsengine.operators import (
 )
 from tsengine.operators.order import POS, ROWS, date_spine, framed, with_position
 from tsengine.plans import pipeline
-from tsengine.schema import DATE, SERIES, VARIABLES
+from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES
 from tsengine.session import materialize, scratch_path
 from tsengine.sources import files, payloads, tables
 
@@ -95,6 +95,14 @@ def parse_array_payload(spark, folder):
     return shown(payloads.parse_array_payload(documents, keys=keys).drop("payload_year"))
 
 
+def rename_columns(spark, folder):
+    """Status counts of orders under canonical names."""
+    rows = tables.table(spark, folder, "orders").select("o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"))
+    names = {"o_orderstatus": "series_id", "o_orderdate": "date"}
+    counts = payloads.canonical_columns(rows, names).groupBy("series_id", "date").agg(F.count("*").alias("orders"))
+    return shown(counts)
+
+
 # -- quality ------------------------------------------------------------------------------
 
 
@@ -395,6 +403,19 @@ def linear_forecast(spark, folder):
     return shown(forecast.linear_forecast(ranked, seasonal_forecast(ranked)[1], STEPS))
 
 
+def forecast_feed(spark, folder):
+    """The seasonal forecast as exported: thinned and rounded."""
+    ahead = features.thin(forecast.with_interval(*seasonal_forecast(ranked_readings(spark, folder))))
+    bounds = ("forecast", "forecast_upper", "forecast_lower")
+    return shown(ahead.select("series_id", DATE, *[display(F.col(b), 2).alias(b) for b in bounds]))
+
+
+def daily_feed(spark, folder):
+    """The daily rows as exported: sampled and rounded."""
+    rows = features.systematic_sample(panel(spark, folder).select("series_id", DATE, *CORE_VARIABLES))
+    return shown(rows.select("series_id", DATE, *[display(F.col(v), 2).alias(v) for v in CORE_VARIABLES]))
+
+
 def forecast_overlay(spark, folder):
     rows = panel(spark, folder)
     ahead = forecast.with_interval(*seasonal_forecast(materialize(evaluate.readings(rows))))
@@ -580,6 +601,7 @@ QUERIES = {
     "table_round_trip": table_round_trip,
     "parse_map_payload": parse_map_payload,
     "parse_array_payload": parse_array_payload,
+    "rename_columns": rename_columns,
     "convert_types": convert_types,
     "date_bounds": date_bounds,
     "quality_report": quality_report,
@@ -647,6 +669,8 @@ QUERIES = {
     "naive_forecast": naive_forecast,
     "seasonal_naive_forecast": seasonal_naive_forecast,
     "linear_forecast": linear_forecast,
+    "forecast_feed": forecast_feed,
+    "daily_feed": daily_feed,
     "forecast_overlay": forecast_overlay,
     "forecast_trend": forecast_trend,
     "forecast_quality": forecast_quality,

@@ -96,6 +96,11 @@ def parse_array_payload(
     )
 
 
+def canonical_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Source column names to canonical ones; columns outside the map keep their names."""
+    return df.withColumnsRenamed(columns)
+
+
 def map_payloads(panel: DataFrame, keys=SERIES, columns: dict[str, str] = MAP_PAYLOAD_COLUMNS) -> DataFrame:
     """Daily rows to map payload documents, one per key and calendar year."""
 
