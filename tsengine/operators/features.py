@@ -107,13 +107,14 @@ def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -
     names = list(spec)
     kept = df.columns
     df, index, extra = _order_index(df, regular, keys)
-    df = carried(df.withColumn("_at", index), names, F.col("_at"), keys)
-    edges = df.groupBy(*keys).agg(
+    placed = df.withColumn("_at", index)
+    edges = placed.groupBy(*keys).agg(
         F.min("_at").alias("_from"),
         F.max("_at").alias("_to"),
-        *[F.min(f"_next_at_{c}").alias(f"_head_at_{c}") for c in names],
-        *[F.min_by(f"_next_{c}", f"_next_at_{c}").alias(f"_head_{c}") for c in names],
+        *[F.min(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_head_at_{c}") for c in names],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_head_{c}") for c in names],
     )
+    df = carried(placed, names, F.col("_at"), keys)
     widest = max(k for lags in spec.values() for k in lags)
 
     def columns(window):
