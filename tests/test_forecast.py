@@ -43,7 +43,12 @@ def test_series_without_folds_gets_zeros(series_frame):
 
 def test_benchmark(series_frame):
     y = list(seasonal(1500, noise=0.5))
-    predicted = evaluate.baseline_predictions(series_frame({"a": y}), smoothing_too=True).toPandas()
+    ranked = evaluate.readings(series_frame({"a": y}))
+    sets = evaluate.training_sets(ranked)
+    sizes = {r.fit: (r["count"], r.divisor) for r in sets.groupBy("fit", "divisor").count().collect()}
+    assert sizes == {0: (1500, 0), -1: (1135, 3), 1: (730, 3), 2: (1095, 3)}
+    models = smoothing.fit_smoothing(sets.filter("fit = -1"), "y", divisor="divisor")
+    predicted = evaluate.baseline_predictions(ranked, models=models).toPandas()
     assert set(predicted["model"]) == set(evaluate.MODELS) and (predicted.groupby("model").size() == 365).all()
     by = predicted.sort_values("pos").groupby("model")["predicted"].apply(list)
     assert set(by["naive"]) == {y[1134]}

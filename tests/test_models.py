@@ -58,7 +58,7 @@ def test_season_length_of_short_series():
     assert smoothing.season_length(3653, 365) == 365
     assert smoothing.season_length(600, 365) == 150
     assert smoothing.season_length(20, 365) == 7
-    assert smoothing.season_length(900, 365, 3) == 300
+    assert smoothing.season_length(900, 365, 3) == 300 and smoothing.season_length(3000, 365, 3) == 365
 
 
 def test_unusable_series_is_marked(series_frame):

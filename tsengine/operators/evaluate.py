@@ -123,13 +123,44 @@ def validate_linear(df: DataFrame, value: str = "temperature", keys=SERIES, **bo
     return accuracy(tested, "y", "predicted", by)
 
 
-def validate_smoothing(df: DataFrame, value: str = "temperature", keys=SERIES, **bounds) -> DataFrame:
-    """Accuracy per fold of exponential smoothing; every (series, fold) is its own task."""
+# Numbers of the fits that are not folds, and the cap of the season in partial training sets.
+FULL_FIT, HOLDOUT_FIT, SEASON_CAP = 0, -1, 3
+
+
+def training_sets(
+    ranked: DataFrame, test: int = 365, season: int = DEFAULTS.season_length, keys=SERIES
+) -> DataFrame:
+    """Readings repeated per fit they train: the whole series, the holdout's part, every fold.
+
+    One pass and one shuffle then serve all fits; ``divisor`` holds each fit's season cap.
+    """
+    n = F.col(ROWS)
+
+    def part(fit, end, cap):
+        return F.struct(
+            fit.cast("int").alias("fit"), end.cast("bigint").alias("end"), F.lit(cap).alias("divisor")
+        )
+
+    whole = part(F.lit(FULL_FIT), n, 0)
+    holdout = part(F.lit(HOLDOUT_FIT), n - holdout_days(n, test, season), SEASON_CAP)
+    folds = F.transform(fold_bounds(n), lambda f: part(f["fold"], f["train_end"], SEASON_CAP))
+    rows = ranked.withColumn("_part", F.explode(F.concat(F.array(whole, holdout), folds)))
+    rows = rows.filter(F.col(POS) < F.col("_part.end"))
+    return rows.select(*keys, "_part.fit", "_part.divisor", DATE, "y")
+
+
+def validate_smoothing(
+    df: DataFrame, value: str = "temperature", keys=SERIES, models: DataFrame | None = None, **bounds
+) -> DataFrame:
+    """Accuracy per fold of exponential smoothing; every (series, fold) is its own task.
+
+    ``models`` are fits per (series, fold) made before.
+    """
     folds = in_folds(readings(df, value, keys), keys, **bounds)
     by = (*keys, "fold")
-    models = smoothing.fit_smoothing(
-        folds.filter(F.col("role") == "train"), "y", divisor=3, keys=by
-    )
+    if models is None:
+        train = folds.filter(F.col("role") == "train")
+        models = smoothing.fit_smoothing(train, "y", divisor=SEASON_CAP, keys=by)
     horizon = bounds.get("test", DEFAULTS.validation_test_days)
     predicted = smoothing.forecast(models, horizon, by)
     tested = folds.filter(F.col("role") == "test").join(predicted, [*by, "step"])
@@ -150,9 +181,12 @@ def holdout_days(n: Column, test: int = 365, season: int = 365) -> Column:
 
 
 def baseline_predictions(
-    df: DataFrame, value: str = "temperature", test: int = 365, season: int = 365, smoothing_too: bool = False, keys=SERIES
+    df: DataFrame, value: str = "temperature", test: int = 365, season: int = 365, models: DataFrame | None = None, keys=SERIES
 ) -> DataFrame:
-    """Predictions of every model for the last days of each series, in long form."""
+    """Predictions of every baseline for the last days of each series, in long form.
+
+    ``models``, smoothing fits of the part before those days, add the primary model.
+    """
     ranked = readings(df, value, keys).withColumn("_test", holdout_days(F.col(ROWS), test, season))
     ranked = ranked.withColumn("_train", F.col(ROWS) - F.col("_test"))
     in_train = F.col(POS) < F.col("_train")
@@ -170,13 +204,12 @@ def baseline_predictions(
     earlier = ranked.filter(in_train).select(*keys, F.col(POS).alias("_source"), F.col("y").alias("seasonal_naive"))
     wide = tested.join(earlier, [*keys, "_source"], "left").join(stats, list(keys))
     wide = wide.withColumn("linear_trend", F.col("_slope") * x + F.col("_intercept"))
-    models = [m for m in MODELS if smoothing_too or m != PRIMARY]
-    if smoothing_too:
-        fits = smoothing.fit_smoothing(ranked.filter(in_train), "y", divisor=3, keys=keys)
-        ahead = smoothing.forecast(fits, test, keys).withColumnRenamed("forecast", PRIMARY)
+    names = [m for m in MODELS if models is not None or m != PRIMARY]
+    if models is not None:
+        ahead = smoothing.forecast(models, test, keys).withColumnRenamed("forecast", PRIMARY)
         step = (F.col(POS) - F.col("_train") + 1).cast("int")
         wide = wide.withColumn("step", step).join(ahead, [*keys, "step"], "left")
-    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in models])
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in names])
     return wide.select(*keys, DATE, POS, F.col("y").alias("actual"), F.inline(rows))
 
 

@@ -342,14 +342,20 @@ def run_forecast(
     """Fit, validate, benchmark, forecast, check, score, classify and choose, for all series.
 
     ``daily`` is a gap-free panel. Returns the tables ``forecast``, ``summary``, ``folds``,
-    ``benchmark`` and ``fitted``. The three fits per series (full, folds, holdout) run as
-    independent tasks; their results are written once and read by every later step.
+    ``benchmark`` and ``fitted``. All fits of all series (full, folds, holdout) are groups of
+    one shuffle; their results are written once and read by every later step.
     """
     steps = horizon_years * 365
     ranked = materialize(evaluate.readings(daily, value, keys))
-    models = materialize(smoothing.fit_smoothing(daily, value, wanted=season, keys=keys))
-    folds = materialize(evaluate.validate_smoothing(ranked, value, keys))
-    predictions = evaluate.baseline_predictions(ranked, value, season=season, smoothing_too=True, keys=keys)
+    sets = evaluate.training_sets(ranked, season=season, keys=keys)
+    fits = materialize(
+        smoothing.fit_smoothing(sets, "y", wanted=season, divisor="divisor", keys=(*keys, "fit"))
+    )
+    models = fits.filter(F.col("fit") == evaluate.FULL_FIT).drop("fit")
+    fold_models = fits.filter(F.col("fit") > evaluate.FULL_FIT).withColumnRenamed("fit", "fold")
+    folds = materialize(evaluate.validate_smoothing(ranked, value, keys, fold_models))
+    holdout = fits.filter(F.col("fit") == evaluate.HOLDOUT_FIT).drop("fit")
+    predictions = evaluate.baseline_predictions(ranked, value, season=season, models=holdout, keys=keys)
     benchmark = materialize(
         evaluate.rank_models(evaluate.accuracy(predictions, keys=(*keys, "model")), keys)
     )

@@ -22,8 +22,8 @@ MODEL = (
 )
 
 
-def season_length(n: int, wanted: int, divisor: int | None = None) -> int:
-    """The wanted season, shortened for short series; ``divisor`` first caps it at n / divisor."""
+def season_length(n: int, wanted: int, divisor: int = 0) -> int:
+    """The wanted season, shortened for short series; a ``divisor`` first caps it at n / divisor."""
     m = min(wanted, n // divisor) if divisor else wanted
     return m if n >= 2 * m else max(7, n // 4)
 
@@ -105,11 +105,11 @@ def search(y, m, trend, season, damped):
     return best, best_sse
 
 
-def _fit_group(wanted, divisor, trend, season, damped, fixed, keys):
+def _fit_group(wanted, trend, season, damped, fixed, keys):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
         y = pdf["_y"].to_numpy(dtype=float)
-        m = fixed["m"] if fixed else season_length(len(y), wanted, divisor)
+        m = fixed["m"] if fixed else season_length(len(y), wanted, int(pdf["_divisor"].iloc[0]))
         out = {k: pdf[k].iloc[0] for k in keys}
         positive = not ("mul" in (trend, season) and (y <= 0).any())
         usable = positive and len(y) >= (2 * m if season else 2)
@@ -137,7 +137,7 @@ def fit_smoothing(
     df: DataFrame,
     value: str = "temperature",
     wanted: int = DEFAULTS.season_length,
-    divisor: int | None = None,
+    divisor: int | str = 0,
     trend: str | None = "add",
     season: str | None = "add",
     damped: bool = False,
@@ -147,18 +147,22 @@ def fit_smoothing(
     """One model row per key; missing values are skipped.
 
     ``keys`` may name more than the series, such as the fold, so that all fits of all
-    series run side by side. ``fixed`` gives parameters instead of searching them.
+    series run side by side. ``divisor`` is a number, or the column that holds it per fit.
+    ``fixed`` gives parameters instead of searching them.
     """
-    order = F.col(DATE)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, order.alias("_at"), F.col(value).alias("_y"))
+    cap = F.lit(divisor) if isinstance(divisor, int) else F.col(divisor)
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(DATE).alias("_at"), F.col(value).alias("_y"), cap.alias("_divisor")
+    )
     # The day-grain guard: at most one reading per key and day reaches a task.
     repeated = F.raise_error(F.lit("duplicate date in series"))
     daily = rows.groupBy(*keys, "_at").agg(
-        F.when(F.count("*") > 1, repeated).otherwise(F.first("_y")).alias("_y")
+        F.when(F.count("*") > 1, repeated).otherwise(F.first("_y")).alias("_y"),
+        F.first("_divisor").alias("_divisor"),
     )
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + MODEL
-    fit = _fit_group(wanted, divisor, trend, season, damped, fixed, list(keys))
+    fit = _fit_group(wanted, trend, season, damped, fixed, list(keys))
     return spread(daily, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "tsengine") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
