@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsengine.functions.columns import safe_divide
 from tsengine.functions.stats import NORMAL_975, normal_quantile, ols
 from tsengine.operators import smoothing
 from tsengine.operators.joins import attach

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tsengine.functions.columns import total
 from tsengine.operators.anomaly import FOREST
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, present
 from tsengine.session import materialize, spread

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import display, safe_divide, total
-from tsengine.operators import anomaly, eda, features, forecast, isolation, quality, rules, trend
+from tsengine.operators import anomaly, decompose, eda, features, forecast, isolation, quality, rules, trend
 from tsengine.operators.order import date_spine
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, Settings, present
 from tsengine.session import materialize
@@ -37,8 +37,6 @@ def explore(df: DataFrame, keys=SERIES) -> dict[str, DataFrame]:
 
 def analyze_trends(df: DataFrame, minimum_days: int = 730, keys=SERIES) -> dict[str, DataFrame]:
     """Trends with warnings, lines, and the decomposition of series that are long enough."""
-    from tsengine.operators import decompose
-
     trends = trend.linear_trend(df, keys=keys)
     lengths = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= minimum_days)
     long_enough = df.join(lengths.select(*keys), list(keys), "left_semi")

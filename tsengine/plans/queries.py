@@ -21,7 +21,7 @@ from tsengine.operators import (
     smoothing,
     trend,
 )
-from tsengine.operators.order import POS, ROWS, date_spine, framed, with_position
+from tsengine.operators.order import date_spine, framed, with_position
 from tsengine.plans import pipeline
 from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES
 from tsengine.session import materialize, scratch_path
