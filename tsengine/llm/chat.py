@@ -26,7 +26,7 @@ from tsengine.llm.common import table
 
 BLOCK, TEXT, TURN, END = "<|block|>", "<|text|>", "<|turn|>", "<|end|>"
 #: What follows the first character of a control string, of this template and of common others.
-_REST = r"(?=\||/?s>|/?INST\]|/?<SYS>)"
+_REST = r"(?=\||/?s>|/?INST\]|</?SYS>)"
 LOSS_ROLE = "assistant"
 
 
@@ -142,3 +142,25 @@ def op10_chat_format(spark, folder: str) -> DataFrame:
         sha256(F.col("learnt")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: Lengths follow from the template: an escape adds one character.
+OP10_SQL = r"""
+WITH raw AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM raw),
+lengths AS (
+    SELECT *, length(role) + len(regexp_extract_all(role, '[<\[]~*(\||/?s>|/?INST\]|</?SYS>)')) AS role_chars,
+           length(text) + len(regexp_extract_all(text, '[<\[]~*(\||/?s>|/?INST\]|</?SYS>)')) AS text_chars,
+           (lag(role) OVER (PARTITION BY conv_id ORDER BY k)) IS DISTINCT FROM role OR k = 1 AS opens
+    FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN opens THEN 9 + role_chars + 8 + 7 ELSE 8 END)::BIGINT AS formatted_chars
+FROM lengths GROUP BY conv_id
+"""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsengine.llm.common import crc_of_id, map_texts, table
+from tsengine.llm.common import crc_of_id, map_texts, small_batches, table
 from tsengine.llm.hashing import text_bytes
 from tsengine.llm.labelled import class_weights, in_fold, logistic_fit, sigmoid, training_rows
 
@@ -128,6 +128,20 @@ def score(docs: DataFrame, model: Quality, text: str = "text", keep: list[str] |
     return map_texts(docs, text, [T.StructField("score", T.DoubleType())], build, keep)
 
 
+def accepted(docs: DataFrame, model: Quality, least: float, text: str = "text") -> DataFrame:
+    """The rows that score at least ``least``: all columns, rows as they are."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        scorer = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at)) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = train(docs, labels, ~in_fold(4, 2))
