@@ -144,7 +144,7 @@ def sampled(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
         last = most <= chunk
         place = F.lit(0)
         if not last:
-            units, at = numbered(units, [F.col("number")], "place")
+            units, at, _ = numbered(units, [F.col("number")], "place")
             place = F.floor(F.col(at) / chunk)
         groups = units.groupBy("source_id", place.alias("chunk"))
         units = written(groups.applyInPandas(_cube(last), schema))
@@ -173,8 +173,8 @@ def decide(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     units = units.withColumn("sure", F.floor(expected + F.lit(_EDGE)).cast("long"))
     chance = F.greatest(expected - F.col("sure"), F.lit(0.0))
     units = units.withColumn("chance", F.when(chance < 1e-6, 0.0).otherwise(chance))
-    units, _ = numbered(units, [name(c) for c in columns], "number")
-    units = written(units)
+    units, _, total = numbered(units, [name(c) for c in columns], "number")
+    units = written(units.drop(total))
     open_ = units.filter("chance > 0").select(F.col("source_id").cast("int"), "number", "size", "chance")
     choice = sampled(open_, chunk).withColumnRenamed("chance", "taken one")
     units = units.join(choice, "number", "left")
