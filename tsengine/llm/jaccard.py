@@ -43,7 +43,9 @@ SKETCH_BITS, SLICE_BITS = 20, 14
 #: Largest prefix group that gives all its pairs at once.
 SMALL = 16
 #: Parts of the hash space counted for the suffix filter.
-PARTS = 16
+PARTS = 128
+#: Up to so many row keys (8 bytes each) go to all tasks; more meet their documents in a shuffle.
+SENT_KEYS = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, hash_words: Words, width: int) -> list[np.ndarray]:
@@ -246,11 +248,14 @@ def suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
     return rows.filter(most * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
 
 
-def class_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, wanted: DataFrame, seed: int, width: int) -> DataFrame:
-    """``class`` and its ``shingles`` for the wanted classes, from the text of one document each."""
-    keys = classes.join(wanted, "class", "left_semi").select("row_key")
+def class_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, pairs: DataFrame, seed: int, width: int) -> DataFrame:
+    """``class`` and its ``shingles`` for the classes of the pairs, from the text of one document each."""
+    wanted = pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class")))
+    keys = written(classes.join(wanted, "class", "left_semi").select("row_key"))
+    if keys.count() <= SENT_KEYS:
+        keys = F.broadcast(keys)
     rows = docs.select(_rows_key(doc_id, text).alias("row_key"), name(text).alias("text"))
-    rows = rows.join(keys, "row_key", "left_semi").select("text")
+    rows = rows.join(keys, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
     fields = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
 
     def build():
@@ -267,7 +272,7 @@ def class_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, want
         return work
 
     sets = map_texts(rows, "text", fields, build, keep=[]).select(_class_key(seed).alias("class"), "shingles")
-    return written(sets.groupBy("class").agg(F.first("shingles").alias("shingles")))
+    return written(sets)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,16 +299,13 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     few, many = groups.filter(F.col("members") <= SMALL), groups.filter(F.col("members") > SMALL)
     pairs = _pairs(few, few, percent).unionByName(_central_pairs(groups, percent)).distinct()
     pairs = written(suffix_filtered(pairs, classes, percent))
-    wanted = pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class")))
-    wanted = wanted.unionByName(many.select("class")).distinct()
-    sets = class_sets(docs, doc_id, text, classes, wanted, seed, width)
-    links = written(verified(pairs, sets, percent))
+    links = written(verified(pairs, class_sets(docs, doc_id, text, classes, pairs, seed, width), percent))
 
     roots = components(links)
     apart = many.join(roots.withColumnRenamed("node", "class"), "class", "left")
     apart = apart.withColumn("root", F.coalesce("root", "class")).select("shingle", "class", "n", "position", "root")
     rest = written(suffix_filtered(_pairs(apart, apart, percent, apart=True), classes, percent))
-    more = written(verified(rest, sets, percent))
+    more = written(verified(rest, class_sets(docs, doc_id, text, classes, rest, seed, width), percent))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
