@@ -55,12 +55,12 @@ def permuted(number: Column, n: Column, seed: int) -> Column:
 
 def shards(df: DataFrame, count: int, order: list[Column], seed: int = 17) -> DataFrame:
     """All columns of ``df`` and ``shard`` (0..count-1) and ``slot`` (from 0 in each shard)."""
-    df = df.select(*[name(c) for c in df.columns if c.lower() not in ("shard", "slot")])
+    keep = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows, number, total = numbered(df, order)
     place = fresh(rows, "place")
     rows = rows.withColumn(place, permuted(name(number), name(total), seed))
     shard, slot = (name(place) % count).cast("int"), F.floor(name(place) / count).cast("long")
-    return rows.select(*[name(c) for c in df.columns], shard.alias("shard"), slot.alias("slot"))
+    return rows.select(*[name(c) for c in keep], shard.alias("shard"), slot.alias("slot"))
 
 
 def text_size(text: str) -> Column:

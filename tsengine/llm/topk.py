@@ -27,6 +27,8 @@ K = 5
 #: Vectors and queries of a block: the bound of a task's group.
 VECTORS, QUERIES = 16_384, 2048
 FIRST_DEPTH, GROWTH = 8, 4
+#: Stands for a null id inside the search, so that null sorts last.
+NO_ID = 2**63 - 1
 
 
 def components(vectors: DataFrame, vec_id: str, vector: str, scale: float = 256.0) -> DataFrame:
@@ -92,14 +94,13 @@ def _search(k: int):
     nothing = pd.DataFrame({"query": [], "vec_id": [], "rid": [], "score": []}).astype("int64")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right) or len(right["x"].iloc[0]) == 0 and not len(right):
+        if not len(left) or not len(right):
             return nothing
         right = right.sort_values("rid", ignore_index=True)
         dim = len(right["x"].iloc[0])
         x = np.array(right["x"].tolist(), np.int64).reshape(len(right), dim)
         queries = np.array(left["x"].tolist(), np.int64).reshape(len(left), dim)
-        null = np.iinfo(np.int64).max
-        ids = right["vec_id"].fillna(null).to_numpy(np.int64) if right["vec_id"].isna().any() else right["vec_id"].to_numpy(np.int64)
+        ids = right["vec_id"].to_numpy(np.int64)
         lists = Lists(ids, x, int(np.abs(queries).max(initial=0)))
         place = {r: i for i, r in enumerate(right["rid"].tolist())}
         out = []
@@ -122,13 +123,13 @@ def top_k(rows: DataFrame, k: int = K, every: int = 50, vectors: int = VECTORS,
     deal = lambda count, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = asked.select("rid", "x", "dim", deal(below, 1).alias("q"), spread(right).alias("v"))
-    others = rows.select("rid", "vec_id", "x", "dim", spread(below).alias("q"), deal(right, 2).alias("v"))
+    others = rows.select("rid", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "x", "dim", spread(below).alias("q"), deal(right, 2).alias("v"))
     keys = ("dim", "q", "v")
     found = left.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_search(k), "query long, vec_id long, rid long, score long")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "rid")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     ids = asked.select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"))
-    vec_id = F.when(F.col("vec_id") != np.iinfo(np.int64).max, F.col("vec_id"))
+    vec_id = F.when(F.col("vec_id") != NO_ID, F.col("vec_id"))
     return ranked.join(ids, "query").select("query_id", "rank", vec_id.alias("vec_id"), "score")
 
 
