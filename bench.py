@@ -30,7 +30,6 @@ HEADLINE = (
     "correlation",
     "box_statistics",
     "linear_trend",
-    "seasonal_decomposition",
     "zscore_flags",
     "isolation_forest",
     "walk_forward_linear",

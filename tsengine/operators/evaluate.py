@@ -197,8 +197,9 @@ def baseline_predictions(
         F.regr_intercept(y, x).alias("_intercept"),
     )
     # Step h of the test part repeats the reading one season (or more) before it.
-    cycle = F.least(F.lit(season), F.col("_train"))
-    source = F.col("_train") - cycle + F.pmod(F.col(POS) - F.col("_train"), cycle)
+    # Without a training part there is no source, and every prediction is null.
+    cycle = F.greatest(F.least(F.lit(season), F.col("_train")), F.lit(1))
+    source = F.when(F.col("_train") > 0, F.col("_train") - cycle + F.pmod(F.col(POS) - F.col("_train"), cycle))
     tested = ranked.filter(~in_train).withColumn("_source", source)
     earlier = ranked.filter(in_train).select(*keys, F.col(POS).alias("_source"), F.col("y").alias("seasonal_naive"))
     wide = tested.join(earlier, [*keys, "_source"], "left").join(stats, list(keys))

@@ -70,20 +70,14 @@ def date_range(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def rolling_stages(spec, window: WindowSpec, strict: bool = False) -> list[dict[str, Column]]:
-    """Trailing means as differences of running sums: the cost of a row is independent of the width."""
-    running = window.rowsBetween(Window.unboundedPreceding, 0)
-    sums, backs, means = {}, {}, {}
+    """Trailing means over bounded frames: a reading matters only while it is inside the window."""
+    means = {}
     for c, widths in spec.items():
-        sums[f"_sum_{c}"] = F.coalesce(F.sum(c).over(running), F.lit(0.0))
-        sums[f"_count_{c}"] = F.count(c).over(running)
         for w in widths:
-            backs[f"_sum{w}_{c}"] = F.col(f"_sum_{c}") - F.lag(f"_sum_{c}", w, 0.0).over(window)
-            backs[f"_count{w}_{c}"] = F.col(f"_count_{c}") - F.lag(f"_count_{c}", w, 0).over(window)
-            least = w if strict else 1
-            means[f"{c}_ma{w}"] = F.when(
-                F.col(f"_count{w}_{c}") >= least, F.try_divide(f"_sum{w}_{c}", f"_count{w}_{c}")
-            )
-    return [sums, backs, means]
+            frame = window.rowsBetween(-(w - 1), 0)
+            mean = F.avg(c).over(frame)
+            means[f"{c}_ma{w}"] = F.when(F.count(c).over(frame) >= w, mean) if strict else mean
+    return [means]
 
 
 def rolling_means(

@@ -53,11 +53,15 @@ def horizon(models: DataFrame, steps: int) -> DataFrame:
 
 
 def linear_steps(history: DataFrame, steps: int, keys=SERIES) -> DataFrame:
-    """Straight line of ranked readings (``y``, ``pos``), continued for the given steps."""
+    """Straight line of ranked readings (``y``, ``pos``), continued for the given steps.
+
+    A series with one reading, which has no line, keeps its value.
+    """
     fit = evaluate.linear_model(history, keys)
-    length = history.groupBy(*keys).agg((F.max(POS) + 1).alias(ROWS))
-    value = F.col("slope") * (F.col(ROWS) + F.col("step") - 1) + F.col("intercept")
-    return horizon(fit.join(length, list(keys)), steps).select(*keys, "step", value.alias("forecast"))
+    length = history.groupBy(*keys).agg((F.max(POS) + 1).alias(ROWS), F.avg("y").alias("_mean"))
+    line = F.col("slope") * (F.col(ROWS) + F.col("step") - 1) + F.col("intercept")
+    value = F.coalesce(line, F.col("_mean"))
+    return horizon(length.join(fit, list(keys), "left"), steps).select(*keys, "step", value.alias("forecast"))
 
 
 def naive_steps(history: DataFrame, steps: int, keys=SERIES) -> DataFrame:
@@ -343,7 +347,8 @@ def run_forecast(
 
     ``daily`` is a gap-free panel. Returns the tables ``forecast``, ``summary``, ``folds``,
     ``benchmark`` and ``fitted``. All fits of all series (full, folds, holdout) are groups of
-    one shuffle; their results are written once and read by every later step.
+    one shuffle; their results are written once and read by every later step. A series whose
+    smoothing fit fails has the straight line as its forecast and ``failed`` in the summary.
     """
     steps = horizon_years * 365
     ranked = materialize(evaluate.readings(daily, value, keys))
@@ -362,9 +367,12 @@ def run_forecast(
     fitted = materialize(ranked.join(smoothing.fitted_values(models, keys), [*keys, POS], "left"))
     in_sample = evaluate.accuracy(fitted, "y", "fitted", keys)
     residuals = materialize(residual_spread(fitted, "y", "fitted", keys))
-    ahead = materialize(smoothing.forecast(models, steps, keys))
+    smoothed = materialize(smoothing.forecast(models, steps, keys))
+    unfitted = ranked.select(*keys).distinct().join(smoothed.select(*keys).distinct(), list(keys), "left_anti")
+    lines = linear_steps(ranked.join(unfitted, list(keys), "left_semi"), steps, keys)
+    ahead = smoothed.select(*keys, "step", "forecast").unionByName(lines.withColumn("step", F.col("step").cast(smoothed.schema["step"].dataType)))
     primary = with_interval(ahead, residuals, confidence, keys)
-    trends = historical_trend(daily, value, keys).join(forecast_trend(ahead, keys), list(keys))
+    trends = forecast_trend(ahead, keys).join(historical_trend(daily, value, keys), list(keys), "left")
     trends = materialize(trends)
     checks = quality_checks(primary, trends, floor, ceiling, keys=keys)
     choice = evaluate.choose_model(benchmark, keys=keys)
@@ -375,7 +383,10 @@ def run_forecast(
         .join(checks, list(keys))
         .join(residuals.select(*keys, "residual_std"), list(keys))
     )
-    summary = materialize(assess(summary).withColumn("forecast_horizon_years", F.lit(horizon_years)))
+    summary = assess(summary).withColumn("forecast_horizon_years", F.lit(horizon_years))
+    summary = summary.join(unfitted.withColumn("failed", F.lit(True)), list(keys), "left").na.fill(False, ["failed"])
+    switched = F.coalesce(F.col("used_linear_fallback"), F.lit(False)) | F.col("failed")
+    summary = materialize(summary.withColumn("used_linear_fallback", switched))
     linear = with_interval(linear_steps(ranked, steps, keys), residuals, confidence, keys)
     switched = summary.select(*keys, "used_linear_fallback")
     chosen = (

@@ -83,18 +83,11 @@ def _grow(features: int, height: int, seed: int):
 
 def _samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int, key: list[Column]) -> DataFrame:
     """Per tree, the ``sample`` rows of smallest hash."""
-    if n > trees * sample * 8:
-        # Many rows: every row belongs to one tree, and only a thin hashed slice is ranked.
-        keep = 4.0 * trees * sample / n
-        drawn = rows.withColumn("_priority", _unit_hash(seed, *key)).filter(F.col("_priority") < keep)
-        drawn = drawn.withColumn("tree", F.floor(_unit_hash(seed + 1, *key) * trees).cast("int"))
-    else:
-        # Few rows: each tree draws from all of them; at most 8 * trees^2 * sample pairs exist
-        # before the hash filter, which runs inside the same stage.
-        keep = min(1.0, 4.0 * sample / max(n, 1))
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("_priority", _unit_hash(seed, F.col("tree"), *key))
-        drawn = drawn.filter(F.col("_priority") < keep)
+    # The trees that may draw a row are found in its own hashes, so no row is copied to the others.
+    keep = min(1.0, 4.0 * sample / max(n, 1))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = rows.withColumn("tree", F.explode(F.filter(every, lambda t: _unit_hash(seed, t, *key) < keep)))
+    drawn = drawn.withColumn("_priority", _unit_hash(seed, F.col("tree"), *key))
     ranked = Window.partitionBy("tree").orderBy("_priority", *key)
     return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample)
 

@@ -110,7 +110,9 @@ def executive_kpis(
         "trend_dampening_applied",
         "forecast_horizon_years",
     )
-    return averages.join(trends, on).join(anomalies, on).join(forecasts, on).join(spans, on)
+    for part in (trends, anomalies, forecasts, spans):  # no series is lost for want of a part
+        averages = averages.join(part, on, "left")
+    return averages
 
 
 def report_metrics(kpis: DataFrame) -> DataFrame:

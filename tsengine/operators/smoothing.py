@@ -112,7 +112,8 @@ def _fit_group(wanted, trend, season, damped, fixed, keys):
         m = fixed["m"] if fixed else season_length(len(y), wanted, int(pdf["_divisor"].iloc[0]))
         out = {k: pdf[k].iloc[0] for k in keys}
         positive = not ("mul" in (trend, season) and (y <= 0).any())
-        usable = positive and len(y) >= (2 * m if season else 2)
+        m = max(m, 1)
+        usable = positive and (m >= 2 and len(y) >= 2 * m if season else len(y) >= 2)
         out.update(n=len(y), season_length=m, trend_kind=trend, season_kind=season, failed=not usable)
         if usable:
             if fixed:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import display, safe_divide, total
-from tsengine.operators import anomaly, decompose, eda, features, forecast, isolation, quality, rules, trend
+from tsengine.operators import anomaly, eda, features, forecast, isolation, quality, rules, trend
 from tsengine.operators.order import date_spine
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, Settings, present
 from tsengine.session import materialize
@@ -35,17 +35,14 @@ def explore(df: DataFrame, keys=SERIES) -> dict[str, DataFrame]:
     }
 
 
-def analyze_trends(df: DataFrame, minimum_days: int = 730, keys=SERIES) -> dict[str, DataFrame]:
-    """Trends with warnings, lines, and the decomposition of series that are long enough."""
+def analyze_trends(df: DataFrame, keys=SERIES) -> dict[str, DataFrame]:
+    """Trends with warnings, and lines."""
     trends = trend.linear_trend(df, keys=keys)
-    lengths = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= minimum_days)
-    long_enough = df.join(lengths.select(*keys), list(keys), "left_semi")
     return {
         "trends": trends,
         "warnings": rules.categorize(trend.trend_warnings(trends)),
         "temperature_line": trend.trend_line(df, "temperature", keys),
         "precipitation_line": trend.trend_line(df, "precipitation", keys),
-        "stl": decompose.stl(long_enough, keys=keys),
     }
 
 
@@ -85,7 +82,7 @@ def executive_summary(
     )
     trends = trend.linear_trend(df, keys=keys) if trends is None else trends
     kpis = rules.executive_kpis(averages, trends, anomalies, forecasts, eda.analysis_span(df, keys), keys)
-    kpis = kpis.join(eda.half_period_contrast(df, keys=keys), on).join(missing_share(df, keys), on)
+    kpis = kpis.join(eda.half_period_contrast(df, keys=keys), on, "left").join(missing_share(df, keys), on, "left")
     kpis = materialize(rules.with_risk(kpis))
     return rules.report_warnings(
         rules.consistency_warnings(rules.recommendations(rules.insights(rules.report_metrics(kpis))))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +24,14 @@ def local_session(cpus: int | str = "*", app: str = "tsengine") -> SparkSession:
     )
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tsengine-")
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset in local mode, the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialize(df: DataFrame) -> DataFrame:

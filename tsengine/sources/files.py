@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsengine.schema import DATE, PANEL_SCHEMA
+from tsengine.schema import DATE, PANEL_SCHEMA, REQUIRED, SERIES
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = PANEL_SCHEMA) -> DataFrame:
-    """CSV scan with a header and an explicit schema; a missing path raises."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = PANEL_SCHEMA, series: str = "series") -> DataFrame:
+    """CSV scan by column name: other orders and other columns in the file do not matter.
+
+    A missing path or required column raises; other absent columns are null. Without a
+    ``series_id`` the file is one series, named ``series``. Unreadable values are null.
+    """
+    text = read_csv_text(spark, path)
+    found = {c.strip().lower(): c for c in text.columns}
+    missing = [c for c in REQUIRED if c in schema.names and c not in found]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+    def column(field: T.StructField) -> Column:
+        if field.name in found:
+            return F.col("`" + found[field.name].replace("`", "``") + "`").try_cast(field.dataType)
+        return F.lit(series if field.name in SERIES else None).cast(field.dataType)
+
+    return text.select(*[column(f).alias(f.name) for f in schema])
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
