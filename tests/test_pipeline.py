@@ -5,6 +5,7 @@ import pytest
 from conftest import days, seasonal
 
 from tsengine import session
+from tsengine.operators import quality
 from tsengine.plans import pipeline
 from tsengine.schema import UNITS, VARIABLES, Settings, with_units
 
@@ -27,7 +28,7 @@ def result(spark):
 
 def test_features(result):
     df = result["features"]
-    assert df.count() == 2 * 2192 and df.filter("temperature is null").count() == 0
+    assert df.count() == 2 * 2192 - 1 and df.filter("temperature is null").count() == 0
     assert {"year", "season", "temperature_ma365", "precipitation_ma30", "temperature_lag30"} <= set(df.columns)
     assert df.filter("temperature_lag30 is null").count() == 0
 
@@ -59,8 +60,26 @@ def test_feeds(result, tmp_path):
     assert feeds["daily_trends"].filter("series_id = 'north'").count() == 1096
     places = {r.series_id: r for r in feeds["regional_map"].collect()}
     assert places["north"].name == "North" and places["south"].name is None and places["south"].anomaly_days > 0
-    metrics = feeds["dashboard_metrics"].first()
-    assert metrics.data_points == 2192 and str(metrics.date_range.start) == "2015-01-01"
+    metrics = {r.series_id: r for r in feeds["dashboard_metrics"].collect()}
+    assert {k: r.data_points for k, r in metrics.items()} == {"north": 2191, "south": 2192}
+    assert str(metrics["north"].date_range.start) == "2015-01-01"
+
+
+def test_rows_without_a_date_are_counted(result, spark):
+    assert {r.series_id: r.rejected_rows for r in result["rejected"].collect()} == {"north": 0, "south": 0}
+    texts = [("a", "2020-01-01"), ("a", "bad"), ("a", None), ("b", "never"), ("c", "2020-02-30")]
+    rows = quality.rejected_rows(spark.createDataFrame(texts, "series_id string, date string")).collect()
+    assert {r.series_id: (r.total_rows, r.rejected_rows) for r in rows} == {"a": (3, 2), "b": (1, 1), "c": (1, 1)}
+
+
+def test_gaps_are_not_filled_before_the_figures(series_frame):
+    """Every third day observed: lags and means run over the observed rows, none is added."""
+    rows = series_frame({"a": [float(v) for v in range(90)]}).filter("day(date) % 3 = 1")
+    out = pipeline.preprocess(rows, settings=Settings(rolling={"temperature": (2,)}, lags={"temperature": (1,)})).orderBy("date").collect()
+    values = [r.temperature for r in rows.orderBy("date").collect()]
+    assert [r.temperature for r in out] == values
+    assert [r.temperature_ma2 for r in out[1:]] == [(a + b) / 2 for a, b in zip(values, values[1:])]
+    assert [r.temperature_lag1 for r in out[1:]] == values[:-1] and "pos" not in out[0]
 
 
 def test_missing_share(series_frame):

@@ -127,7 +127,7 @@ FULL_FIT, HOLDOUT_FIT, SEASON_CAP = 0, -1, 3
 
 
 def training_sets(
-    ranked: DataFrame, test: int = 365, season: int = DEFAULTS.season_length, keys=SERIES
+    ranked: DataFrame, test: int = 365, keys=SERIES
 ) -> DataFrame:
     """Readings repeated per fit they train: the whole series, the holdout's part, every fold.
 
@@ -141,7 +141,7 @@ def training_sets(
         )
 
     whole = part(F.lit(FULL_FIT), n, 0)
-    holdout = part(F.lit(HOLDOUT_FIT), n - holdout_days(n, test, season), SEASON_CAP)
+    holdout = part(F.lit(HOLDOUT_FIT), n - holdout_days(n, test), SEASON_CAP)
     folds = F.transform(fold_bounds(n), lambda f: part(f["fold"], f["train_end"], SEASON_CAP))
     rows = ranked.withColumn("_part", F.explode(F.concat(F.array(whole, holdout), folds)))
     rows = rows.filter(F.col(POS) < F.col("_part.end"))
@@ -175,8 +175,9 @@ def summarize_folds(folds: DataFrame, series: DataFrame, keys=SERIES) -> DataFra
     return out.na.fill(0, ["n_folds", *[f"avg_{m}" for m in METRICS], "std_rmse", "std_mae"])
 
 
-def holdout_days(n: Column, test: int = 365, season: int = 365) -> Column:
-    return F.when(n <= test + season, F.greatest(F.lit(30), F.floor(n / 4))).otherwise(test)
+def holdout_days(n: Column, test: int = 365) -> Column:
+    """Length of the test part: shorter where less than a year would be left to train on, whatever the season."""
+    return F.when(n <= test + 365, F.greatest(F.lit(30), F.floor(n / 4))).otherwise(test)
 
 
 def baseline_predictions(
@@ -186,7 +187,7 @@ def baseline_predictions(
 
     ``models``, smoothing fits of the part before those days, add the primary model.
     """
-    ranked = readings(df, value, keys).withColumn("_test", holdout_days(F.col(ROWS), test, season))
+    ranked = readings(df, value, keys).withColumn("_test", holdout_days(F.col(ROWS), test))
     ranked = ranked.withColumn("_train", F.col(ROWS) - F.col("_test"))
     in_train = F.col(POS) < F.col("_train")
     x = F.col(POS).cast("double")

@@ -345,14 +345,14 @@ def run_forecast(
 ) -> dict[str, DataFrame]:
     """Fit, validate, benchmark, forecast, check, score, classify and choose, for all series.
 
-    ``daily`` is a gap-free panel. Returns the tables ``forecast``, ``summary``, ``folds``,
+    Days without a reading may be absent or null. Returns the tables ``forecast``, ``summary``, ``folds``,
     ``benchmark`` and ``fitted``. All fits of all series (full, folds, holdout) are groups of
     one shuffle; their results are written once and read by every later step. A series whose
     smoothing fit fails has the straight line as its forecast and ``failed`` in the summary.
     """
     steps = horizon_years * 365
     ranked = materialize(evaluate.readings(daily, value, keys))
-    sets = evaluate.training_sets(ranked, season=season, keys=keys)
+    sets = evaluate.training_sets(ranked, keys=keys)
     fits = materialize(
         smoothing.fit_smoothing(sets, "y", wanted=season, divisor="divisor", keys=(*keys, "fit"))
     )

@@ -239,6 +239,12 @@ def normalize_names(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, snake_case(F.col(column)))
 
 
+def rejected_rows(df: DataFrame, keys=SERIES) -> DataFrame:
+    """Rows per series, and how many of them have no date that can be read."""
+    dated = convert_types(df.select(*keys, DATE))
+    return dated.groupBy(*keys).agg(F.count("*").alias("total_rows"), F.count_if(F.col(DATE).isNull()).alias("rejected_rows"))
+
+
 def load_and_validate(df: DataFrame) -> DataFrame:
     """Raise on missing required columns before any job, then coerce types."""
     missing = [detail for kind, detail in schema_issues(df) if kind == "missing_column"]

@@ -108,6 +108,8 @@ _broken = ", ".join(
     f"CASE WHEN day(date) % 7 = 3 OR day(date) % 11 = 5 THEN NULL ELSE {v} END AS {v}" for v in VARS
 )
 Q["convert_types"] = chain(PANEL) + out(f"SELECT series_id, date, {_broken} FROM panel", ALL)
+Q["rejected_rows"] = chain(PANEL) + """SELECT series_id, count(*) AS total_rows,
+ count(CASE WHEN day(date) = 13 THEN 1 END) AS rejected_rows FROM panel GROUP BY series_id"""
 Q["date_bounds"] = chain(PANEL) + """SELECT series_id, min(date) AS first_date, max(date) AS last_date,
  min(date) > DATE '1995-01-02' AS starts_late, max(date) < DATE '2001-12-31' AS ends_early FROM panel GROUP BY series_id"""
 _cols = ("date", *VARS)
@@ -227,7 +229,7 @@ Q["lag_features"] = chain(PANEL, SPINE) + out(
     lagged("spine", "series_id, date, temperature"), f"temperature {LAG_COLUMNS}"
 )
 Q["preprocess"] = chain(
-    PANEL, SPINE, IMPUTED,
+    PANEL, IMPUTED.replace("FROM spine", "FROM panel"),
     f"featured AS (SELECT *, year(date) AS year, month(date) AS month, dayofyear(date) AS day_of_year, {SEASON}, {', '.join(_mas)} FROM imputed)",
 ) + out(
     lagged("featured", "* EXCLUDE (l1, l7, l30)"), f"{ALL} {MA_COLUMNS} {LAG_COLUMNS}", "year month day_of_year"
@@ -447,6 +449,11 @@ Q["anomaly_days"] = chain(PANEL, FLAGGED) + out(
  FROM flagged WHERE anomaly_zscore""",
     "temperature precipitation",
 )
+Q["observed_span"] = chain(SUPPLIER_PANEL, FLAGGED) + out(
+    f"""SELECT series_id, count(*) AS data_points, {disp('avg(temperature)', 2)} AS avg_temp, {disp('sum(precipitation)', 2)} AS total_precip,
+ count(CASE WHEN anomaly_zscore THEN 1 END) AS anomaly_days, min(date) AS start, max(date) AS "end" FROM flagged GROUP BY series_id""",
+    "avg_temp total_precip",
+)
 Q["station_rollup"] = chain(SUPPLIER_PANEL, FLAGGED) + out(
     f"""SELECT r.*, n_name || ', ' || r_name AS name FROM (SELECT series_id, {disp('avg(temperature)', 2)} AS avg_temp, sum(precipitation) AS total_precip,
  count(*) FILTER (anomaly_zscore) AS anomaly_days FROM flagged GROUP BY series_id) r

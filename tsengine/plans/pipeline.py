@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 
 from tsengine.functions.columns import display, safe_divide, total
 from tsengine.operators import anomaly, eda, features, forecast, isolation, quality, rules, trend
-from tsengine.operators.order import date_spine
+from tsengine.operators.order import POS, ROWS, date_spine, one_row_per_day, with_position
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, Settings, present
 from tsengine.session import materialize
 from tsengine.sources import files
 
 
-def regularize(panel: DataFrame, keys=SERIES) -> DataFrame:
-    """The panel on a gap-free calendar, written once for all later branches."""
-    return materialize(date_spine(materialize(panel), keys))
-
-
 def preprocess(panel: DataFrame, regular: bool = False, settings: Settings = DEFAULTS, keys=SERIES) -> DataFrame:
-    """Impute, then add calendar, rolling and lag features."""
-    imputed = materialize(features.impute_linear(panel, regular=regular, keys=keys))
+    """Impute, then add calendar, rolling and lag features; an irregular panel is ranked once for all of them."""
+    ranked = panel if regular else with_position(panel, keys)
+    imputed = materialize(features.impute_linear(ranked, regular=regular, keys=keys))
     rolled = features.rolling_means(features.temporal_features(imputed), settings.rolling, regular, keys=keys)
-    return features.lag_features(rolled, settings.lags, regular, keys=keys)
+    return features.lag_features(rolled, settings.lags, regular, keys=keys).drop(POS, ROWS)
+
+
+def observed_span(df: DataFrame, keys=SERIES) -> DataFrame:
+    """Counts and means of the flagged rows per series: only days that were observed."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("data_points"),
+        F.struct(F.min(DATE).alias("start"), F.max(DATE).alias("end")).alias("date_range"),
+        display(F.avg("temperature"), 2).alias("avg_temp"),
+        display(F.sum("precipitation"), 2).alias("total_precip"),
+        F.count_if(anomaly.COMBINED).alias("anomaly_days"),
+    )
 
 
 def explore(df: DataFrame, keys=SERIES) -> dict[str, DataFrame]:
@@ -99,13 +106,7 @@ def feeds(
 ) -> dict[str, DataFrame]:
     """The seven exported feeds; nested documents have one row per series."""
     on, c = list(keys), F.col
-    span = df.groupBy(*keys).agg(
-        F.count("*").alias("data_points"),
-        F.struct(F.min(DATE).alias("start"), F.max(DATE).alias("end")).alias("date_range"),
-        display(F.avg("temperature"), 2).alias("avg_temp"),
-        display(F.sum("precipitation"), 2).alias("total_precip"),
-        F.count_if(anomaly.COMBINED).alias("anomaly_days"),
-    )
+    span = observed_span(df, keys)
     daily = features.systematic_sample(df.select(*keys, DATE, *present(df, CORE_VARIABLES)), keys=keys)
     rounded = [display(F.col(name), 2).alias(name) for name in present(df, CORE_VARIABLES)]
     thinned = features.thin(forecast_rows, keys=keys)
@@ -144,15 +145,20 @@ def write_feeds(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | None = None, keys=SERIES) -> dict:
-    """The whole pipeline: validate, regularise, featurise, explore, forecast, summarise, feed."""
+    """The whole pipeline: validate, featurise, explore, forecast, summarise, feed.
+
+    All but the forecast works on the observed days; the forecaster adds the missing ones as
+    nulls. Rows without a readable date are counted in ``rejected`` and take no further part.
+    """
     checked = quality.load_and_validate(panel)
-    daily = regularize(checked, keys)
-    featured = materialize(preprocess(daily, regular=True, settings=settings, keys=keys))
+    rejected = quality.rejected_rows(checked, keys)
+    daily = one_row_per_day(checked.filter(F.col(DATE).isNotNull()), keys)
+    featured = materialize(preprocess(materialize(daily), settings=settings, keys=keys))
     flagged, anomalies = detect_anomalies(featured, settings, keys)
     flagged, anomalies = materialize(flagged), materialize(anomalies)
     trends = analyze_trends(featured, keys=keys)
     forecasts = forecast.run_forecast(
-        featured.select(*keys, DATE, "temperature"),
+        date_spine(featured.select(*keys, DATE, "temperature"), keys),
         horizon_years=settings.horizon_years,
         confidence=settings.confidence,
         season=settings.season_length,
@@ -164,6 +170,7 @@ def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | N
         executive_summary(flagged, anomalies, forecasts["summary"], trends["trends"], keys)
     )
     return {
+        "rejected": rejected,
         "features": featured,
         "flagged": flagged,
         "anomaly_summary": anomalies,

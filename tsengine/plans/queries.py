@@ -120,6 +120,12 @@ def convert_types(spark, folder):
     return shown(quality.load_and_validate(broken_text(spark, folder)))
 
 
+def rejected_rows(spark, folder):
+    """The panel as text, dates of the 13th unreadable."""
+    rows = broken_text(spark, folder)
+    return shown(quality.rejected_rows(rows.withColumn(DATE, F.regexp_replace(DATE, "-13$", "-x"))))
+
+
 def date_bounds(spark, folder):
     return shown(quality.date_bounds(tables.shipment_panel(spark, folder), "1995-01-02", "2001-12-31"))
 
@@ -586,7 +592,14 @@ def pipeline_summary(spark, folder):
 
 
 def preprocess(spark, folder):
-    return shown(pipeline.preprocess(pipeline.regularize(tables.shipment_panel(spark, folder)), regular=True))
+    return shown(pipeline.preprocess(panel(spark, folder)))
+
+
+def observed_span(spark, folder):
+    """Counts, means and flags after preprocessing a panel with many gaps: the observed days alone."""
+    rows = pipeline.preprocess(materialize(tables.supplier_panel(spark, folder)))
+    span = pipeline.observed_span(anomaly.combine_flags(anomaly.zscore_flags(rows)))
+    return shown(span.select("*", "date_range.start", "date_range.end").drop("date_range"))
 
 
 QUERIES = {
@@ -598,6 +611,7 @@ QUERIES = {
     "parse_array_payload": parse_array_payload,
     "rename_columns": rename_columns,
     "convert_types": convert_types,
+    "rejected_rows": rejected_rows,
     "date_bounds": date_bounds,
     "quality_report": quality_report,
     "quality_score": quality_score,
@@ -682,6 +696,7 @@ QUERIES = {
     "holt_winters_fixed": holt_winters_fixed,
     "holt_winters_fixed_forecast": holt_winters_fixed_forecast,
     "preprocess": preprocess,
+    "observed_span": observed_span,
     "holt_winters_fit": holt_winters_fit,
     "holt_winters_forecast": holt_winters_forecast,
     "walk_forward_smoothing": walk_forward_smoothing,
