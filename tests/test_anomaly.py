@@ -53,7 +53,7 @@ def test_forest_does_not_depend_on_partitions(spark, weather_frame):
     assert one.exceptAll(many).count() == 0
 
 
-def test_forest_on_many_rows(spark):
+def test_pooled_forest_on_many_rows(spark):
     rows = 30_000
     df = spark.range(rows).select(
         (F.col("id") % 10).cast("string").alias("series_id"),
@@ -63,13 +63,29 @@ def test_forest_on_many_rows(spark):
     )
     df = df.select("*").cache()
     names = ["temperature", "humidity"]
-    flagged = isolation.forest_flags(df, names, trees=20, sample=64)  # more rows than 8 * trees * sample
+    flagged = isolation.forest_flags(df, names, trees=20, sample=64, pooled=True)  # more rows than 8 * trees * sample
     counts = flagged.groupBy((F.col("temperature") == 30.0).alias("far")).agg(F.count("*").alias("n"), F.count_if("anomaly_iforest").alias("hit"))
     got = {r.far: r for r in counts.collect()}
     assert got[True].hit == got[True].n == 300
     assert abs((got[True].hit + got[False].hit) / rows - 0.05) < 0.005
 
 
+def test_every_series_has_its_own_forest(spark):
+    """A few cold days beside many warm ones are no anomalies; a short series has no flags."""
+    sizes, rng, rows = {"warm": (2000, 25.0), "cold": (150, -20.0), "short": (9, 0.0)}, np.random.default_rng(8), []
+    for name, (n, mean) in sizes.items():
+        values = rng.normal(mean, 3, n), rng.uniform(30, 90, n)
+        values[0][n // 2] = mean + 60
+        rows += [(name, d, float(a), float(b)) for d, a, b in zip(days("2015-01-01", n), *values)]
+    df = spark.createDataFrame(rows, "series_id string, date date, temperature double, humidity double")
+    flagged = isolation.forest_flags(df, trees=40, sample=64).collect()
+    assert len(flagged) == len(rows)
+    for name, (n, mean) in sizes.items():
+        hit = [r for r in flagged if r.series_id == name and r.anomaly_iforest]
+        assert len(hit) == 0 if name == "short" else abs(len(hit) / n - 0.05) < 0.005
+        assert name == "short" or any(r.temperature == mean + 60 for r in hit)
+
+
 def test_forest_needs_columns_and_rows(weather_frame):
     assert isolation.forest_flags(weather_frame.select("series_id", "date", "humidity")).filter("anomaly_iforest").count() == 0
     assert isolation.forest_flags(weather_frame.limit(9)).filter("anomaly_iforest").count() == 0

@@ -1,8 +1,10 @@
 """Isolation forest: trees grown as Spark tasks on small hashed samples, scored by batches.
 
-Samples are picked by the hash of a row's key, so the forest does not depend on how the
-rows are partitioned. What reaches the driver is one row of moments and at most
-``trees * (2 * sample - 1)`` tree nodes.
+Every series has its own scaling, forest and cut, all of which stay in Spark; a series is
+scored in blocks of days, each of which meets the at most ``trees * (2 * sample - 1)`` nodes
+of its forest. On request one pooled forest serves all series: then one row of moments and
+the nodes reach the driver. Samples are picked by the hash of a row's key, so a forest does
+not depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tsengine.operators.anomaly import FOREST
+from tsengine.operators.joins import attach
+from tsengine.operators.order import BLOCK, in_blocks
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, present
 from tsengine.session import materialize, spread
 
 EULER_GAMMA = 0.5772156649015329
+LEAST_ROWS = 10
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
 
@@ -100,7 +105,7 @@ def fit_forest(
     seed: int = DEFAULTS.forest_seed,
     keys=SERIES,
 ) -> tuple[Forest, dict] | None:
-    """Grow the forest over all complete rows; None with under two columns or ten rows."""
+    """Grow one forest over the complete rows of all series; None with under two columns or ten rows."""
     names = present(df, values)
     if len(names) < 2:
         return None
@@ -111,7 +116,7 @@ def fit_forest(
         *[F.stddev_pop(c).alias(f"std_{c}") for c in names],
     ).first().asDict()
     n = moments["n"]
-    if n < 10:
+    if n < LEAST_ROWS:
         return None
     size = min(sample, n)
     height = max(1, math.ceil(math.log2(size)))
@@ -221,6 +226,83 @@ def global_quantile(df: DataFrame, value: str, q: float, buckets: int = 1 << 14)
     return lower + (at(second) - lower) * (rank - first)
 
 
+def _grow_packed(features: int, sample: int, seed: int, keys):
+    """A tree of one series as one row, its nodes as five rows of doubles."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = min(sample, int(pdf["_rows"].iloc[0]))
+        nodes = _grow(features, max(1, math.ceil(math.log2(size))), seed)(pdf)
+        packed = nodes[["feature", "threshold", "left", "right", "path"]].to_numpy(float).T
+        row = {**{k: pdf[k].iloc[0] for k in keys}, "tree": nodes["tree"].iloc[0], "size": size, "nodes": packed.tobytes("C")}
+        return pd.DataFrame([row])
+
+    return grow
+
+
+def _score_packed(features: int, keys):
+    """Scores of a block of rows by the trees of its series."""
+    kept = [*keys, DATE]
+
+    def score_rows(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        x = rows[[f"_f{j}" for j in range(features)]].to_numpy(float)
+        at_row, depth = np.arange(len(x)), np.zeros(len(x))
+        for raw in forest.sort_values("tree")["nodes"]:
+            grid = np.frombuffer(raw).reshape(5, -1)
+            feature, left, right = (grid[i].astype(np.int32) for i in (0, 2, 3))
+            node = np.zeros(len(x), np.int32)
+            while (feature[node] >= 0).any():
+                j = feature[node]
+                down = x[at_row, np.maximum(j, 0)] <= grid[1][node]
+                node = np.where(j >= 0, np.where(down, left[node], right[node]), node)
+            depth += grid[4][node]
+        size = forest["size"].max() if len(forest) else 2
+        return rows[kept].assign(anomaly_score=np.exp2(-depth / (float(average_path(size)) * max(len(forest), 1))))
+
+    return score_rows
+
+
+def series_scores(
+    df: DataFrame,
+    names: list[str],
+    trees: int = DEFAULTS.forest_trees,
+    sample: int = DEFAULTS.forest_sample,
+    seed: int = DEFAULTS.forest_seed,
+    keys=SERIES,
+) -> DataFrame:
+    """Key, day and ``anomaly_score`` of the complete rows, by the forest of their own series.
+
+    Series under ten complete rows have no scores.
+    """
+    complete = df.dropna(subset=[*names, DATE])
+    moments = complete.groupBy(*keys).agg(
+        F.count("*").alias("_rows"),
+        *[F.avg(c).alias(f"_mean_{c}") for c in names],
+        *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_std_{c}") for c in names],
+    )
+    key = [F.col(k) for k in (*keys, DATE)]
+    features = [((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}")).alias(f"_f{j}") for j, c in enumerate(names)]
+    with_moments = attach(complete.select(*key, *names), moments.filter(F.col("_rows") >= LEAST_ROWS), keys)
+    scaled = materialize(with_moments.select(*key, "_rows", *features))
+
+    # The trees that may draw a row are found in its own hashes, so no row is copied to the others.
+    keep = 4.0 * sample / F.col("_rows")
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = scaled.withColumn("tree", F.explode(F.filter(every, lambda t: _unit_hash(seed, t, *key) < keep)))
+    drawn = spread(drawn.withColumn("_priority", _unit_hash(seed, F.col("tree"), *key)), *keys, "tree")
+    ranked = Window.partitionBy(*keys, "tree").orderBy("_priority", *key)
+    drawn = drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    grown = drawn.groupBy(*keys, "tree").applyInPandas(
+        _grow_packed(len(names), sample, seed, keys), f"{kinds}, tree int, size long, nodes binary"
+    )
+    blocked = in_blocks(scaled.drop("_rows"))
+    blocks = blocked.select(*keys, F.col(BLOCK).alias("_of")).distinct()
+    forests = materialize(grown).join(blocks, list(keys)).groupBy(*keys, "_of")
+    return blocked.groupBy(*keys, BLOCK).cogroup(forests).applyInPandas(
+        _score_packed(len(names), keys), f"{kinds}, {DATE} date, anomaly_score double"
+    )
+
+
 def forest_flags(
     df: DataFrame,
     values=CORE_VARIABLES,
@@ -229,8 +311,22 @@ def forest_flags(
     sample: int = DEFAULTS.forest_sample,
     seed: int = DEFAULTS.forest_seed,
     keys=SERIES,
+    pooled: bool = False,
 ) -> DataFrame:
-    """True for the ``contamination`` share of complete rows that isolate fastest."""
+    """True for the ``contamination`` share of each series' complete rows that isolate fastest.
+
+    ``pooled`` scales, fits and cuts over all series at once.
+    """
+    names = present(df, values)
+    if not pooled and len(names) < 2:
+        return df.withColumn(FOREST, F.lit(False))
+    if not pooled:
+        # Scores are written once: the cuts and the flags both read them. One reading a day bounds
+        # the values that a cut is found in.
+        scores = materialize(series_scores(df, names, trees, sample, seed, keys))
+        cuts = scores.groupBy(*keys).agg(F.percentile("anomaly_score", F.lit(1.0 - contamination)).alias("_cut"))
+        flagged = attach(scores, cuts, keys).withColumn(FOREST, F.col("anomaly_score") > F.col("_cut")).drop("_cut")
+        return df.join(flagged, [*keys, DATE], "left").na.fill(False, [FOREST])
     fitted = fit_forest(df, values, trees, sample, seed, keys)
     if fitted is None:
         return df.withColumn(FOREST, F.lit(False))
