@@ -98,6 +98,18 @@ def test_quantile_pairs(series_frame):
     assert [r.theoretical for r in rows] == pytest.approx([NormalDist().inv_cdf(i / 6) for i in range(1, 6)], abs=1e-9)
 
 
+def test_value_slots_are_even_whatever_the_spread(spark):
+    """One outlier, and mostly zeros: no slot holds more than a few of the distinct values."""
+    outlier = [(v / 128,) for v in range(5000)] + [(1e6,)]
+    values = spark.createDataFrame(outlier, "sample double").selectExpr("'a' series_id", "sample", "1L _copies")
+    sizes = [r["count"] for r in evaluate.value_slots(values).groupBy("_slot").count().collect()]
+    assert sum(sizes) == 5001 and max(sizes) < 3 * 5001 / 64
+    dry = spark.range(4000).selectExpr("'a' series_id", "if(id % 10 = 0, id / 7, 0.0) temperature")
+    rows = evaluate.quantile_pairs(dry, "temperature").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 4001))
+    assert [r["sample"] for r in rows] == sorted([0.0] * 3600 + [i / 7 for i in range(0, 4000, 10)])
+
+
 def test_seasonal_naive_steps_repeat_the_last_season(series_frame):
     ranked = evaluate.readings(series_frame({"a": list(range(10)), "b": [1, 2]}))
     rows = forecast.seasonal_naive_steps(ranked, 7, season=3).orderBy("series_id", "step").collect()

@@ -10,6 +10,7 @@ from tsengine.operators import smoothing
 from tsengine.operators.joins import attach
 from tsengine.operators.order import POS, ROWS, framed, with_position
 from tsengine.schema import DATE, DEFAULTS, SERIES
+from tsengine.session import materialize
 
 METRICS = ("rmse", "mae", "mape", "r_squared")
 
@@ -286,18 +287,27 @@ def autocorrelation(df: DataFrame, value: str, max_lag: int = 60, keys=SERIES) -
     return rows.withColumn("band", F.lit(NORMAL_975) * F.sqrt(variance))
 
 
+def value_slots(values: DataFrame, keys=SERIES, slots: int = 64) -> DataFrame:
+    """Distinct values with ``_slot``: ordered ranges of about equally many, cut at approximate quantiles.
+
+    The cuts are written, so that every branch places a value alike.
+    """
+    shares = [i / slots for i in range(1, slots)]
+    cuts = materialize(values.groupBy(*keys).agg(F.percentile_approx("sample", shares, 1000).alias("_cuts")))
+    slot = F.size(F.filter("_cuts", lambda cut: cut < F.col("sample")))
+    return attach(values, cuts, keys).withColumn("_slot", slot).drop("_cuts")
+
+
 def quantile_pairs(df: DataFrame, value: str, keys=SERIES) -> DataFrame:
     """Sorted values against normal quantiles at i / (n + 1).
 
-    Ranks come from counts of equal values, in value ranges, as positions do: no task
-    sorts a whole series.
+    Equal values fold to a count first; ranks come from counts in value ranges, as positions
+    do: no task sorts a whole series, whatever its spread.
     """
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("sample"))
-    edges = present.groupBy(*keys).agg(F.min("sample").alias("_lo"), F.max("sample").alias("_hi"))
-    slots = 64
-    slot = F.floor(F.try_divide((F.col("sample") - F.col("_lo")) * slots, F.col("_hi") - F.col("_lo")))
-    ranged = attach(present, edges, keys).withColumn("_slot", F.coalesce(slot, F.lit(0)))
-    sizes = ranged.groupBy(*keys, "_slot").agg(F.count("*").alias("_size"))
+    values = materialize(present.groupBy(*keys, "sample").agg(F.count("*").alias("_copies")))
+    ranged = value_slots(values, keys)
+    sizes = ranged.groupBy(*keys, "_slot").agg(F.sum("_copies").alias("_size"))
     series = Window.partitionBy(*keys)
     earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -306,9 +316,9 @@ def quantile_pairs(df: DataFrame, value: str, keys=SERIES) -> DataFrame:
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_size").over(series).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_slot").orderBy("sample")
-    ranked = ranged.join(starts, [*keys, "_slot"]).withColumn(
-        "rank", F.col("_start") + F.row_number().over(inside)
-    )
+    below = Window.partitionBy(*keys, "_slot").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_copies").over(below), F.lit(0))
+    placed = ranged.join(starts, [*keys, "_slot"]).withColumn("_before", before)
+    ranked = placed.withColumn("rank", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_copies"))))
     share = F.col("rank").cast("double") / (F.col("_n") + 1)
     return ranked.select(*keys, "rank", "sample", normal_quantile(share).alias("theoretical"))
