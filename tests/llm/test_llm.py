@@ -13,7 +13,7 @@ import pytest
 import check_oracle
 import corpus_pipeline
 from tsengine.llm import chat, common, components, decontaminate, jaccard, mixing, pii, quality, sharding, tokens, topk, toxicity
-from tsengine.llm.labelled import in_fold
+from tsengine.llm.labelled import in_fold, training_rows
 from tsengine.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,6 +95,14 @@ def test_classifiers_on_odd_rows(odd, none, labels):
     assert quality.accepted(odd, quality.train(odd, labels, ~in_fold(7, 3)), 0.0).columns == odd.columns
 
 
+def test_training_rows_hold_one_text_an_id(spark):
+    docs = spark.createDataFrame([document(1, f"t{i}", f"l{i}") for i in range(10, 40)] + [document(2, "u", None)], DOCS)
+    docs = docs.unionByName(spark.createDataFrame([document(1, "long" * 9), document(1, None), document(None, "t")], DOCS))
+    known = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    texts, langs, y, shares = training_rows(docs, known, "toxic", ~in_fold(1, 1), 5, 20)
+    assert (texts, langs, y.tolist(), shares.tolist()) == (["t10", "u"], ["l10", None], [1, 0], [0.5, 0.5])
+
+
 def test_convolution_scores_pieces_like_the_whole(monkeypatch):
     texts = ["good words here " * 50 + "awful thing", "good words here " * 60, "", "awful"] * 8
     y = np.array([1, 0, 0, 1] * 8)

@@ -17,8 +17,9 @@ def training_rows(
     ``train`` is a condition on ``doc_id``. A document labelled more than once has its largest
     label; null labels do not count. The rows with the smallest md5 of the id are drawn, so a rerun
     draws the same ones. Texts of over ``max_chars`` characters are left out of the sample (they
-    are scored in full like all others), so the driver holds at most
-    ``2 * per_class * max_chars`` characters.
+    are scored in full like all others). Where documents share a drawn id, the smallest of their
+    texts stands for it, so an id weighs once however often it is repeated, and the driver holds at
+    most ``2 * per_class * max_chars`` characters.
     """
     votes = labels.select(name("doc_id").alias("doc_id"), name(label).cast("int").alias("y"))
     votes = votes.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & train)
@@ -31,8 +32,10 @@ def training_rows(
     columns.append((name("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
     rows = docs.select(*columns).filter(F.length("text") <= max_chars)
     # at most 2 * per_class ids: a proven bound for the broadcast
-    rows = rows.join(F.broadcast(picks), "doc_id").select("doc_id", "y", "lang", "text")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
+    rows = rows.join(F.broadcast(picks), "doc_id")
+    # one row an id before the driver sees any; tasks fold their own rows first
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "y", "row.*")
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     total = max(sum(counts.values()), 1)
     shares = np.array([counts.get(0, 0) / total, counts.get(1, 0) / total])
     y = np.array([r["y"] for r in rows], np.int64)
