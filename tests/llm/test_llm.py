@@ -425,6 +425,26 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, width, percent, small):
     assert kept.columns == frame.columns and kept.count() == len(groups) + sum(not words(t) for _, t in rows)
 
 
+def test_large_groups_are_folded_and_compared_across_components_only(spark):
+    # shingle 1: one component; 2: a large one, a pair and two single classes; 3: a single class
+    roots = {c: 100 for c in range(100, 140)} | {200: 200, 201: 200}
+    rows = [(1, c, 50, c % 3) for c in range(100, 140)]
+    rows += [(2, c, 50 + c % 4, c % 5) for c in [*range(100, 140), 200, 201, 300, 400]] + [(3, 100, 50, 0)]
+    entries = spark.createDataFrame(rows + rows[:30], "shingle long, class long, n int, position int")
+    groups = jaccard._groups(entries)
+    assert {(r["shingle"], r["class"], r["n"], r["position"]) for r in groups.collect()} == set(rows[:-1])
+    for s, members in ((1, 40), (2, 44)):
+        centre = min((p, n, c) for t, c, n, p in rows if t == s)
+        found = {(r["members"], tuple(r["centre"])) for r in groups.filter(f"shingle = {s}").collect()}
+        assert found == {(members, centre)}
+    mixed = jaccard._mixed(groups, spark.createDataFrame(list(roots.items()), "node long, root long"))
+    assert {(r["shingle"], r["main"]) for r in mixed.collect()} == {(2, 100)} and mixed.count() == 44
+    pairs = jaccard._pairs_apart(mixed, 80).collect()
+    brute = jaccard._pairs(groups, groups, 80).collect()
+    assert set(pairs) == {p for p in brute if roots.get(p["x"], p["x"]) != roots.get(p["y"], p["y"])}
+    assert len(pairs) == len(set(pairs)) > 0
+
+
 def test_jaccard_of_empty_table(none):
     assert jaccard.linked(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 

@@ -12,7 +12,9 @@ shingles, in two steps that keep large groups of near copies from making all the
 1. groups of at most ``SMALL`` classes give all pairs, larger ones the pairs with the class that
    has the fewest rarer shingles, which is the likely centre of a group of near copies;
 2. when the links found have been contracted to components, the larger groups give every pair of
-   classes of different components. Pairs inside a component could add no link that matters.
+   classes of different components. Pairs inside a component could add no link that matters:
+   a group that is one component makes none, others join the classes outside their largest
+   component with the whole group, which is at most twice the pairs between components.
 
 Pairs pass the length filter and the positional filter in the join. They are made distinct, pass
 the suffix filter (counts of the sets' hashes in ``PARTS`` parts bound the overlap) and are
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,20 +215,58 @@ def _joinable(long_n: Column, long_at: Column, short_n: Column, short_at: Column
     return (100 * short_n >= percent * long_n) & (short_at < short_prefix) & (rest * must >= percent * (long_n + short_n))
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+def _groups(rows: DataFrame) -> DataFrame:
+    """Prefix entries of the shingles that classes share, with the group's ``members`` and ``centre``.
+
+    Tasks fold their own rows before a group meets, and a large group is dealt over many tasks.
+    """
+    rows = written(rows.groupBy("shingle", "class").agg(F.first("n").alias("n"), F.first("position").alias("position")))
+    sizes = rows.groupBy("shingle").agg(
+        F.count("*").alias("members"), F.min(F.struct("position", "n", "class")).alias("centre")
+    )
+    return written(rows.join(written(sizes.filter("members > 1")), "shingle"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (longer, shorter) of classes of two entry tables that share a prefix shingle."""
     x, y = left.alias("x"), right.alias("y")
     first = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") > F.col("y.class")))
     on = (F.col("x.shingle") == F.col("y.shingle")) & first
     on &= _joinable(F.col("x.n"), F.col("x.position"), F.col("y.n"), F.col("y.position"), percent)
-    if apart:
-        on &= F.col("x.root") != F.col("y.root")
     pairs = x.join(y, on).select(
         F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")
     )
     return pairs.distinct()
 
 
+def _mixed(many: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the groups of more than one component, with ``root`` and ``main``, the group's largest one."""
+    rows = many.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    rows = written(rows.select("shingle", "class", "n", "position", F.coalesce("root", "class").alias("root")))
+    sizes = rows.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("size", "root")).alias("most"))
+    sizes = written(sizes.filter("roots > 1").select("shingle", F.col("most.root").alias("main")))
+    return written(rows.join(sizes, "shingle"))
+
+
+def _pairs_apart(mixed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (longer, shorter) of classes of different components that share a prefix shingle.
+
+    The left side lacks each group's largest component, so no pair inside that one is compared.
+    """
+    x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
+    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") > F.col("y.class")))
+    of_x, of_y = ((F.col(f"{s}.n"), F.col(f"{s}.position")) for s in ("x", "y"))
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+    on &= (F.col("y.root") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))  # others meet twice
+    on &= (longer & _joinable(*of_x, *of_y, percent)) | (~longer & _joinable(*of_y, *of_x, percent))
+    own, other = (F.struct(F.col(f"{s}.n"), F.col(f"{s}.class")) for s in ("x", "y"))
+    pairs = x.join(y, on).select(F.greatest(own, other).alias("x"), F.least(own, other).alias("y"))
+    return pairs.select(
+        F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")
+    ).distinct()
+
+
 def _central_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of the members of large groups with their group's centre."""
     rows = groups.filter(F.col("members") > SMALL).filter(F.col("class") != F.col("centre.class"))
@@ -289,12 +329,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     counts = shingle_counts(found)
     classes, seed = keyed_classes(found)
 
-    rows = entries(docs, doc_id, text, counts, seed, width, percent).repartition("shingle")
-    rows = rows.groupBy("shingle", "class").agg(F.first("n").alias("n"), F.first("position").alias("position"))
-    whole = Window.partitionBy("shingle").orderBy("position", "n", "class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("members", F.count("*").over(whole))
-    rows = rows.withColumn("centre", F.first(F.struct("class", "n", "position")).over(whole))
-    groups = written(rows.filter("members > 1"))
+    groups = _groups(entries(docs, doc_id, text, counts, seed, width, percent))
 
     few, many = groups.filter(F.col("members") <= SMALL), groups.filter(F.col("members") > SMALL)
     pairs = _pairs(few, few, percent).unionByName(_central_pairs(groups, percent)).distinct()
@@ -302,9 +337,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     links = written(verified(pairs, class_sets(docs, doc_id, text, classes, pairs, seed, width), percent))
 
     roots = components(links)
-    apart = many.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    apart = apart.withColumn("root", F.coalesce("root", "class")).select("shingle", "class", "n", "position", "root")
-    rest = written(suffix_filtered(_pairs(apart, apart, percent, apart=True), classes, percent))
+    rest = written(suffix_filtered(_pairs_apart(_mixed(many, roots), percent), classes, percent))
     more = written(verified(rest, class_sets(docs, doc_id, text, classes, rest, seed, width), percent))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
