@@ -301,6 +301,12 @@ def test_base_spans_equal_the_patterns():
     pii.base_spans("a" * 300_000 + "1" * 300_000 + "@" * 1000)  # linear
 
 
+def test_base_spans_of_long_zero_runs():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.{zeros}1.2.255") == [(0, 1, 10008)]
+    assert pii.base_spans(f"{zeros}256.0.0.0") == []
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     model = pii.Tagger()

@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted; leftmost and non-overlapping within each kind."""
     out = [(s, 0, e) for s, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (g.lstrip("0") for g in m.groups())):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
