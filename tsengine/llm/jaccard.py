@@ -324,7 +324,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: ``doc_id``, ``row_key``, ``n_shingles``, ``component_id``, ``component`` (null: no words)."""
+    """One row per document: ``doc_id``, ``row_key``, ``n_shingles``, ``component_id``, ``component`` (null: no words).
+
+    Components only, not the links: pairs inside a component of a group of over ``SMALL`` classes
+    are verified only as far as the component needs them, so there is no whole list of pairs.
+    """
     found = scanned(docs, doc_id, text, width)
     counts = shingle_counts(found)
     classes, seed = keyed_classes(found)
