@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from tsengine.functions.columns import display
 from tsengine.operators import (
     anomaly,
-    decompose,
     eda,
     evaluate,
     features,
