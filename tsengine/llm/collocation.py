@@ -158,7 +158,7 @@ class Bloom:
 
 
 def bloom(phrases: DataFrame, columns: list[str]) -> Bloom:
-    """The filter of the phrases: tasks fold their bytes, the driver gets at most 2 ** (FILTER_BITS - 3) of them."""
+    """The filter of the phrases: tasks fold their bits, the driver gets at most 2 ** (FILTER_BITS - 6) numbers of 64."""
 
     def run(batches):
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -166,14 +166,15 @@ def bloom(phrases: DataFrame, columns: list[str]) -> Bloom:
             cols = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns)]
             for p in Bloom.places(phrase_hash(cols)):
                 np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        bits = bits.view(np.int64)
         full = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bits[full].astype(np.int16))], names=["place", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bits[full])], names=["place", "bits"])
 
-    rows = phrases.select(*columns).mapInArrow(run, "place int, bits short").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    rows = phrases.select(*columns).mapInArrow(run, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
     found = rows.toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    bits[found["place"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
-    return Bloom(bits)
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[found["place"].to_numpy()] = found["bits"].to_numpy()
+    return Bloom(bits.view(np.uint8))
 
 
 def folded(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
