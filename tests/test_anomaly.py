@@ -105,3 +105,54 @@ def test_global_quantile_is_exact(spark, q):
     values[:700] = 0.25  # a third of the rows share one value
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     assert isolation.global_quantile(df, "v", q, buckets=8) == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def plain_forest(rows, trees, sample, seed):
+    """Scores of one series ``a`` from trees that are grown node by node."""
+    import hashlib
+    import math
+
+    def number(text, start=0):
+        return int(hashlib.md5(text.encode()).hexdigest()[start : start + 13], 16)
+
+    def average(n):
+        return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    prime, size = 2147483647, min(sample, len(rows))
+    height = max(1, math.ceil(math.log2(size)))
+    total = {d: 0.0 for d, _ in rows}
+    for tree in range(trees):
+        factor, offset = 1 + number(f"{seed}|factor|{tree}") % (prime - 1), number(f"{seed}|offset|{tree}") % prime
+        drawn = sorted(rows, key=lambda r: ((factor * (number(f"a|{r[0]}") % prime) + offset) % prime, r[0]))[:size]
+
+        def path(inside, day, depth, node):
+            spans = [(min(c), max(c)) for c in zip(*(x for _, x in inside))]
+            open_ = [j for j, (lo, hi) in enumerate(spans) if hi > lo]
+            if depth >= height or len(inside) <= 1 or not open_:
+                return depth + average(len(inside))
+            text = f"{seed}|a|{tree}|{node}"
+            j = open_[math.floor(number(text) / 2**52 * len(open_))]
+            lo, hi = spans[j]
+            cut = lo + number(text, 13) / 2**52 * (hi - lo)
+            cut = cut if cut < hi else lo
+            right = day[1][j] > cut
+            return path([r for r in inside if (r[1][j] > cut) == right], day, depth + 1, 2 * node + right)
+
+        for r in rows:
+            total[r[0]] += path(drawn, r, 0, 1)
+    return {str(d): 2 ** (-v / (average(size) * trees)) for d, v in total.items()}
+
+
+def test_forest_equals_one_grown_node_by_node(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", d, float(x), float(y)) for d, x, y in zip(days("2015-01-01", 60), rng.normal(0, 1, 60).round(1), rng.integers(0, 4, 60))]
+    df = spark.createDataFrame(rows, "series_id string, date date, temperature double, humidity double")
+    got = isolation.scores(df, ["temperature", "humidity"], trees=7, sample=16, seed=3).collect()
+    want = plain_forest([(r[1], r[2:]) for r in rows], 7, 16, 3)
+    assert {str(r.date): round(r.anomaly_score, 12) for r in got} == {d: round(v, 12) for d, v in want.items()}
+
+
+def test_forest_of_constant_variables(spark):
+    df = spark.createDataFrame([("a", d, 1.0, 2.0) for d in days("2015-01-01", 30)], "series_id string, date date, temperature double, humidity double")
+    got = isolation.forest_flags(df, trees=5, sample=16)
+    assert got.filter("anomaly_iforest").count() == 0 and got.select("anomaly_score").distinct().count() == 1

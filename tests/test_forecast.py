@@ -236,3 +236,20 @@ def test_whole_run(series_frame):
     assert out["benchmark"].count() == 8 and out["fitted"].filter("residual is null").count() == 0
     models = smoothing.fit_smoothing(df)
     assert models.filter("failed").count() == 0
+
+
+def test_fold_lines_equal_fits_of_every_training_part(spark):
+    """Lines from merged moments against least squares on the rows, with a large offset and slope."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    y = 1e6 + 3.0 * np.arange(500) + rng.normal(0, 1, 500)
+    rows = [("a", i, float(v), 500) for i, v in enumerate(y)]
+    ranked = spark.createDataFrame(rows, "series_id string, pos long, y double, _n long")
+    lines = evaluate.fold_lines(ranked, splits=3, test=100, min_train=50).collect()
+    assert sorted(r.train_end for r in lines) == [200, 300, 400]
+    for r in lines:
+        slope, intercept = np.polyfit(np.arange(r.train_end), y[: r.train_end], 1)
+        assert abs(r.slope - slope) < 1e-9 and abs(r.intercept - intercept) < 1e-6
+    tested = evaluate.test_rows(ranked, splits=3, test=100, min_train=50)
+    assert tested.count() == 300 and tested.filter("step < 1 or step > 100").count() == 0

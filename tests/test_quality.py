@@ -23,7 +23,7 @@ def test_convert_types(make):
         {"series_id": ["a"] * 4, "date": ["2020-01-01", "bad", "2020-01-03", None], "temperature": ["1.5", "x", "NaN", ""], "precipitation": ["1", "2", "3", "4"]},
         "series_id string, date string, temperature string, precipitation string",
     )
-    rows = quality.load_and_validate(df).collect()
+    rows = quality.load_and_validate(df).rows.collect()
     assert [str(r.date) for r in rows] == ["2020-01-01", "None", "2020-01-03", "None"]
     assert [r.temperature for r in rows] == [1.5, None, None, None]
     assert dict(quality.convert_types(df).dtypes)["date"] == "date"
@@ -78,3 +78,48 @@ def test_normalized_names(spark):
     df = spark.createDataFrame([(1, 2, "A b-c.d ")], "`Wind Speed` int, `T-2.M ` int, name string")
     assert quality.normalize_columns(df).columns == ["wind_speed", "t_2_m", "name"]
     assert quality.normalize_names(df, "name", "n").first().n == "a_b_c_d"
+
+
+def broken(make):
+    return make(
+        {
+            "series_id": ["a", "a", "b", "b", None],
+            "date": ["2020-01-01", "13/2020", "2020-01-03", None, "2020-01-05"],
+            "temperature": ["1.5", "x", "NaN", " ", "2"],
+            "precipitation": ["1", None, "3", "4,5", "6"],
+        },
+        "series_id string, date string, temperature string, precipitation string",
+    )
+
+
+def test_validation_measures_in_one_pass(make):
+    checked = quality.load_and_validate(broken(make), "2020-01-01", "2020-02-01")
+    kept = checked.written(lambda rows: rows.filter("date is not null"))
+    assert kept.count() == 3 and "_cells" not in kept.columns
+    report = {r.column_name: r for r in checked.report().collect()}
+    assert report["date"].total_rows == 5 and report["date"].missing == 2 and report["date"].rejected == 1
+    assert report["temperature"].missing == 3 and report["temperature"].rejected == 3
+    assert report["precipitation"].missing == 2 and report["precipitation"].rejected == 1
+    assert report["date"].missing_cells == 7 and report["date"].missing_percentage == 46.67
+    bounds = checked.bounds().first()
+    assert (str(bounds.first_date), str(bounds.last_date), bounds.starts_late, bounds.ends_early) == ("2020-01-01", "2020-01-05", False, True)
+    issues = {r.column_name: r.rejected_cells for r in checked.issues().collect()}
+    assert issues == {"date": 1, "temperature": 3, "precipitation": 1}
+
+
+def test_rejects_carry_the_raw_row_and_a_reason(make):
+    got = {(r.column_name, r.value, r.reason) for r in quality.load_and_validate(broken(make)).rejects().collect()}
+    assert got == {
+        ("date", "13/2020", "no date"), ("temperature", "x", "not numeric"), ("temperature", "NaN", "not a number"),
+        ("temperature", " ", "empty"), ("precipitation", "4,5", "not numeric"),
+    }
+    raw = quality.load_and_validate(broken(make)).rejects().filter("value = '13/2020'").first().raw
+    assert "13/2020" in raw and '"temperature":"x"' in raw
+
+
+def test_validation_of_an_empty_table(make, spark):
+    empty = spark.createDataFrame([], broken(make).schema)
+    checked = quality.load_and_validate(empty)
+    assert checked.bounds().first().first_date is None
+    assert {r.missing_percentage for r in checked.report().collect()} == {0.0}
+    assert checked.rejects().count() == 0

@@ -48,6 +48,7 @@ def test_forest_draws_by_one_rule(spark):
     from pyspark.sql import functions as F
 
     for n in (300, 5000):
-        rows = spark.range(n).withColumn("k", F.col("id"))
-        drawn = isolation._samples(rows, n, 10, 16, 3, [F.col("k")])
+        place = F.pmod(F.xxhash64("id"), F.lit(isolation.PRIME))
+        rows = spark.range(n).select("id", F.lit("a").alias("k"), place.alias("_day"), F.lit(n).alias("_rows"))
+        drawn = isolation.samples(rows, ["k"], 10, 16, 3)
         assert {r["tree"]: r["n"] for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(10), 16)

@@ -108,19 +108,70 @@ def linear_model(train: DataFrame, keys=SERIES) -> DataFrame:
     )
 
 
-def validate_linear(df: DataFrame, value: str = "temperature", keys=SERIES, **bounds) -> DataFrame:
-    """Accuracy per fold of a straight line."""
-    folds = in_folds(readings(df, value, keys), keys, **bounds)
-    by = [*keys, "fold"]
-    train = F.col("role") == "train"
-    fit = folds.groupBy(*by).agg(
-        F.regr_slope(F.when(train, F.col("y")), F.col(POS).cast("double")).alias("slope"),
-        F.regr_intercept(F.when(train, F.col("y")), F.col(POS).cast("double")).alias("intercept"),
-    )
-    tested = folds.filter(~train).join(fit, by).withColumn(
-        "predicted", F.col("slope") * F.col(POS) + F.col("intercept")
+def segment_moments(ranked: DataFrame, keys=SERIES, **bounds) -> DataFrame:
+    """Counts, means and co-moments of the readings between the ends of the training parts, one array per series.
+
+    A reading is in one segment: that of the last training part which it is behind. The training part
+    of fold k is then the segments before k, and no reading is copied to the folds that it trains.
+    """
+    x, y = F.col(POS).cast("double"), F.col("y")
+    cut = ranked.withColumn("_folds", fold_bounds(F.col(ROWS), **bounds))
+    segment = F.size(F.filter("_folds", lambda f: f["train_end"] <= F.col(POS)))
+    parts = cut.withColumn("_segment", segment).groupBy(*keys, "_segment").agg(
+        F.count(y).alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.regr_sxx(y, x).alias("xx"), F.regr_sxy(y, x).alias("xy"),
+        F.first("_folds").alias("_folds"),
+    )
+    part = F.struct(F.col("_segment").alias("segment"), "n", "x", "y", "xx", "xy")
+    return parts.groupBy(*keys).agg(F.collect_list(part).alias("parts"), F.first("_folds").alias("folds"))
+
+
+def merged_line(parts: Column) -> Column:
+    """Slope and intercept from the moments of parts; co-moments add up with those of the parts' means."""
+
+    def total(of) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda s, p: s + of(p))
+
+    n = total(lambda p: p["n"].cast("double"))
+    mean_x, mean_y = (F.try_divide(total(lambda p, c=c: p["n"] * p[c]), n) for c in "xy")
+
+    def moments(means: Column) -> Column:
+        def moment(a: str, b: str) -> Column:
+            return F.aggregate(
+                parts, F.lit(0.0), lambda s, p: s + p[a + b] + p["n"] * (p[a] - means[a]) * (p[b] - means[b])
+            )
+
+        slope = F.try_divide(moment("x", "y"), moment("x", "x"))
+        return F.struct(slope.alias("slope"), (means["y"] - slope * means["x"]).alias("intercept"))
+
+    once = F.array(F.struct(mean_x.alias("x"), mean_y.alias("y")))  # evaluated once
+    return F.transform(once, moments)[0]
+
+
+def fold_lines(ranked: DataFrame, keys=SERIES, **bounds) -> DataFrame:
+    """``fold``, ``test_end``, ``slope`` and ``intercept`` of the line of every fold's training part."""
+    rows = segment_moments(ranked, keys, **bounds).select(*keys, "parts", F.explode("folds").alias("_fold"))
+    line = merged_line(F.filter("parts", lambda p: p["segment"] < F.col("_fold.fold")))
+    return rows.select(*keys, "_fold.fold", "_fold.train_end", "_fold.test_end", line.alias("_line")).select(
+        *keys, "fold", "train_end", "test_end", "_line.slope", "_line.intercept"
     )
-    return accuracy(tested, "y", "predicted", by)
+
+
+def test_rows(ranked: DataFrame, keys=SERIES, **bounds) -> DataFrame:
+    """The readings of the test parts with their ``fold`` and ``step``; test parts do not overlap."""
+    bounds = fold_bounds(F.col(ROWS), **bounds)
+    own = F.get(F.filter(bounds, lambda f: (f["train_end"] <= F.col(POS)) & (F.col(POS) < f["test_end"])), F.lit(0))
+    rows = ranked.withColumn("_own", own).filter(F.col("_own").isNotNull())
+    step = (F.col(POS) - F.col("_own.train_end") + 1).cast("int")
+    return rows.withColumns({"fold": F.col("_own.fold"), "step": step}).drop("_own")
+
+
+def validate_linear(df: DataFrame, value: str = "temperature", keys=SERIES, **bounds) -> DataFrame:
+    """Accuracy per fold of a straight line, from one row of moments per series; no reading is copied."""
+    ranked, by = readings(df, value, keys), [*keys, "fold"]
+    lines = fold_lines(ranked, keys, **bounds).select(*by, "slope", "intercept")
+    tested = test_rows(ranked, keys, **bounds).join(lines, by)
+    predicted = F.col("slope") * F.col(POS) + F.col("intercept")
+    return accuracy(tested.withColumn("predicted", predicted), "y", "predicted", by)
 
 
 # Numbers of the fits that are not folds, and the cap of the season in partial training sets.
@@ -156,14 +207,13 @@ def validate_smoothing(
 
     ``models`` are fits per (series, fold) made before.
     """
-    folds = in_folds(readings(df, value, keys), keys, **bounds)
-    by = (*keys, "fold")
+    ranked, by = readings(df, value, keys), (*keys, "fold")
     if models is None:
-        train = folds.filter(F.col("role") == "train")
+        train = in_folds(ranked, keys, **bounds).filter(F.col("role") == "train")
         models = smoothing.fit_smoothing(train, "y", divisor=SEASON_CAP, keys=by)
     horizon = bounds.get("test", DEFAULTS.validation_test_days)
     predicted = smoothing.forecast(models, horizon, by)
-    tested = folds.filter(F.col("role") == "test").join(predicted, [*by, "step"])
+    tested = test_rows(ranked, keys, **bounds).join(predicted, [*by, "step"])
     return accuracy(tested, "y", "forecast", by)
 
 

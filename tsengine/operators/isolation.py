@@ -1,190 +1,185 @@
-"""Isolation forest: trees grown as Spark tasks on small hashed samples, scored by batches.
-
-Every series has its own scaling, forest and cut, all of which stay in Spark; a series is
-scored in blocks of days, each of which meets the at most ``trees * (2 * sample - 1)`` nodes
-of its forest. On request one pooled forest serves all series: then one row of moments and
-the nodes reach the driver. Samples are picked by the hash of a row's key, so a forest does
-not depend on how the rows are partitioned.
+"""Isolation forest: trees grown level by level as DataFrame steps, scored by an expression.
+
+Every series has its own forest and cut. A tree's sample are the rows of its series that come first
+in a pseudo-random order of the days; draws and cuts come from ``md5`` of series, tree and node, so
+a forest depends on neither partitions nor engine. One exchange brings the samples together by
+series and tree; each level is then one window over the rows of a node, without a further exchange.
+A split compares a value with a cut between the node's smallest and largest one, so it is the same
+whatever the variables' scales, and nothing is scaled.
+
+The nodes of a series are sent once, to its rows, and walked by an expression over arrays. On
+request one pooled forest serves all series; its at most ``trees * (2 * sample - 1)`` nodes go to
+all tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tsengine.operators.anomaly import FOREST
 from tsengine.operators.joins import attach
-from tsengine.operators.order import BLOCK, in_blocks
 from tsengine.schema import CORE_VARIABLES, DATE, DEFAULTS, SERIES, present
 from tsengine.session import materialize, spread
 
 EULER_GAMMA = 0.5772156649015329
 LEAST_ROWS = 10
-NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+#: Day orders are numbers modulo this prime; fractions have 52 bits, the leading 13 digits of ``md5``.
+PRIME = (1 << 31) - 1
+DIGITS, FRACTION = 13, float(1 << 52)
+SCORE = "anomaly_score"
 
 
-def average_path(n):
+def average_path(n: Column) -> Column:
     """Mean depth of an unsuccessful search in a random tree of n points."""
-    n = np.asarray(n, dtype=float)
-    safe = np.maximum(n, 2.0)
-    depth = 2.0 * (np.log(safe - 1.0) + EULER_GAMMA) - 2.0 * (safe - 1.0) / safe
-    return np.where(n > 2, depth, np.where(n == 2, 1.0, 0.0))
-
-
-@dataclass(frozen=True)
-class Forest:
-    """Nodes by tree, as arrays of shape (trees, nodes)."""
-
-    features: list[str]
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    path: np.ndarray
-    sample: int
-    height: int
-
-
-def _unit_hash(seed: int, *parts) -> Column:
-    """Uniform value in [0, 1) from the key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / float(1 << 40)
-
-
-def _grow(features: int, height: int, seed: int):
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_priority")
-        points = pdf[[f"_f{j}" for j in range(features)]].to_numpy()
-        rng = np.random.default_rng([seed, tree])
-        nodes: list[list] = []
-        pending = [(points, 0, None, None)]
-        while pending:
-            rows, depth, parent, side = pending.pop()
-            node = len(nodes)
-            if parent is not None:
-                nodes[parent][side] = node
-            low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(0), np.zeros(0))
-            open_features = np.flatnonzero(high > low)
-            if depth >= height or len(rows) <= 1 or len(open_features) == 0:
-                nodes.append([tree, node, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))])
-                continue
-            j = int(rng.choice(open_features))
-            cut = float(rng.uniform(low[j], high[j]))
-            nodes.append([tree, node, j, cut, -1, -1, 0.0])
-            mask = rows[:, j] <= cut
-            pending.append((rows[~mask], depth + 1, node, 5))
-            pending.append((rows[mask], depth + 1, node, 4))
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
-
-    return grow
-
-
-def _samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int, key: list[Column]) -> DataFrame:
-    """Per tree, the ``sample`` rows of smallest hash."""
-    # The trees that may draw a row are found in its own hashes, so no row is copied to the others.
-    keep = min(1.0, 4.0 * sample / max(n, 1))
+    points = F.greatest(n.cast("double"), F.lit(2.0))
+    depth = 2.0 * (F.log(points - 1.0) + EULER_GAMMA) - 2.0 * (points - 1.0) / points
+    return F.when(n > 2, depth).when(n == 2, 1.0).otherwise(0.0)
+
+
+def _digest(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def _number(digest: Column, start: int = 1) -> Column:
+    """52 bits of a digest, from its ``start``-th hexadecimal digit on."""
+    return F.conv(F.substring(digest, start, DIGITS), 16, 10).cast("long")
+
+
+def _order(seed: int, trees: int) -> tuple[Column, Column]:
+    """Factor and offset of every tree's order of the days: (factor * day + offset) modulo ``PRIME``."""
+
+    def drawn(kind: str, tree: int) -> int:
+        return int(hashlib.md5(f"{seed}|{kind}|{tree}".encode()).hexdigest()[:DIGITS], 16)
+
+    factors = [1 + drawn("factor", t) % (PRIME - 1) for t in range(trees)]
+    offsets = [drawn("offset", t) % PRIME for t in range(trees)]
+    return tuple(F.array(*[F.lit(v).cast("long") for v in column]) for column in (factors, offsets))
+
+
+def samples(rows: DataFrame, keys: list[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """Rows of every tree's sample. ``rows`` have ``_day``, their place modulo ``PRIME``, and ``_rows``, the series' length.
+
+    The trees that may draw a row are found in its own place, so no row is copied to the others.
+    """
+    factor, offset = _order(seed, trees)
     every = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = rows.withColumn("tree", F.explode(F.filter(every, lambda t: _unit_hash(seed, t, *key) < keep)))
-    drawn = drawn.withColumn("_priority", _unit_hash(seed, F.col("tree"), *key))
-    ranked = Window.partitionBy("tree").orderBy("_priority", *key)
-    return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample)
 
+    def place(t: Column) -> Column:
+        return F.pmod(factor[t] * F.col("_day") + offset[t], F.lit(PRIME))
+
+    early = F.filter(every, lambda t: place(t) * F.col("_rows") < 4 * sample * PRIME)
+    drawn = rows.withColumn("tree", F.explode(early)).withColumn("_place", place(F.col("tree")))
+    ranked = Window.partitionBy(*keys, "tree").orderBy("_place", *[c for c in rows.columns if c not in (*keys, "_rows")])
+    return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample).drop("_rank", "_place")
+
+
+def grow(drawn: DataFrame, values: list[str], keys: list[str], sample: int, seed: int) -> DataFrame:
+    """``tree, node, feature, value`` of every node: its cut, or at a leaf (feature -1) its path length.
 
-def fit_forest(
+    The children of node i are 2i, at or below the cut, and 2i + 1.
+    """
+    size = F.least(F.col("_rows"), F.lit(sample))
+    height = F.greatest(F.lit(1), F.ceil(F.log2(size.cast("double")))).alias("_height")
+    names = [f"_v{j}" for j in range(len(values))]
+    rows = drawn.select(*keys, "tree", height, F.lit(1).cast("long").alias("_node"), *[F.col(v).alias(n) for v, n in zip(values, names)])
+    steps = []
+    for depth in range(max(1, math.ceil(math.log2(max(sample, 2)))) + 1):
+        node = Window.partitionBy(*keys, "tree", "_node")
+        spans = {f"_lo{j}": F.min(n).over(node) for j, n in enumerate(names)} | {f"_hi{j}": F.max(n).over(node) for j, n in enumerate(names)}
+        rows = rows.withColumns(spans | {"_size": F.count(F.lit(1)).over(node)})
+
+        def picked(prefix: str) -> Column:
+            return F.get(F.array(*[F.col(f"{prefix}{j}") for j in range(len(names))]), F.col("_pick"))
+
+        open_ = F.array_compact(F.array(*[F.when(F.col(f"_hi{j}") > F.col(f"_lo{j}"), F.lit(j)) for j in range(len(names))]))
+        inner = (F.lit(depth) < F.col("_height")) & (F.col("_size") > 1) & (F.size("_open") > 0)
+        digest = _digest(F.lit(seed), *[F.col(k) for k in keys], F.col("tree"), F.col("_node"))
+        pick = F.get("_open", F.floor(_number(F.col("_drawn")) / FRACTION * F.size("_open")).cast("int"))
+        cut = F.col("_low") + _number(F.col("_drawn"), DIGITS + 1) / FRACTION * (picked("_hi") - F.col("_low"))
+        value = F.when(F.col("_pick") >= 0, F.col("_cut")).otherwise(F.lit(float(depth)) + average_path(F.col("_size")))
+        step = F.struct(F.col("_node").alias("node"), F.col("_pick").alias("feature"), value.alias("value"))
+        below = 2 * F.col("_node") + F.when(picked("_v") > F.col("_cut"), 1).otherwise(0)
+        steps.append(f"_step{depth}")
+        # each column may use those before it
+        rows = rows.select(
+            "*",
+            open_.alias("_open"),
+            F.when(inner, digest).alias("_drawn"),
+            F.coalesce(pick, F.lit(-1)).alias("_pick"),
+            picked("_lo").alias("_low"),
+            cut.alias("_drawn_cut"),
+            F.when(F.col("_drawn_cut") < picked("_hi"), F.col("_drawn_cut")).otherwise(F.col("_low")).alias("_cut"),
+            F.when(F.col("_node").isNotNull(), step).alias(steps[-1]),
+            F.when(F.col("_pick") >= 0, below).alias("_below"),
+        ).select(*keys, "tree", "_height", F.col("_below").alias("_node"), *names, *steps)
+    each = rows.select(*keys, "tree", F.explode(F.array_compact(F.array(*steps))).alias("_step"))
+    return each.groupBy(*keys, "tree", F.col("_step.node").alias("node")).agg(
+        F.first("_step.feature").alias("feature"), F.first("_step.value").alias("value")
+    )
+
+
+def packed(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: ``roots``, and by place ``feature``, ``left`` (the right child follows it) and ``value``.
+
+    Level by level the children of the k-th inner node of a tree are its nodes 2k + 1 and 2k + 2.
+    """
+    forest = Window.partitionBy(*keys).orderBy("tree", "node")
+    earlier = Window.partitionBy(*keys, "tree").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.count_if(F.col("feature") >= 0).over(earlier), F.lit(0))
+    placed = nodes.withColumns({"at": F.row_number().over(forest) - 1, "_inner": inner, "_in_tree": F.coalesce(F.count(F.lit(1)).over(earlier), F.lit(0))})
+    left = (F.col("at") - F.col("_in_tree") + 2 * F.col("_inner") + 1).cast("int")
+    row = F.struct("at", (F.col("node") == 1).alias("root"), "feature", left.alias("left"), "value")
+    packs = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_nodes"))
+    roots = F.transform(F.filter("_nodes", lambda n: n["root"]), lambda n: n["at"])
+    return packs.select(*keys, roots.alias("_roots"), *[F.col(f"_nodes.{c}").alias(f"_{c}") for c in ("feature", "left", "value")])
+
+
+def path_length(x: Column, sample: int) -> Column:
+    """Sum over the trees of the path that the values ``x`` take through the arrays of ``packed``."""
+    levels = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(sample, 2))))))
+
+    def step(n: Column, _: Column) -> Column:
+        feature = F.get("_feature", n)
+        right = F.when(F.get(x, feature) > F.get("_value", n), 1).otherwise(0)
+        return F.when(feature < 0, n).otherwise(F.get("_left", n) + right)
+
+    return F.aggregate("_roots", F.lit(0.0), lambda total, root: total + F.get("_value", F.aggregate(levels, root, step)))
+
+
+def scores(
     df: DataFrame,
-    values=CORE_VARIABLES,
+    values: list[str],
     trees: int = DEFAULTS.forest_trees,
     sample: int = DEFAULTS.forest_sample,
     seed: int = DEFAULTS.forest_seed,
     keys=SERIES,
-) -> tuple[Forest, dict] | None:
-    """Grow one forest over the complete rows of all series; None with under two columns or ten rows."""
-    names = present(df, values)
-    if len(names) < 2:
-        return None
-    complete = df.dropna(subset=names)
-    moments = complete.agg(
-        F.count("*").alias("n"),
-        *[F.avg(c).alias(f"mean_{c}") for c in names],
-        *[F.stddev_pop(c).alias(f"std_{c}") for c in names],
-    ).first().asDict()
-    n = moments["n"]
-    if n < LEAST_ROWS:
-        return None
-    size = min(sample, n)
-    height = max(1, math.ceil(math.log2(size)))
-    key = [F.col(k) for k in (*keys, DATE)]
-    scaled = complete.select(*key, *[_scaled(c, moments).alias(f"_f{j}") for j, c in enumerate(names)])
-    drawn = _samples(scaled, n, trees, size, seed, key)
-    nodes = spread(drawn, "tree").groupBy("tree").applyInPandas(_grow(len(names), height, seed), NODES).toPandas()
-    return _pack(nodes, names, size, height), moments
-
-
-def _scaled(c: str, moments: dict) -> Column:
-    return (F.col(c) - moments[f"mean_{c}"]) / (moments[f"std_{c}"] or 1.0)
-
-
-def _pack(nodes: pd.DataFrame, names: list[str], sample: int, height: int) -> Forest:
-    by_tree = [g.sort_values("node") for _, g in nodes.groupby("tree", sort=True)]
-    width = max(len(g) for g in by_tree)
-
-    def grid(column: str, fill, kind) -> np.ndarray:
-        out = np.full((len(by_tree), width), fill, dtype=kind)
-        for i, g in enumerate(by_tree):
-            out[i, : len(g)] = g[column].to_numpy()
-        return out
-
-    return Forest(
-        names,
-        grid("feature", -1, np.int32),
-        grid("threshold", 0.0, float),
-        grid("left", -1, np.int32),
-        grid("right", -1, np.int32),
-        grid("path", 0.0, float),
-        sample,
-        height,
-    )
-
-
-def score(df: DataFrame, forest: Forest, moments: dict, out: str = "anomaly_score") -> DataFrame:
-    """Anomaly score in (0, 1) per complete row, null otherwise; the forest is a small broadcast."""
-    # At most trees * (2 * sample - 1) nodes, as plain arrays.
-    shared = df.sparkSession.sparkContext.broadcast(
-        (forest.feature, forest.threshold, forest.left, forest.right, forest.path)
-    )
-    height = forest.height
-    scale = -1.0 / (float(average_path(forest.sample)) * len(forest.feature))
-
-    @F.pandas_udf(DoubleType())
-    def score_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        feature, threshold, left, right, path = shared.value
-        for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            usable = ~np.isnan(x).any(axis=1)
-            rows = x[usable]
-            depth = np.zeros(len(rows))
-            at_row = np.arange(len(rows))
-            for t in range(len(feature)):
-                node = np.zeros(len(rows), dtype=np.int32)
-                for _ in range(height):
-                    j = feature[t, node]
-                    down = rows[at_row, np.maximum(j, 0)] <= threshold[t, node]
-                    node = np.where(j >= 0, np.where(down, left[t, node], right[t, node]), node)
-                depth += path[t, node]
-            result = np.full(len(x), np.nan)
-            result[usable] = np.exp2(depth * scale)
-            yield pd.Series(result)
-
-    scaled = F.struct(*[_scaled(c, moments).alias(f"f{j}") for j, c in enumerate(forest.features)])
-    value = score_batch(scaled)
-    return df.withColumn(out, value).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    pooled: bool = False,
+) -> DataFrame:
+    """Key, day and ``anomaly_score`` of the complete rows; none for forests of under ten rows."""
+    day = F.pmod(_number(_digest(*[F.col(k) for k in (*keys, DATE)])), F.lit(PRIME))
+    by = ["_forest"] if pooled else list(keys)
+    rows = df.dropna(subset=[*values, DATE]).select(*keys, DATE, *values)
+    rows = materialize(rows.withColumn("_day", day).withColumn("_forest", F.lit("all")))
+    lengths = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= LEAST_ROWS)
+    counted = attach(spread(rows, *keys, DATE), lengths, by)
+    order = [c for c in (DATE, *keys) if c not in by]
+    drawn = samples(counted.select(*by, *order, "_day", "_rows", *values), by, trees, sample, seed)
+    forests = packed(grow(spread(drawn, *by, "tree"), values, by, sample, seed), by).join(lengths, by)
+    mean = average_path(F.least(F.col("_rows"), F.lit(sample))) * F.size("_roots")
+
+    def scored(x: Column) -> Column:
+        return F.pow(F.lit(2.0), -path_length(x, sample) / mean).alias(SCORE)
+
+    if pooled:  # one row of bounded size
+        return rows.join(F.broadcast(forests), by).select(*keys, DATE, scored(F.array(*values)))
+    # the days of a series and its nodes meet once, as arrays: no node is copied to a day
+    days = spread(rows, *keys).groupBy(*keys).agg(F.collect_list(F.struct(DATE, F.array(*values).alias("x"))).alias("_days"))
+    met = days.join(forests, list(keys))
+    return met.select(*keys, F.inline(F.transform("_days", lambda d: F.struct(d[DATE].alias(DATE), scored(d["x"])))))
 
 
 def global_quantile(df: DataFrame, value: str, q: float, buckets: int = 1 << 14) -> float | None:
@@ -226,83 +221,6 @@ def global_quantile(df: DataFrame, value: str, q: float, buckets: int = 1 << 14)
     return lower + (at(second) - lower) * (rank - first)
 
 
-def _grow_packed(features: int, sample: int, seed: int, keys):
-    """A tree of one series as one row, its nodes as five rows of doubles."""
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = min(sample, int(pdf["_rows"].iloc[0]))
-        nodes = _grow(features, max(1, math.ceil(math.log2(size))), seed)(pdf)
-        packed = nodes[["feature", "threshold", "left", "right", "path"]].to_numpy(float).T
-        row = {**{k: pdf[k].iloc[0] for k in keys}, "tree": nodes["tree"].iloc[0], "size": size, "nodes": packed.tobytes("C")}
-        return pd.DataFrame([row])
-
-    return grow
-
-
-def _score_packed(features: int, keys):
-    """Scores of a block of rows by the trees of its series."""
-    kept = [*keys, DATE]
-
-    def score_rows(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        x = rows[[f"_f{j}" for j in range(features)]].to_numpy(float)
-        at_row, depth = np.arange(len(x)), np.zeros(len(x))
-        for raw in forest.sort_values("tree")["nodes"]:
-            grid = np.frombuffer(raw).reshape(5, -1)
-            feature, left, right = (grid[i].astype(np.int32) for i in (0, 2, 3))
-            node = np.zeros(len(x), np.int32)
-            while (feature[node] >= 0).any():
-                j = feature[node]
-                down = x[at_row, np.maximum(j, 0)] <= grid[1][node]
-                node = np.where(j >= 0, np.where(down, left[node], right[node]), node)
-            depth += grid[4][node]
-        size = forest["size"].max() if len(forest) else 2
-        return rows[kept].assign(anomaly_score=np.exp2(-depth / (float(average_path(size)) * max(len(forest), 1))))
-
-    return score_rows
-
-
-def series_scores(
-    df: DataFrame,
-    names: list[str],
-    trees: int = DEFAULTS.forest_trees,
-    sample: int = DEFAULTS.forest_sample,
-    seed: int = DEFAULTS.forest_seed,
-    keys=SERIES,
-) -> DataFrame:
-    """Key, day and ``anomaly_score`` of the complete rows, by the forest of their own series.
-
-    Series under ten complete rows have no scores.
-    """
-    complete = df.dropna(subset=[*names, DATE])
-    moments = complete.groupBy(*keys).agg(
-        F.count("*").alias("_rows"),
-        *[F.avg(c).alias(f"_mean_{c}") for c in names],
-        *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_std_{c}") for c in names],
-    )
-    key = [F.col(k) for k in (*keys, DATE)]
-    features = [((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}")).alias(f"_f{j}") for j, c in enumerate(names)]
-    with_moments = attach(complete.select(*key, *names), moments.filter(F.col("_rows") >= LEAST_ROWS), keys)
-    scaled = materialize(with_moments.select(*key, "_rows", *features))
-
-    # The trees that may draw a row are found in its own hashes, so no row is copied to the others.
-    keep = 4.0 * sample / F.col("_rows")
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = scaled.withColumn("tree", F.explode(F.filter(every, lambda t: _unit_hash(seed, t, *key) < keep)))
-    drawn = spread(drawn.withColumn("_priority", _unit_hash(seed, F.col("tree"), *key)), *keys, "tree")
-    ranked = Window.partitionBy(*keys, "tree").orderBy("_priority", *key)
-    drawn = drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample)
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    grown = drawn.groupBy(*keys, "tree").applyInPandas(
-        _grow_packed(len(names), sample, seed, keys), f"{kinds}, tree int, size long, nodes binary"
-    )
-    blocked = in_blocks(scaled.drop("_rows"))
-    blocks = blocked.select(*keys, F.col(BLOCK).alias("_of")).distinct()
-    forests = materialize(grown).join(blocks, list(keys)).groupBy(*keys, "_of")
-    return blocked.groupBy(*keys, BLOCK).cogroup(forests).applyInPandas(
-        _score_packed(len(names), keys), f"{kinds}, {DATE} date, anomaly_score double"
-    )
-
-
 def forest_flags(
     df: DataFrame,
     values=CORE_VARIABLES,
@@ -315,23 +233,19 @@ def forest_flags(
 ) -> DataFrame:
     """True for the ``contamination`` share of each series' complete rows that isolate fastest.
 
-    ``pooled`` scales, fits and cuts over all series at once.
+    ``pooled`` grows one forest and finds one cut over all series. Rows that are not complete, and
+    all rows where there are under two variables or ten rows, are not flagged.
     """
     names = present(df, values)
-    if not pooled and len(names) < 2:
-        return df.withColumn(FOREST, F.lit(False))
-    if not pooled:
-        # Scores are written once: the cuts and the flags both read them. One reading a day bounds
-        # the values that a cut is found in.
-        scores = materialize(series_scores(df, names, trees, sample, seed, keys))
-        cuts = scores.groupBy(*keys).agg(F.percentile("anomaly_score", F.lit(1.0 - contamination)).alias("_cut"))
-        flagged = attach(scores, cuts, keys).withColumn(FOREST, F.col("anomaly_score") > F.col("_cut")).drop("_cut")
-        return df.join(flagged, [*keys, DATE], "left").na.fill(False, [FOREST])
-    fitted = fit_forest(df, values, trees, sample, seed, keys)
-    if fitted is None:
+    if len(names) < 2:
         return df.withColumn(FOREST, F.lit(False))
-    # Scores are written once: the quantile and the flags both read them.
-    scored = materialize(score(df, *fitted))
-    cut = global_quantile(scored, "anomaly_score", 1.0 - contamination)
-    flag = F.coalesce(F.col("anomaly_score") > F.lit(cut), F.lit(False))
-    return scored.withColumn(FOREST, flag)
+    # Scores are written once: the cuts and the flags both read them. One reading a day bounds
+    # the values that a cut is found in.
+    found = materialize(scores(df, names, trees, sample, seed, keys, pooled))
+    if pooled:
+        cut = global_quantile(found, SCORE, 1.0 - contamination)
+        flagged = found.withColumn(FOREST, F.col(SCORE) > F.lit(cut))
+    else:
+        cuts = found.groupBy(*keys).agg(F.percentile(SCORE, F.lit(1.0 - contamination)).alias("_cut"))
+        flagged = found.join(cuts, list(keys)).withColumn(FOREST, F.col(SCORE) > F.col("_cut")).drop("_cut")
+    return df.join(flagged, [*keys, DATE], "left").na.fill(False, [FOREST])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,7 @@ from tsengine.functions.columns import nan_to_null, safe_divide, snake_case, tot
 from tsengine.operators.features import numeric_columns
 from tsengine.operators.joins import attach
 from tsengine.schema import DATE, DEFAULTS, PANEL_SCHEMA, REQUIRED, SERIES, VARIABLES, present
+from tsengine.session import materialize
 
 
 def schema_issues(df: DataFrame) -> list[tuple[str, str]]:
@@ -50,17 +53,16 @@ def date_bounds(
     )
 
 
+def _typed(df: DataFrame, name: str) -> Column:
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    if name == DATE:
+        return F.to_date(F.try_to_timestamp(DATE)) if text else F.to_date(DATE)
+    return nan_to_null(F.col(name).try_cast("double") if text else F.col(name).cast("double"))
+
+
 def convert_types(df: DataFrame, keys=SERIES) -> DataFrame:
     """Date and variables to their types; what cannot be read becomes null, NaN too."""
-    casts = {}
-    if DATE in df.columns:
-        kind = df.schema[DATE].dataType
-        is_text = isinstance(kind, T.StringType)
-        casts[DATE] = F.to_date(F.try_to_timestamp(DATE)) if is_text else F.to_date(DATE)
-    for name in present(df, VARIABLES):
-        text = isinstance(df.schema[name].dataType, T.StringType)
-        casts[name] = nan_to_null(F.col(name).try_cast("double") if text else F.col(name).cast("double"))
-    return df.withColumns(casts)
+    return df.withColumns({c: _typed(df, c) for c in (DATE, *VARIABLES) if c in df.columns})
 
 
 def _measured(df: DataFrame, keys) -> list[str]:
@@ -245,9 +247,97 @@ def rejected_rows(df: DataFrame, keys=SERIES) -> DataFrame:
     return dated.groupBy(*keys).agg(F.count("*").alias("total_rows"), F.count_if(F.col(DATE).isNull()).alias("rejected_rows"))
 
 
-def load_and_validate(df: DataFrame) -> DataFrame:
-    """Raise on missing required columns before any job, then coerce types."""
-    missing = [detail for kind, detail in schema_issues(df) if kind == "missing_column"]
+def rejected_cells(df: DataFrame) -> Column:
+    """Array of (column_name, value, reason) of the cells that ``convert_types`` cannot read."""
+    typed = {c: _typed(df, c) for c in (DATE, *VARIABLES) if c in df.columns}
+    cells = []
+    for c, value in typed.items():
+        raw = F.col(c).cast("string")
+        reason = F.when(F.trim(raw) == "", "empty").when(F.lower(F.trim(raw)) == "nan", "not a number")
+        reason = reason.otherwise("no date" if c == DATE else "not numeric")
+        cell = F.struct(F.lit(c).alias("column_name"), raw.alias("value"), reason.alias("reason"))
+        cells.append(F.when(F.col(c).isNotNull() & value.isNull(), cell))
+    return F.array_compact(F.array(*cells))
+
+
+class Validated:
+    """Outcome of ``load_and_validate``: typed rows, and what their one pass has measured.
+
+    ``written`` runs that pass; the report, the bounds and the issues' cell counts are measured in it
+    and cost no further scan. Where nothing has run yet, the first of them runs it without keeping rows.
+    """
+
+    def __init__(self, source: DataFrame, issues: list[tuple[str, str]], start: str, end: str, keys):
+        self.source, self._issues, self.start, self.end, self.keys = source, issues, start, end, keys
+        self._seen, self._ran = Observation(), False
+        self.names = _measured(source, keys)
+        typed = source.withColumn("_cells", rejected_cells(source))
+        checked = [c for c in (DATE, *VARIABLES) if c in source.columns]
+        rejected = [F.count_if(F.array_contains("_cells.column_name", c)).alias(f"rejected_{c}") for c in checked]
+        missing = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in self.names]
+        bounds = [F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date")] if DATE in source.columns else []
+        typed = convert_types(typed).observe(self._seen, F.count(F.lit(1)).alias("total_rows"), *bounds, *rejected, *missing)
+        self.rows = typed.drop("_cells")
+
+    def written(self, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The rows, after ``shape``, as a table; running this once gives all measures."""
+        if self._ran:  # an observation is filled once
+            return materialize(shape(self.rows))
+        out = materialize(shape(self.rows))
+        self._ran = True
+        return out
+
+    @property
+    def measures(self) -> dict:
+        if not self._ran:
+            self.rows.write.format("noop").mode("overwrite").save()
+            self._ran = True
+        return self._seen.get
+
+    def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.source.sparkSession.createDataFrame(rows, schema)
+
+    def issues(self) -> DataFrame:
+        """Schema issues with the number of cells of the column that could not be read."""
+        rows = []
+        for kind, detail in self._issues:
+            column = detail.split(":")[0]
+            rows.append((kind, detail, column, self.measures.get(f"rejected_{column}") or 0))
+        return self._frame(rows, "issue_type string, detail string, column_name string, rejected_cells long")
+
+    def bounds(self) -> DataFrame:
+        """First and last day of all rows, and whether they miss the wanted period."""
+        first, last = (self.measures.get(f"{side}_date") for side in ("first", "last"))
+        days = self._frame([(first, last)], "first_date date, last_date date")
+        late, early = F.col("first_date") > F.lit(self.start).cast("date"), F.col("last_date") < F.lit(self.end).cast("date")
+        return days.withColumns({"starts_late": late, "ends_early": early})
+
+    def report(self) -> DataFrame:
+        """Rows, cells and missing cells of the typed rows, and missing and rejected cells per column."""
+        seen = self.measures
+        total, missing = seen["total_rows"], sum(seen[f"missing_{c}"] for c in self.names)
+        rows = [(c, total, len(self.names), missing, seen[f"missing_{c}"], seen.get(f"rejected_{c}", 0)) for c in self.names]
+        schema = "column_name string, total_rows long, total_columns long, missing_cells long, missing long, rejected long"
+        cells = F.col("total_rows") * F.col("total_columns")
+        return self._frame(rows, schema).withColumns(
+            {
+                "total_cells": cells,
+                "missing_percentage": F.round(safe_divide(F.col("missing_cells") * 100.0, cells), 2),
+                "column_missing_percentage": F.round(safe_divide(F.col("missing") * 100.0, F.col("total_rows")), 2),
+            }
+        )
+
+    def rejects(self) -> DataFrame:
+        """A row for every cell that could not be read: series, raw row as JSON, column, value and reason."""
+        raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.source.columns]))
+        rows = self.source.select(*self.keys, raw.alias("raw"), rejected_cells(self.source).alias("_cells"))
+        return rows.filter(F.size("_cells") > 0).select(*self.keys, "raw", F.inline("_cells"))
+
+
+def load_and_validate(df: DataFrame, start: str = DEFAULTS.start_date, end: str = DEFAULTS.end_date, keys=SERIES) -> Validated:
+    """Raise on missing required columns before any job, then coerce types and measure the rows on their way."""
+    issues = schema_issues(df)
+    missing = [detail for kind, detail in issues if kind == "missing_column"]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    return convert_types(df)
+    return Validated(df, issues, start, end, keys)

@@ -126,6 +126,30 @@ Q["quality_report"] = chain(PANEL, SPINE, f"c AS ({_counts})") + out(
     "missing_percentage column_missing_percentage",
     "total_rows total_columns total_cells missing_cells missing",
 )
+_texts = ", ".join(
+    f"CASE WHEN day(date) % 7 = 3 THEN 'n/a' WHEN day(date) % 11 = 5 THEN 'NaN' ELSE CAST({v} AS VARCHAR) END AS {v}" for v in VARS
+)
+BROKEN = f"""broken AS (SELECT series_id, date AS day, CASE WHEN day(date) = 13 THEN 'x' ELSE CAST(date AS VARCHAR) END AS date, {_texts} FROM panel),
+bad AS ({' UNION ALL '.join(
+    f"SELECT series_id, '{v}' AS column_name, CASE WHEN {v} = 'NaN' THEN 'not a number' ELSE 'not numeric' END AS reason, {v} AS value FROM broken WHERE {v} IN ('n/a', 'NaN')" for v in VARS
+)} UNION ALL SELECT series_id, 'date', 'no date', NULL FROM broken WHERE date = 'x'),
+gone AS ({' UNION ALL '.join(
+    f"SELECT '{v}' AS column_name, count(*) FILTER ({v} IS NULL OR {v} IN ('n/a', 'NaN', 'x')) AS missing, count(*) AS total_rows FROM broken" for v in ('date', *VARS)
+)})"""
+Q["validation_rejects"] = chain(PANEL, BROKEN) + "SELECT series_id, column_name, reason, value, count(*) AS cells FROM bad GROUP BY ALL"
+Q["validation_issues"] = chain(PANEL, BROKEN) + """SELECT 'type_mismatch' AS issue_type,
+ column_name || ': expected ' || CASE column_name WHEN 'date' THEN 'date' ELSE 'double' END || ', got string' AS detail, column_name, count(*) AS rejected_cells
+ FROM bad GROUP BY ALL"""
+Q["validation_bounds"] = chain(PANEL) + """SELECT min(date) AS first_date, max(date) AS last_date, min(date) > DATE '1995-01-02' AS starts_late,
+ max(date) < DATE '2001-12-31' AS ends_early FROM panel WHERE day(date) <> 13"""
+Q["validation_report"] = chain(PANEL, BROKEN) + out(
+    """SELECT g.column_name, total_rows, 8 AS total_columns, total_rows * 8 AS total_cells, sum(missing) OVER () AS missing_cells, missing,
+ coalesce(b.n, 0) AS rejected, round(sum(missing) OVER () * 1e2 / (total_rows * 8), 2) AS missing_percentage,
+ round(missing * 1e2 / total_rows, 2) AS column_missing_percentage FROM gone g
+ LEFT JOIN (SELECT column_name, count(*) AS n FROM bad GROUP BY column_name) b USING (column_name)""",
+    "missing_percentage column_missing_percentage",
+    "total_columns total_cells missing_cells missing rejected",
+)
 _outliers = " UNION ALL ".join(
     f"""SELECT series_id, count(*) AS total_rows, '{v}' AS column_name,
  count(*) FILTER (abs(({v} - m) / nullif(s, 0)) > 3) AS outliers FROM
@@ -234,6 +258,15 @@ Q["preprocess"] = chain(
 ) + out(
     lagged("featured", "* EXCLUDE (l1, l7, l30)"), f"{ALL} {MA_COLUMNS} {LAG_COLUMNS}", "year month day_of_year"
 )
+_engineered = f"year month day_of_year season {MA_COLUMNS} {LAG_COLUMNS}".split()
+Q["engineered_catalogue"] = chain(
+    PANEL, IMPUTED.replace("FROM spine", "FROM panel"),
+    f"featured AS (SELECT *, year(date) AS year, month(date) AS month, dayofyear(date) AS day_of_year, {SEASON}, {', '.join(_mas)} FROM imputed)",
+    f"laid AS ({lagged('featured', '* EXCLUDE (l1, l7, l30)')})",
+) + " UNION ALL ".join(
+    f"""SELECT '{'lag' if '_lag' in c else 'rolling' if '_ma' in c else 'temporal'}' AS kind, '{c}' AS column_name, count({c}) AS filled FROM laid"""
+    for c in _engineered
+)
 Q["elapsed_days"] = chain(PANEL) + out(
     "SELECT series_id, date, temperature, date - min(date) OVER (PARTITION BY series_id) AS elapsed FROM panel",
     "temperature", "elapsed",
@@ -937,4 +970,74 @@ Q["holt_winters_fixed_forecast"] = chain(
     "forecast", "step",
 )
 
+# The forest: trees level by level, then every row walks every tree.
+FOREST_SEED, FOREST_TREES, FOREST_SAMPLE, PRIME = 42, 100, 256, 2147483647
+HEIGHT = 8
+
+
+def bits(text: str, start: int = 1) -> str:
+    return f"CAST('0x' || substr(md5({text}), {start}, 13) AS BIGINT)"
+
+
+def forest_ctes(source: str = "panel") -> str:
+    k = range(len(CORE))
+    ctes = [
+        f"""complete AS (SELECT series_id, date, {', '.join(f'{c} AS f{j}' for j, c in enumerate(CORE))},
+ {bits("concat_ws('|', series_id, CAST(date AS VARCHAR))")} % {PRIME} AS day FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CORE)})""",
+        "lengths AS (SELECT series_id, count(*) AS n FROM complete GROUP BY series_id HAVING count(*) >= 10)",
+        f"""orders AS (SELECT t AS tree, 1 + {bits(f"concat('{FOREST_SEED}|factor|', t)")} % {PRIME - 1} AS factor,
+ {bits(f"concat('{FOREST_SEED}|offset|', t)")} % {PRIME} AS off FROM range({FOREST_TREES}) r(t))""",
+        f"""level0 AS (SELECT series_id, tree, 1 AS node, greatest(1, ceil(log2(least(n, {FOREST_SAMPLE})))) AS height,
+ {', '.join(f'f{j}' for j in k)} FROM complete JOIN lengths USING (series_id) CROSS JOIN orders
+ QUALIFY row_number() OVER (PARTITION BY series_id, tree ORDER BY (factor * day + off) % {PRIME}, date) <= {FOREST_SAMPLE})""",
+    ]
+    for d in range(HEIGHT + 1):
+        spans = ", ".join(f"min(f{j}) AS lo{j}, max(f{j}) AS hi{j}" for j in k)
+        open_ = ", ".join(f"CASE WHEN hi{j} > lo{j} THEN {j} END" for j in k)
+        seeded = f"concat_ws('|', '{FOREST_SEED}', series_id, tree, node)"
+        ctes += [
+            f"span{d} AS (SELECT series_id, tree, node, any_value(height) AS height, count(*) AS n, {spans} FROM level{d} GROUP BY series_id, tree, node)",
+            f"""open{d} AS (SELECT *, list_filter([{open_}], lambda j: j IS NOT NULL) AS o FROM span{d})""",
+            f"""pick{d} AS (SELECT *, CASE WHEN {d} < height AND n > 1 AND len(o) > 0
+ THEN o[1 + CAST(floor({bits(seeded)} / 4503599627370496.0::DOUBLE * len(o)) AS INT)] ELSE -1 END AS feature,
+ {bits(seeded, 14)} / 4503599627370496.0::DOUBLE AS u FROM open{d})""",
+            f"""cut{d} AS (SELECT *, [{', '.join(f'lo{j}' for j in k)}][feature + 1] AS low, [{', '.join(f'hi{j}' for j in k)}][feature + 1] AS high FROM pick{d})""",
+            f"""node{d} AS (SELECT series_id, tree, node, feature, CASE WHEN feature < 0 THEN {d} + CASE WHEN n > 2
+ THEN 2 * (ln(n - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * (n - 1.0::DOUBLE) / n WHEN n = 2 THEN 1 ELSE 0 END
+ WHEN low + u * (high - low) < high THEN low + u * (high - low) ELSE low END AS value FROM cut{d})""",
+            f"""level{d + 1} AS (SELECT l.series_id, l.tree, 2 * l.node + CASE WHEN [{', '.join(f'f{j}' for j in k)}][feature + 1] > value THEN 1 ELSE 0 END AS node,
+ height, {', '.join(f'f{j}' for j in k)} FROM level{d} l JOIN node{d} USING (series_id, tree, node) WHERE feature >= 0)""",
+        ]
+    ctes.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM node{d}" for d in range(HEIGHT + 1)) + ")")
+    xs = ", ".join(f"f{j}" for j in k)
+    ctes.append(f"""walk0 AS (SELECT series_id, date, tree, [{xs}] AS x, feature, value, node FROM complete JOIN nodes USING (series_id) WHERE node = 1)""")
+    for d in range(HEIGHT):
+        ctes.append(f"""walk{d + 1} AS (SELECT w.series_id, w.date, w.tree, w.x, n.feature, n.value, n.node FROM walk{d} w JOIN nodes n
+ ON n.series_id = w.series_id AND n.tree = w.tree
+ AND n.node = CASE WHEN w.feature < 0 THEN w.node ELSE 2 * w.node + CASE WHEN w.x[w.feature + 1] > w.value THEN 1 ELSE 0 END END)""")
+    ctes += [
+        f"""scores AS (SELECT series_id, date, list_reduce(list(value ORDER BY tree), lambda p, q: p + q) AS depth FROM walk{HEIGHT} GROUP BY series_id, date)""",
+        f"""sized AS (SELECT *, least(n, {FOREST_SAMPLE}) AS size FROM scores JOIN lengths USING (series_id))""",
+        f"""scored AS (SELECT series_id, date, pow(2, -depth / ((2 * (ln(size - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * (size - 1.0::DOUBLE) / size) * {FOREST_TREES})) AS anomaly_score FROM sized)""",
+        "cuts AS (SELECT series_id, quantile_cont(anomaly_score, 0.95) AS cut FROM scored GROUP BY series_id)",
+        f"""forest AS (SELECT p.*, s.anomaly_score, coalesce(s.anomaly_score > c.cut, false) AS anomaly_iforest FROM {source} p
+ LEFT JOIN scored s USING (series_id, date) LEFT JOIN cuts c USING (series_id))""",
+    ]
+    return ",\n".join(ctes)
+
+
+Q["isolation_forest"] = chain(PANEL, forest_ctes()) + out("SELECT * FROM forest", ALL + " anomaly_score")
+
+Q["anomaly_pipeline"] = chain(
+    PANEL,
+    FLAGGED,
+    forest_ctes("flagged"),
+    "combined AS (SELECT * REPLACE (anomaly_zscore OR anomaly_iforest AS anomaly_zscore), anomaly_zscore AS z FROM forest)",
+    ANOMALIES.replace("FROM flagged", "FROM combined").replace("count(*) FILTER (anomaly_zscore) AS zscore_days", "count(*) FILTER (z) AS zscore_days, count(*) FILTER (anomaly_iforest) AS iforest_days"),
+) + out(
+    "SELECT * FROM an",
+    "anomaly_mean anomaly_max anomaly_min overall_mean anomaly_percentage",
+    "total_rows total_anomaly_days zscore_days iforest_days",
+)
+
 ORACLE = Q

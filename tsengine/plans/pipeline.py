@@ -150,10 +150,9 @@ def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | N
     All but the forecast works on the observed days; the forecaster adds the missing ones as
     nulls. Rows without a readable date are counted in ``rejected`` and take no further part.
     """
-    checked = quality.load_and_validate(panel)
-    rejected = quality.rejected_rows(checked, keys)
-    daily = one_row_per_day(checked.filter(F.col(DATE).isNotNull()), keys)
-    featured = materialize(preprocess(materialize(daily), settings=settings, keys=keys))
+    checked = quality.load_and_validate(panel, settings.start_date, settings.end_date, keys)
+    daily = checked.written(lambda rows: one_row_per_day(rows.filter(F.col(DATE).isNotNull()), keys))
+    featured = materialize(preprocess(daily, settings=settings, keys=keys))
     flagged, anomalies = detect_anomalies(featured, settings, keys)
     flagged, anomalies = materialize(flagged), materialize(anomalies)
     trends = analyze_trends(featured, keys=keys)
@@ -170,7 +169,10 @@ def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | N
         executive_summary(flagged, anomalies, forecasts["summary"], trends["trends"], keys)
     )
     return {
-        "rejected": rejected,
+        "validation": {
+            "issues": checked.issues(), "bounds": checked.bounds(), "report": checked.report(), "rejects": checked.rejects()
+        },
+        "rejected": quality.rejected_rows(panel, keys),
         "features": featured,
         "flagged": flagged,
         "anomaly_summary": anomalies,

@@ -20,7 +20,7 @@ from tsengine.operators import (
     smoothing,
     trend,
 )
-from tsengine.operators.order import date_spine, framed, with_position
+from tsengine.operators.order import date_spine, framed, one_row_per_day, with_position
 from tsengine.plans import pipeline
 from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES
 from tsengine.session import materialize, scratch_path
@@ -116,13 +116,53 @@ def broken_text(spark, folder) -> DataFrame:
 
 
 def convert_types(spark, folder):
-    return shown(quality.load_and_validate(broken_text(spark, folder)))
+    return shown(quality.load_and_validate(broken_text(spark, folder)).rows)
 
 
-def rejected_rows(spark, folder):
+def broken_dates(spark, folder) -> DataFrame:
     """The panel as text, dates of the 13th unreadable."""
-    rows = broken_text(spark, folder)
-    return shown(quality.rejected_rows(rows.withColumn(DATE, F.regexp_replace(DATE, "-13$", "-x"))))
+    return broken_text(spark, folder).withColumn(DATE, F.regexp_replace(DATE, "-13$", "-x"))
+
+
+def validated(spark, folder) -> quality.Validated:
+    """The broken panel after its one pass, folded to a row per day on the way."""
+    checked = quality.load_and_validate(broken_dates(spark, folder), "1995-01-02", "2001-12-31")
+    checked.written(lambda rows: one_row_per_day(rows.filter(F.col(DATE).isNotNull())))
+    return checked
+
+
+def validation_issues(spark, folder):
+    return shown(validated(spark, folder).issues())
+
+
+def validation_bounds(spark, folder):
+    return shown(validated(spark, folder).bounds())
+
+
+def validation_report(spark, folder):
+    return shown(validated(spark, folder).report())
+
+
+def validation_rejects(spark, folder):
+    """Unreadable cells by column, reason and value; the many dates count as one."""
+    rows = quality.load_and_validate(broken_dates(spark, folder)).rejects()
+    rows = rows.withColumn("value", F.when(F.col("column_name") != DATE, F.col("value")))
+    cells = rows.groupBy("series_id", "column_name", "reason", "value").agg(F.count("*").alias("cells"))
+    return shown(cells)
+
+
+def engineered_catalogue(spark, folder):
+    """Derived columns of the features by kind, with their rows that have a value."""
+    rows = pipeline.preprocess(panel(spark, folder))
+    kinds = quality.engineered_columns(rows)
+    names = [r.column_name for r in kinds.collect()]  # a row for each column of the schema
+    counts = rows.agg(*[F.count(c).alias(c) for c in names])
+    filled = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in names])).alias("c"))
+    return shown(kinds.join(filled.select("c.*"), "column_name"))
+
+
+def rejected_rows(spark, folder):
+    return shown(quality.rejected_rows(broken_dates(spark, folder)))
 
 
 def date_bounds(spark, folder):
@@ -611,6 +651,11 @@ QUERIES = {
     "rename_columns": rename_columns,
     "convert_types": convert_types,
     "rejected_rows": rejected_rows,
+    "validation_issues": validation_issues,
+    "validation_bounds": validation_bounds,
+    "validation_report": validation_report,
+    "validation_rejects": validation_rejects,
+    "engineered_catalogue": engineered_catalogue,
     "date_bounds": date_bounds,
     "quality_report": quality_report,
     "quality_score": quality_score,
