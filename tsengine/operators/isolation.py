@@ -1,15 +1,15 @@
-"""Isolation forest: trees grown level by level as DataFrame steps, scored by an expression.
+"""Isolation forest: trees grown level by level and scored, both in Spark expressions.
 
 Every series has its own forest and cut. A tree's sample are the rows of its series that come first
 in a pseudo-random order of the days; draws and cuts come from ``md5`` of series, tree and node, so
 a forest depends on neither partitions nor engine. One exchange brings the samples together by
-series and tree; each level is then one window over the rows of a node, without a further exchange.
-A split compares a value with a cut between the node's smallest and largest one, so it is the same
-whatever the variables' scales, and nothing is scaled.
+series and tree; there each tree is one array of at most ``sample`` rows, of which a step of an
+aggregate grows a whole level. A split compares a value with a cut between the node's smallest and
+largest one, so it is the same whatever the variables' scales, and nothing is scaled.
 
-The nodes of a series are sent once, to its rows, and walked by an expression over arrays. On
-request one pooled forest serves all series; its at most ``trees * (2 * sample - 1)`` nodes go to
-all tasks.
+The nodes of a series meet its days once, as arrays, and are walked by an expression; no node is
+copied to a day or to a block of days. On request one pooled forest serves all series; its at most
+``trees * (2 * sample - 1)`` nodes go to all tasks.
 """
 
 from __future__ import annotations
@@ -77,77 +77,116 @@ def samples(rows: DataFrame, keys: list[str], trees: int, sample: int, seed: int
     return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample).drop("_rank", "_place")
 
 
-def grow(drawn: DataFrame, values: list[str], keys: list[str], sample: int, seed: int) -> DataFrame:
-    """``tree, node, feature, value`` of every node: its cut, or at a leaf (feature -1) its path length.
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
 
-    The children of node i are 2i, at or below the cut, and 2i + 1.
+
+def _levels(sample: int) -> int:
+    return max(1, math.ceil(math.log2(max(sample, 2))))
+
+
+def _decided(n: Column, depth: Column, key: list[Column], features: int) -> Column:
+    """An open node (node, points) with its ``feature`` and cut ``value``, or -1 and its path length at a leaf."""
+    every = F.sequence(F.lit(0), F.lit(features - 1))
+
+    def span(j: Column) -> Column:
+        own = F.transform(n["points"], lambda p: F.get(p, j))
+        return F.struct(F.array_min(own).alias("low"), F.array_max(own).alias("high"))
+
+    def result(feature: Column, value: Column) -> Column:
+        return F.struct(n["node"].alias("node"), n["points"].alias("points"), feature.cast("int").alias("feature"), value.alias("value"))
+
+    def draw(spans: Column) -> Column:
+        wide = F.filter(every, lambda j: F.get(spans, j)["high"] > F.get(spans, j)["low"])
+
+        def cut(open_: Column, digest: Column) -> Column:
+            feature = F.get(open_, F.floor(_number(digest) / FRACTION * F.size(open_)).cast("int"))
+
+            def place(of: Column) -> Column:
+                at = of["low"] + _number(digest, DIGITS + 1) / FRACTION * (of["high"] - of["low"])
+                return _bound(at, lambda x: F.when(x < of["high"], x).otherwise(of["low"]))
+
+            return _bound(feature, lambda j: result(j, _bound(F.get(spans, j), place)))
+
+        def split(open_: Column) -> Column:
+            inner = (depth < F.col("_height")) & (F.size(n["points"]) > 1) & (F.size(open_) > 0)
+            leaf = result(F.lit(-1), depth.cast("double") + average_path(F.size(n["points"])))
+            return F.when(inner, _bound(_digest(*key, n["node"]), lambda d: cut(open_, d))).otherwise(leaf)
+
+        return _bound(wide, split)
+
+    return _bound(F.transform(every, span), draw)
+
+
+def grown(key: list[Column], features: int, sample: int) -> Column:
+    """The tree over ``_points`` of height ``_height``: nodes in level order as (feature, left, value).
+
+    ``feature`` is -1 at a leaf, whose ``value`` is its path length; other nodes send what is at most
+    ``value`` to the node at place ``left`` and the rest to the next one. The children of node i have the
+    numbers 2i and 2i + 1, which with the key decide their draws. One step grows a whole level.
     """
-    size = F.least(F.col("_rows"), F.lit(sample))
-    height = F.greatest(F.lit(1), F.ceil(F.log2(size.cast("double")))).alias("_height")
-    names = [f"_v{j}" for j in range(len(values))]
-    rows = drawn.select(*keys, "tree", height, F.lit(1).cast("long").alias("_node"), *[F.col(v).alias(n) for v, n in zip(values, names)])
-    steps = []
-    for depth in range(max(1, math.ceil(math.log2(max(sample, 2)))) + 1):
-        node = Window.partitionBy(*keys, "tree", "_node")
-        spans = {f"_lo{j}": F.min(n).over(node) for j, n in enumerate(names)} | {f"_hi{j}": F.max(n).over(node) for j, n in enumerate(names)}
-        rows = rows.withColumns(spans | {"_size": F.count(F.lit(1)).over(node)})
-
-        def picked(prefix: str) -> Column:
-            return F.get(F.array(*[F.col(f"{prefix}{j}") for j in range(len(names))]), F.col("_pick"))
-
-        open_ = F.array_compact(F.array(*[F.when(F.col(f"_hi{j}") > F.col(f"_lo{j}"), F.lit(j)) for j in range(len(names))]))
-        inner = (F.lit(depth) < F.col("_height")) & (F.col("_size") > 1) & (F.size("_open") > 0)
-        digest = _digest(F.lit(seed), *[F.col(k) for k in keys], F.col("tree"), F.col("_node"))
-        pick = F.get("_open", F.floor(_number(F.col("_drawn")) / FRACTION * F.size("_open")).cast("int"))
-        cut = F.col("_low") + _number(F.col("_drawn"), DIGITS + 1) / FRACTION * (picked("_hi") - F.col("_low"))
-        value = F.when(F.col("_pick") >= 0, F.col("_cut")).otherwise(F.lit(float(depth)) + average_path(F.col("_size")))
-        step = F.struct(F.col("_node").alias("node"), F.col("_pick").alias("feature"), value.alias("value"))
-        below = 2 * F.col("_node") + F.when(picked("_v") > F.col("_cut"), 1).otherwise(0)
-        steps.append(f"_step{depth}")
-        # each column may use those before it
-        rows = rows.select(
-            "*",
-            open_.alias("_open"),
-            F.when(inner, digest).alias("_drawn"),
-            F.coalesce(pick, F.lit(-1)).alias("_pick"),
-            picked("_lo").alias("_low"),
-            cut.alias("_drawn_cut"),
-            F.when(F.col("_drawn_cut") < picked("_hi"), F.col("_drawn_cut")).otherwise(F.col("_low")).alias("_cut"),
-            F.when(F.col("_node").isNotNull(), step).alias(steps[-1]),
-            F.when(F.col("_pick") >= 0, below).alias("_below"),
-        ).select(*keys, "tree", "_height", F.col("_below").alias("_node"), *names, *steps)
-    each = rows.select(*keys, "tree", F.explode(F.array_compact(F.array(*steps))).alias("_step"))
-    return each.groupBy(*keys, "tree", F.col("_step.node").alias("node")).agg(
-        F.first("_step.feature").alias("feature"), F.first("_step.value").alias("value")
+    start = F.struct(
+        F.array(F.struct(F.lit(1).cast("long").alias("node"), F.col("_points").alias("points"))).alias("open"),
+        F.lit(0).alias("total"),
+        F.array().cast("array<struct<feature:int,left:int,value:double>>").alias("nodes"),
     )
 
+    def children(n: Column) -> Column:
+        def side(number: Column, low: bool) -> Column:
+            inside = F.filter(n["points"], lambda p: (F.get(p, n["feature"]) <= n["value"]) == F.lit(low))
+            return F.struct(number.alias("node"), inside.alias("points"))
+
+        none = F.array().cast("array<struct<node:bigint,points:array<array<double>>>>")
+        return F.when(n["feature"] >= 0, F.array(side(2 * n["node"], True), side(2 * n["node"] + 1, False))).otherwise(none)
+
+    def level(state: Column, depth: Column) -> Column:
+        def close(decided: Column) -> Column:
+            def place(below: Column) -> Column:
+                total = state["total"] + F.size(decided)
+
+                def node(n: Column, numbers: Column) -> Column:
+                    left = total + F.array_position(numbers, 2 * n["node"]).cast("int") - 1
+                    return F.struct(n["feature"].alias("feature"), left.alias("left"), n["value"].alias("value"))
+
+                new = _bound(below["node"], lambda numbers: F.transform(decided, lambda n: node(n, numbers)))
+                return F.struct(below.alias("open"), total.alias("total"), F.concat(state["nodes"], new).alias("nodes"))
 
-def packed(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per series: ``roots``, and by place ``feature``, ``left`` (the right child follows it) and ``value``.
+            return _bound(F.flatten(F.transform(decided, children)), place)
 
-    Level by level the children of the k-th inner node of a tree are its nodes 2k + 1 and 2k + 2.
+        return _bound(F.transform(state["open"], lambda n: _decided(n, depth, key, features)), close)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_levels(sample))), start, level, lambda state: state["nodes"])
+
+
+def forests(drawn: DataFrame, values: list[str], keys: list[str], sample: int, seed: int) -> DataFrame:
+    """One row per series: ``_trees``, in order, each with the arrays ``feature``, ``left`` and ``value`` of its nodes.
+
+    A tree grows on its at most ``sample`` rows, which are one array.
     """
-    forest = Window.partitionBy(*keys).orderBy("tree", "node")
-    earlier = Window.partitionBy(*keys, "tree").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.count_if(F.col("feature") >= 0).over(earlier), F.lit(0))
-    placed = nodes.withColumns({"at": F.row_number().over(forest) - 1, "_inner": inner, "_in_tree": F.coalesce(F.count(F.lit(1)).over(earlier), F.lit(0))})
-    left = (F.col("at") - F.col("_in_tree") + 2 * F.col("_inner") + 1).cast("int")
-    row = F.struct("at", (F.col("node") == 1).alias("root"), "feature", left.alias("left"), "value")
-    packs = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_nodes"))
-    roots = F.transform(F.filter("_nodes", lambda n: n["root"]), lambda n: n["at"])
-    return packs.select(*keys, roots.alias("_roots"), *[F.col(f"_nodes.{c}").alias(f"_{c}") for c in ("feature", "left", "value")])
+    size = F.least(F.max("_rows"), F.lit(sample)).cast("double")
+    one = drawn.groupBy(*keys, "tree").agg(
+        F.collect_list(F.array(*values)).alias("_points"), F.greatest(F.lit(1), F.ceil(F.log2(size))).alias("_height")
+    )
+    key = [F.lit(seed), *[F.col(k) for k in keys], F.col("tree")]
+    trees = one.select(*keys, "tree", grown(key, len(values), sample).alias("_nodes"))
+    row = F.struct("tree", *[F.col(f"_nodes.{c}").alias(c) for c in ("feature", "left", "value")])
+    return trees.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_trees"))
 
 
 def path_length(x: Column, sample: int) -> Column:
-    """Sum over the trees of the path that the values ``x`` take through the arrays of ``packed``."""
-    levels = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(sample, 2))))))
+    """Sum over the trees of the path that the values ``x`` take."""
+    levels = F.sequence(F.lit(1), F.lit(_levels(sample)))
+
+    def path(tree: Column) -> Column:
+        def step(n: Column, _: Column) -> Column:
+            feature = F.get(tree["feature"], n)
+            right = F.when(F.get(x, feature) > F.get(tree["value"], n), 1).otherwise(0)
+            return F.when(feature < 0, n).otherwise(F.get(tree["left"], n) + right)
 
-    def step(n: Column, _: Column) -> Column:
-        feature = F.get("_feature", n)
-        right = F.when(F.get(x, feature) > F.get("_value", n), 1).otherwise(0)
-        return F.when(feature < 0, n).otherwise(F.get("_left", n) + right)
+        return F.get(tree["value"], F.aggregate(levels, F.lit(0), step))
 
-    return F.aggregate("_roots", F.lit(0.0), lambda total, root: total + F.get("_value", F.aggregate(levels, root, step)))
+    return F.aggregate("_trees", F.lit(0.0), lambda total, tree: total + path(tree))
 
 
 def scores(
@@ -168,17 +207,17 @@ def scores(
     counted = attach(spread(rows, *keys, DATE), lengths, by)
     order = [c for c in (DATE, *keys) if c not in by]
     drawn = samples(counted.select(*by, *order, "_day", "_rows", *values), by, trees, sample, seed)
-    forests = packed(grow(spread(drawn, *by, "tree"), values, by, sample, seed), by).join(lengths, by)
-    mean = average_path(F.least(F.col("_rows"), F.lit(sample))) * F.size("_roots")
+    grown_trees = forests(spread(drawn, *by, "tree"), values, by, sample, seed).join(lengths, by)
+    mean = average_path(F.least(F.col("_rows"), F.lit(sample))) * F.size("_trees")
 
     def scored(x: Column) -> Column:
         return F.pow(F.lit(2.0), -path_length(x, sample) / mean).alias(SCORE)
 
     if pooled:  # one row of bounded size
-        return rows.join(F.broadcast(forests), by).select(*keys, DATE, scored(F.array(*values)))
+        return rows.join(F.broadcast(grown_trees), by).select(*keys, DATE, scored(F.array(*values)))
     # the days of a series and its nodes meet once, as arrays: no node is copied to a day
     days = spread(rows, *keys).groupBy(*keys).agg(F.collect_list(F.struct(DATE, F.array(*values).alias("x"))).alias("_days"))
-    met = days.join(forests, list(keys))
+    met = days.join(grown_trees, list(keys))
     return met.select(*keys, F.inline(F.transform("_days", lambda d: F.struct(d[DATE].alias(DATE), scored(d["x"])))))
 
 
