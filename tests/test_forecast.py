@@ -44,10 +44,12 @@ def test_series_without_folds_gets_zeros(series_frame):
 def test_benchmark(series_frame):
     y = list(seasonal(1500, noise=0.5))
     ranked = evaluate.readings(series_frame({"a": y}))
-    sets = evaluate.training_sets(ranked)
-    sizes = {r.fit: (r["count"], r.divisor) for r in sets.groupBy("fit", "divisor").count().collect()}
+    ends = evaluate.training_ends(F.col("_n"))
+    sizes = {p[0]: (p[1], p[2]) for p in ranked.select(ends.alias("p")).first().p}
     assert sizes == {0: (1500, 0), -1: (1135, 3), 1: (730, 3), 2: (1095, 3)}
-    models = smoothing.fit_smoothing(sets.filter("fit = -1"), "y", divisor="divisor")
+    fits = evaluate.smoothing_fits(ranked, ends).cache()
+    assert {r.fit: r.n for r in fits.collect()} == {k: v[0] for k, v in sizes.items()}
+    models = fits.filter("fit = -1")
     predicted = evaluate.baseline_predictions(ranked, models=models).toPandas()
     assert set(predicted["model"]) == set(evaluate.MODELS) and (predicted.groupby("model").size() == 365).all()
     by = predicted.sort_values("pos").groupby("model")["predicted"].apply(list)

@@ -118,3 +118,24 @@ def test_decomposition_of_short_series(series_frame):
     rows = decompose.stl(series_frame({"a": list(seasonal(60)), "b": [1.0, 2.0]})).toPandas()
     assert len(rows) == 62 and rows["trend"].notna().all()
     assert decompose.seasonal_period(60, 365) == 20 and decompose.seasonal_period(730, 365) == 365
+
+
+@pytest.mark.parametrize("fixed", [None, {"m": 7, "alpha": 0.4, "beta": 0.1, "gamma": 0.3, "phi": 0.95}])
+def test_snapshots_equal_separate_fits(series_frame, fixed):
+    from pyspark.sql import functions as F
+
+    from tsengine.operators import evaluate
+
+    y = list(seasonal(200, noise=1.0, seed=3))
+    ends = {0: 200, 1: 90, 2: 150, 3: 10}  # the last is too short for two seasons of 7
+    parts = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in (k, n, 0)]) for k, n in ends.items()])
+    ranked = evaluate.readings(series_frame({"a": y}))
+    rows = {r.fit: r for r in evaluate.smoothing_fits(ranked, parts, wanted=7, fixed=fixed).collect()}
+    assert set(rows) == set(ends) and rows[3].failed
+    for fit in (0, 1, 2):
+        alone = smoothing.fit_smoothing(series_frame({"a": y[: ends[fit]]}), wanted=7, fixed=fixed).first()
+        got = rows[fit]
+        assert (got.n, got.season_length, got.alpha, got.beta, got.gamma) == (ends[fit], 7, alone.alpha, alone.beta, alone.gamma)
+        np.testing.assert_allclose([got.level, got.slope, got.sse, *got.season], [alone.level, alone.slope, alone.sse, *alone.season])
+    np.testing.assert_allclose(rows[0].fitted, smoothing.fit_smoothing(series_frame({"a": y}), wanted=7, fixed=fixed).first().fitted)
+    assert rows[1].fitted is None

@@ -18,6 +18,13 @@ def test_no_series_is_lost(series_frame):
     assert ahead == {f"s{n}": 365 for n in lengths}
 
 
+def test_series_without_a_reading_has_a_row(series_frame):
+    out = forecast.run_forecast(series_frame({"a": seasonal(60), "none": [None] * 900}), horizon_years=1, season=14)
+    rows = {r["series_id"]: r for r in out["summary"].collect()}
+    assert rows["none"]["failed"] and rows["none"]["forecast_class"] is None and not rows["a"]["failed"]
+    assert [r["series_id"] for r in out["forecast"].select("series_id").distinct().collect()] == ["a"]
+
+
 def test_rolling_mean_forgets_what_left_the_window(series_frame):
     values = [float(v) for v in range(40)]
     for odd in (1e17, math.inf):

@@ -178,39 +178,37 @@ def validate_linear(df: DataFrame, value: str = "temperature", keys=SERIES, **bo
 FULL_FIT, HOLDOUT_FIT, SEASON_CAP = 0, -1, 3
 
 
-def training_sets(
-    ranked: DataFrame, test: int = 365, keys=SERIES
-) -> DataFrame:
-    """Readings repeated per fit they train: the whole series, the holdout's part, every fold.
+def _fit(number: Column, end: Column, cap: int) -> Column:
+    return F.array(number.cast("bigint"), end.cast("bigint"), F.lit(cap).cast("bigint"))
 
-    One pass and one shuffle then serve all fits; ``divisor`` holds each fit's season cap.
-    """
-    n = F.col(ROWS)
 
-    def part(fit, end, cap):
-        return F.struct(
-            fit.cast("int").alias("fit"), end.cast("bigint").alias("end"), F.lit(cap).alias("divisor")
-        )
+def fold_fits(n: Column, **bounds) -> Column:
+    """The fits (fit, end, divisor) of the training parts of the folds."""
+    return F.transform(fold_bounds(n, **bounds), lambda f: _fit(f["fold"], f["train_end"], SEASON_CAP))
+
+
+def training_ends(n: Column, test: int = 365) -> Column:
+    """All fits of a series of ``n`` readings: the whole series, the holdout's part, every fold's training part."""
+    own = F.array(_fit(F.lit(FULL_FIT), n, 0), _fit(F.lit(HOLDOUT_FIT), n - holdout_days(n, test), SEASON_CAP))
+    return F.filter(F.concat(own, fold_fits(n)), lambda p: p[1] > 0)
+
 
-    whole = part(F.lit(FULL_FIT), n, 0)
-    holdout = part(F.lit(HOLDOUT_FIT), n - holdout_days(n, test), SEASON_CAP)
-    folds = F.transform(fold_bounds(n), lambda f: part(f["fold"], f["train_end"], SEASON_CAP))
-    rows = ranked.withColumn("_part", F.explode(F.concat(F.array(whole, holdout), folds)))
-    rows = rows.filter(F.col(POS) < F.col("_part.end"))
-    return rows.select(*keys, "_part.fit", "_part.divisor", DATE, "y")
+def smoothing_fits(ranked: DataFrame, ends: Column, keys=SERIES, **settings) -> DataFrame:
+    """Smoothing models of ranked readings by ``fit``. A series is shipped once, its list of fits with the first reading."""
+    return smoothing.fit_parts(ranked, "y", F.when(F.col(POS) == 0, ends), keys=keys, **settings)
 
 
 def validate_smoothing(
-    df: DataFrame, value: str = "temperature", keys=SERIES, models: DataFrame | None = None, **bounds
+    df: DataFrame, value: str = "temperature", keys=SERIES, models: DataFrame | None = None, fixed: dict | None = None, **bounds
 ) -> DataFrame:
-    """Accuracy per fold of exponential smoothing; every (series, fold) is its own task.
+    """Accuracy per fold of exponential smoothing.
 
-    ``models`` are fits per (series, fold) made before.
+    ``models`` are fits per (series, fold) made before; ``fixed`` gives parameters instead of searching them.
     """
     ranked, by = readings(df, value, keys), (*keys, "fold")
     if models is None:
-        train = in_folds(ranked, keys, **bounds).filter(F.col("role") == "train")
-        models = smoothing.fit_smoothing(train, "y", divisor=SEASON_CAP, keys=by)
+        fits = smoothing_fits(ranked, fold_fits(F.col(ROWS), **bounds), keys, fixed=fixed)
+        models = fits.withColumnRenamed("fit", "fold")
     horizon = bounds.get("test", DEFAULTS.validation_test_days)
     predicted = smoothing.forecast(models, horizon, by)
     tested = test_rows(ranked, keys, **bounds).join(predicted, [*by, "step"])

@@ -342,20 +342,21 @@ def run_forecast(
     floor: float = DEFAULTS.value_floor,
     ceiling: float = DEFAULTS.value_ceiling,
     keys=SERIES,
+    fixed: dict | None = None,
 ) -> dict[str, DataFrame]:
     """Fit, validate, benchmark, forecast, check, score, classify and choose, for all series.
 
     Days without a reading may be absent or null. Returns the tables ``forecast``, ``summary``, ``folds``,
-    ``benchmark`` and ``fitted``. All fits of all series (full, folds, holdout) are groups of
-    one shuffle; their results are written once and read by every later step. A series whose
-    smoothing fit fails has the straight line as its forecast and ``failed`` in the summary.
+    ``benchmark`` and ``fitted``. All fits of a series (full, folds, holdout) are snapshots of one run
+    over its readings; their results are written once and read by every later step. ``fixed`` gives the
+    smoothing parameters instead of searching them. A series whose smoothing fit fails has the straight
+    line as its forecast and ``failed`` in the summary; one without any reading has a summary row with
+    ``failed`` and nulls, and no forecast rows.
     """
     steps = horizon_years * 365
     ranked = materialize(evaluate.readings(daily, value, keys))
-    sets = evaluate.training_sets(ranked, keys=keys)
-    fits = materialize(
-        smoothing.fit_smoothing(sets, "y", wanted=season, divisor="divisor", keys=(*keys, "fit"))
-    )
+    ends = evaluate.training_ends(F.col(ROWS))
+    fits = materialize(evaluate.smoothing_fits(ranked, ends, keys, wanted=season, fixed=fixed))
     models = fits.filter(F.col("fit") == evaluate.FULL_FIT).drop("fit")
     fold_models = fits.filter(F.col("fit") > evaluate.FULL_FIT).withColumnRenamed("fit", "fold")
     folds = materialize(evaluate.validate_smoothing(ranked, value, keys, fold_models))
@@ -386,9 +387,12 @@ def run_forecast(
     summary = assess(summary).withColumn("forecast_horizon_years", F.lit(horizon_years))
     summary = summary.join(unfitted.withColumn("failed", F.lit(True)), list(keys), "left").na.fill(False, ["failed"])
     switched = F.coalesce(F.col("used_linear_fallback"), F.lit(False)) | F.col("failed")
-    summary = materialize(summary.withColumn("used_linear_fallback", switched))
+    summary = summary.withColumn("used_linear_fallback", switched)
+    without = daily.select(*keys).distinct().join(ranked.select(*keys).distinct(), list(keys), "left_anti")
+    without = without.withColumns({"failed": F.lit(True), "forecast_horizon_years": F.lit(horizon_years)})
+    summary = materialize(summary.unionByName(without, allowMissingColumns=True))
     linear = with_interval(linear_steps(ranked, steps, keys), residuals, confidence, keys)
-    switched = summary.select(*keys, "used_linear_fallback")
+    switched = summary.select(*keys, "used_linear_fallback").filter(F.col("used_linear_fallback").isNotNull())
     chosen = (
         primary.join(switched, list(keys)).filter(~F.col("used_linear_fallback"))
         .unionByName(linear.join(switched, list(keys)).filter("used_linear_fallback"))

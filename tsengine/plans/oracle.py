@@ -598,13 +598,20 @@ ranking AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rmse, o
 Q["model_ranking"] = chain(PANEL, RANKED, BASELINES, RANKING) + out(
     "SELECT * EXCLUDE (ord) FROM ranking", METRICS, "rows rank"
 )
-CHOICE = """choice0 AS (SELECT series_id, arg_min(model, rank) AS best_model, min(rmse) AS best_rmse,
- max(CASE WHEN model = 'seasonal_naive' THEN rmse END) AS primary_rmse FROM ranking GROUP BY series_id),
-choice1 AS (SELECT *, NOT (best_model <> 'seasonal_naive' AND best_rmse < primary_rmse * 0.9e0) AS use_primary FROM choice0),
-choice AS (SELECT *, CASE WHEN use_primary THEN printf('Seasonal Naive selected (RMSE: %.3f). Comparable or superior to baseline models.', primary_rmse)
- ELSE printf('%s outperformed Seasonal Naive (RMSE: %.3f vs %.3f). Consider alternative model for this dataset.',
- CASE best_model WHEN 'naive' THEN 'Naive' WHEN 'linear_trend' THEN 'Linear Trend' ELSE 'Seasonal Naive' END, best_rmse, primary_rmse) END AS recommendation
- FROM choice1)"""
+
+
+def choice(primary: str, named: str) -> str:
+    """The best model, and whether ``primary`` is kept."""
+    return f"""choice0 AS (SELECT series_id, arg_min(model, rank) AS best_model, min(rmse) AS best_rmse,
+ max(CASE WHEN model = '{primary}' THEN rmse END) AS primary_rmse FROM ranking GROUP BY series_id),
+choice1 AS (SELECT *, NOT (best_model <> '{primary}' AND best_rmse < primary_rmse * 0.9e0) AS use_primary FROM choice0),
+choice AS (SELECT *, CASE WHEN use_primary THEN printf('{named} selected (RMSE: %.3f). Comparable or superior to baseline models.', primary_rmse)
+ ELSE printf('%s outperformed {named} (RMSE: %.3f vs %.3f). Consider alternative model for this dataset.',
+ CASE best_model WHEN 'naive' THEN 'Naive' WHEN 'linear_trend' THEN 'Linear Trend' WHEN 'holt_winters' THEN 'Holt-Winters' ELSE 'Seasonal Naive' END,
+ best_rmse, primary_rmse) END AS recommendation FROM choice1)"""
+
+
+CHOICE = choice("seasonal_naive", "Seasonal Naive")
 Q["model_choice"] = chain(PANEL, RANKED, BASELINES, RANKING, CHOICE) + out("SELECT * FROM choice", "best_rmse primary_rmse")
 FITTED = f"fitted AS (SELECT *, lag(y, 365) OVER ({BY_DATE}) AS fit FROM obs)"
 Q["residual_histogram"] = chain(PANEL, RANKED, FITTED) + out(
@@ -662,13 +669,9 @@ Q["naive_forecast"] = chain(PANEL, RANKED, FITTED, SPREAD, STEPS) + out(
     bounded("SELECT series_id, step, y AS forecast FROM obs JOIN h ON true WHERE pos = n - 1"), BOUNDS
 )
 Q["seasonal_naive_forecast"] = chain(PANEL, RANKED, FITTED, SPREAD, SEASONAL) + out(bounded("SELECT * FROM steps"), BOUNDS)
-Q["linear_forecast"] = chain(PANEL, RANKED, FITTED, SPREAD, STEPS) + out(
-    bounded(
-        """SELECT series_id, step, slope * (n + step - 1) + intercept AS forecast FROM (SELECT series_id, max(n) AS n,
+_straight = """SELECT series_id, step, slope * (n + step - 1) + intercept AS forecast FROM (SELECT series_id, max(n) AS n,
  regr_slope(y, pos) AS slope, regr_intercept(y, pos) AS intercept FROM obs GROUP BY series_id) JOIN h ON true"""
-    ),
-    BOUNDS,
-)
+Q["linear_forecast"] = chain(PANEL, RANKED, FITTED, SPREAD, STEPS) + out(bounded(_straight), BOUNDS)
 Q["forecast_feed"] = chain(PANEL, RANKED, FITTED, SPREAD, SEASONAL) + out(
     f"""SELECT series_id, date, {', '.join(f'{disp(b, 2)} AS {b}' for b in BOUNDS.split())} FROM
  (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM ({bounded('SELECT * FROM steps')})) WHERE i % 3 = 0""",
@@ -846,10 +849,8 @@ KPI_DOUBLES = (
     "forecast_reliability_score model_r_squared validation_avg_rmse validation_avg_mae validation_avg_mape validation_avg_r_squared model_rmse model_mae "
     f"model_mape original_trend_per_decade mid_year first_half_mean second_half_mean {RISK_COLUMNS}"
 )
-Q["executive_kpis"] = chain(*_KPI) + out(
-    "SELECT * FROM kpis", KPI_DOUBLES,
-    "anomaly_days validation_n_folds forecast_horizon_years analysis_start_year analysis_end_year total_years",
-)
+KPI_INTEGERS = "anomaly_days validation_n_folds forecast_horizon_years analysis_start_year analysis_end_year total_years"
+Q["executive_kpis"] = chain(*_KPI) + out("SELECT * FROM kpis", KPI_DOUBLES, KPI_INTEGERS)
 
 
 def banded(value: str, bands, sign: str) -> str:
@@ -970,6 +971,42 @@ Q["holt_winters_fixed_forecast"] = chain(
     "forecast", "step",
 )
 
+# Every fit begins at the first reading, so the state behind its last one is its model.
+def ahead_of(step: str) -> str:
+    return f"level + slope * {_f} * (1 - pow({_f}, {step})) / (1 - {_f}) + season[({step} - 1) % 7 + 1]"
+
+
+_smoothed_walk = f"""SELECT o.series_id, fold, y AS actual, {ahead_of('(o.pos - train_end + 1)')} AS predicted FROM obs o JOIN folds f USING (series_id)
+ JOIN run r ON r.series_id = o.series_id AND r.pos = f.train_end - 1 WHERE o.pos >= train_end AND o.pos < test_end"""
+SMOOTHED_WALK = f"walk AS ({accuracy(_smoothed_walk, 'series_id, fold')})"
+SMOOTHED_FITTED = "fitted AS (SELECT o.*, r.fitted AS fit FROM obs o JOIN run r USING (series_id, pos))"
+SMOOTHED_STEPS = f"""{STEPS},
+steps AS (SELECT r.series_id, h.step, {ahead_of('h.step')} AS forecast FROM run r
+ JOIN (SELECT series_id, max(n) - 1 AS pos FROM obs GROUP BY series_id) USING (series_id, pos) JOIN h ON true)"""
+SMOOTHED_BASELINES = BASELINES.replace("pred AS (", "base_pred AS (") + f""",
+pred AS (SELECT * FROM base_pred UNION ALL SELECT t.series_id, t.date, t.pos, t.y, 'holt_winters', {ahead_of('(t.pos - t.nt + 1)')}, 0
+ FROM cut t JOIN run r ON r.series_id = t.series_id AND r.pos = t.nt - 1 WHERE t.pos >= t.nt)"""
+_SMOOTHED_RUN = (
+    PANEL, TREND_LONG, HISTORY, RANKED, SMOOTHED, SMOOTHED_FITTED, SPREAD, SMOOTHED_STEPS, AHEAD, CHECKS, FOLDS, SMOOTHED_WALK, WALK_SUMMARY,
+    SMOOTHED_BASELINES, RANKING, choice("holt_winters", "Holt-Winters"), IN_SAMPLE, SUMMARY, ASSESSED,
+)
+Q["walk_forward_fixed"] = chain(PANEL, RANKED, SMOOTHED, FOLDS, SMOOTHED_WALK) + out("SELECT * FROM walk", METRICS, "fold rows")
+Q["forecast_run_fixed"] = chain(*_SMOOTHED_RUN) + out(
+    f"""SELECT r.* FROM ({bounded('SELECT * FROM steps')}) r JOIN assessed a USING (series_id) WHERE NOT a.used_linear_fallback
+ UNION ALL SELECT r.* FROM ({bounded(_straight)}) r JOIN assessed a USING (series_id) WHERE a.used_linear_fallback""",
+    BOUNDS,
+)
+Q["benchmark_fixed"] = chain(PANEL, RANKED, SMOOTHED, SMOOTHED_BASELINES, RANKING) + out(
+    "SELECT * EXCLUDE (ord) FROM ranking", METRICS, "rows rank"
+)
+Q["forecast_summary_fixed"] = chain(*_SMOOTHED_RUN) + out(
+    f"""SELECT series_id, rmse, mae, mape, r_squared, n_folds, avg_rmse, avg_mae, best_model, use_primary, recommendation, trend_ratio, p_class AS primary_class,
+ p_score AS primary_score, used_linear_fallback, forecast_class, array_to_string(why, ' | ') AS classification_reasons, action AS recommended_action,
+ score AS reliability_score, {label('score')} AS reliability_label, array_to_string(quality_issues, ' | ') AS quality_issues, damp AS trend_dampening_applied,
+ per_decade AS trend_per_decade, tr2 AS trend_r_squared, false AS failed FROM assessed""",
+    "rmse mae mape r_squared avg_rmse avg_mae trend_ratio primary_score reliability_score trend_per_decade trend_r_squared", "n_folds",
+)
+
 # The forest: trees level by level, then every row walks every tree.
 FOREST_SEED, FOREST_TREES, FOREST_SAMPLE, PRIME = 42, 100, 256, 2147483647
 HEIGHT = 8
@@ -1028,16 +1065,19 @@ def forest_ctes(source: str = "panel") -> str:
 
 Q["isolation_forest"] = chain(PANEL, forest_ctes()) + out("SELECT * FROM forest", ALL + " anomaly_score")
 
-Q["anomaly_pipeline"] = chain(
-    PANEL,
+_BOTH_FLAGS = (
     FLAGGED,
-    forest_ctes("flagged"),
+    forest_ctes("flagged").replace("scored AS (", "forest_scored AS (").replace("JOIN scored", "JOIN forest_scored").replace("FROM scored", "FROM forest_scored"),
     "combined AS (SELECT * REPLACE (anomaly_zscore OR anomaly_iforest AS anomaly_zscore), anomaly_zscore AS z FROM forest)",
     ANOMALIES.replace("FROM flagged", "FROM combined").replace("count(*) FILTER (anomaly_zscore) AS zscore_days", "count(*) FILTER (z) AS zscore_days, count(*) FILTER (anomaly_iforest) AS iforest_days"),
-) + out(
+)
+Q["anomaly_pipeline"] = chain(PANEL, *_BOTH_FLAGS) + out(
     "SELECT * FROM an",
     "anomaly_mean anomaly_max anomaly_min overall_mean anomaly_percentage",
     "total_rows total_anomaly_days zscore_days iforest_days",
 )
 
+# The whole run: the smoothed forecast, both flags and the KPI row.
+Q["pipeline_summary_fixed"] = chain(*_SMOOTHED_RUN, *_BOTH_FLAGS, SPAN, HALVES, KPIS) + out("SELECT * FROM kpis", KPI_DOUBLES, KPI_INTEGERS)
+
 ORACLE = Q

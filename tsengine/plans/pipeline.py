@@ -134,7 +134,7 @@ def feeds(
         "climate_summary": eda.monthly_feed(df, keys),
         "daily_trends": daily.select(*keys, DATE, *rounded),
         "anomalies": anomaly.anomaly_days(df, keys),
-        "forecast": forecasts.select(*keys, metadata.alias("metadata")).join(rows, on),
+        "forecast": forecasts.select(*keys, metadata.alias("metadata")).join(rows, on, "left"),
         "regional_map": places.drop("data_points", "date_range"),
     }
 
@@ -144,9 +144,13 @@ def write_feeds(tables: dict[str, DataFrame], folder: str) -> None:
         files.write_json(table, f"{folder.rstrip('/')}/{name}")
 
 
-def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | None = None, keys=SERIES) -> dict:
+def run(
+    panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | None = None, keys=SERIES, fixed: dict | None = None
+) -> dict:
     """The whole pipeline: validate, featurise, explore, forecast, summarise, feed.
 
+    ``fixed`` gives the smoothing parameters instead of searching them.
+
     All but the forecast works on the observed days; the forecaster adds the missing ones as
     nulls. Rows without a readable date are counted in ``rejected`` and take no further part.
     """
@@ -164,6 +168,7 @@ def run(panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | N
         floor=settings.value_floor,
         ceiling=settings.value_ceiling,
         keys=keys,
+        fixed=fixed,
     )
     summary = materialize(
         executive_summary(flagged, anomalies, forecasts["summary"], trends["trends"], keys)

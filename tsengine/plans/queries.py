@@ -529,10 +529,12 @@ def kpi_rows(spark, folder) -> DataFrame:
     return pipeline.executive_summary(rows, anomaly.anomaly_summary(flagged), assessed_rows)
 
 
+def _simple(rows: DataFrame) -> DataFrame:
+    return rows.select(*[f.name for f in rows.schema if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))])
+
+
 def executive_kpis(spark, folder):
-    rows = kpi_rows(spark, folder)
-    simple = [f.name for f in rows.schema if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
-    return shown(rows.select(*simple))
+    return shown(_simple(kpi_rows(spark, folder)))
 
 
 def risk_score(spark, folder):
@@ -626,6 +628,38 @@ def forecast_run(spark, folder):
     return shown(forecast.run_forecast(rows)["forecast"])
 
 
+def walk_forward_fixed(spark, folder):
+    return shown(evaluate.validate_smoothing(panel(spark, folder), fixed=FIXED))
+
+
+def fixed_run(spark, folder) -> dict[str, DataFrame]:
+    """The composed forecast with smoothing as the primary model, on given parameters."""
+    return forecast.run_forecast(materialize(spine(spark, folder).select("series_id", DATE, "temperature")), fixed=FIXED)
+
+
+def forecast_run_fixed(spark, folder):
+    return shown(fixed_run(spark, folder)["forecast"])
+
+
+def benchmark_fixed(spark, folder):
+    return shown(fixed_run(spark, folder)["benchmark"])
+
+
+def forecast_summary_fixed(spark, folder):
+    rows = fixed_run(spark, folder)["summary"].select(
+        "series_id", *evaluate.METRICS, "n_folds", "avg_rmse", "avg_mae", "best_model", "use_primary", "recommendation",
+        "trend_ratio", "primary_class", "primary_score", "used_linear_fallback", "forecast_class", _joined("classification_reasons"),
+        "recommended_action", "reliability_score", "reliability_label", _joined("quality_issues"), "trend_dampening_applied",
+        "trend_per_decade", "trend_r_squared", "failed",
+    )
+    return shown(rows)
+
+
+def pipeline_summary_fixed(spark, folder):
+    """The KPI row of the whole pipeline, on given smoothing parameters."""
+    return shown(_simple(pipeline.run(panel(spark, folder), fixed=FIXED)["summary"]))
+
+
 def pipeline_summary(spark, folder):
     return pipeline.run(tables.shipment_panel(spark, folder))["summary"]
 
@@ -747,5 +781,10 @@ QUERIES = {
     "isolation_forest": isolation_forest,
     "anomaly_pipeline": anomaly_pipeline,
     "forecast_run": forecast_run,
+    "walk_forward_fixed": walk_forward_fixed,
+    "forecast_run_fixed": forecast_run_fixed,
+    "benchmark_fixed": benchmark_fixed,
+    "forecast_summary_fixed": forecast_summary_fixed,
+    "pipeline_summary_fixed": pipeline_summary_fixed,
     "pipeline_summary": pipeline_summary,
 }
