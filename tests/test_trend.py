@@ -4,13 +4,26 @@ import numpy as np
 import pytest
 from conftest import seasonal
 
-from tsengine.functions.stats import normal_quantile, student_t_two_sided
+from tsengine.functions import stats
+from tsengine.functions.stats import normal_quantile
 from tsengine.operators import forecast, rules, trend
 from pyspark.sql import functions as F
 from statistics import NormalDist
 
 
-def test_student_t_against_tables():
+@pytest.fixture
+def student_t_two_sided(spark):
+    """The column function over arrays."""
+
+    def run(t, dof):
+        rows = spark.createDataFrame([(i, float(x), float(d)) for i, (x, d) in enumerate(zip(t, dof))], "i int, t double, d double")
+        p = stats.student_t_two_sided(F.col("t"), F.col("d")).alias("p")
+        return np.array([r.p for r in rows.select("i", p).orderBy("i").collect()])
+
+    return run
+
+
+def test_student_t_against_tables(student_t_two_sided):
     # Two-sided 5 % and 1 % points of the t distribution.
     for dof, t05, t01 in ((1, 12.7062047, 63.6567412), (5, 2.5705818, 4.0321430), (30, 2.0422725, 2.7499957), (1000, 1.9623391, 2.5807547)):
         got = student_t_two_sided(np.array([t05, t01]), np.array([dof, dof]))
@@ -33,7 +46,7 @@ def test_rising_series(series_frame):
     assert row.trend_per_decade > 0 and 0 < row.r_squared < 1 and row.p_value < 0.001
 
 
-def test_against_closed_form(series_frame):
+def test_against_closed_form(series_frame, student_t_two_sided):
     y = np.array([1.0, 3.0, 2.0, 5.0, 4.0, 7.0])
     x = np.arange(6.0)
     slope, intercept = np.polyfit(x, y, 1)

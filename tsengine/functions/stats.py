@@ -5,11 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 DAYS_PER_YEAR = 365.25
 
@@ -55,53 +52,53 @@ def ols_columns(fit: Column) -> dict[str, Column]:
     }
 
 
-def _log_beta(a: np.ndarray, b: float) -> np.ndarray:
-    return np.array([math.lgamma(v) + math.lgamma(b) - math.lgamma(v + b) for v in a])
+# ln(gamma(a + 1/2) / gamma(a)) - ln(a) / 2 in odd powers of 1 / a, from the first on.
+HALF_STEP = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
+HALF_STEP_SHIFT = 12
 
 
-def _beta_fraction(a, b, x, terms: int = 400) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, modified Lentz, vectorised."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for k in range(1, terms):
+def log_half_step(a: Column) -> Column:
+    """ln(gamma(a + 1/2) / gamma(a)), without the cancellation of two large log gammas.
+
+    The series holds far out; nearer, the step is taken at ``a + HALF_STEP_SHIFT`` and carried back by
+    gamma(z + 1) = z * gamma(z).
+    """
+    far = a + HALF_STEP_SHIFT
+    series = F.log(far) / 2 + sum((F.lit(c) / F.pow(far, F.lit(2.0 * i + 1)) for i, c in enumerate(HALF_STEP)), F.lit(0.0))
+    back = F.lit(1.0)
+    for i in range(HALF_STEP_SHIFT):
+        back = back * (a + i) / (a + (i + 0.5))
+    return series + F.log(back)
+
+
+def beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function; its steps grow with the root of the larger parameter."""
+    start = F.struct(F.lit(float("inf")).alias("c"), F.lit(1.0).alias("d"), F.lit(1.0).alias("h"))
+
+    def step(s: Column, j: Column) -> Column:
+        k = F.floor(j / 2)
         even = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
         odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
-        for coefficient in (even, odd):
-            d = 1.0 + coefficient * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + coefficient / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return h
-
-
-def student_t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) of Student's t as a regularised incomplete beta function."""
-    t = np.asarray(t, dtype=float)
-    dof = np.asarray(dof, dtype=float)
-    a, b = dof / 2.0, 0.5
-    x = dof / (dof + t * t)
-    x = np.where(np.isinf(t), 0.0, x)
-    inner = np.clip(x, 1e-320, 1.0 - 1e-16)
-    front = np.exp(a * np.log(inner) + b * np.log1p(-inner) - _log_beta(a, b))
-    direct = front * _beta_fraction(a, b, inner) / a
-    mirrored = 1.0 - front * _beta_fraction(b, a, 1.0 - inner) / b
-    p = np.where(inner < (a + 1.0) / (a + b + 2.0), direct, mirrored)
-    return np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, np.clip(p, 0.0, 1.0)))
+        coefficient = F.when(j % 2 == 0, even).otherwise(odd)
+        # c and d first, then h from the new ones
+        new = F.struct((1.0 + coefficient / s["c"]).alias("c"), (1.0 / (1.0 + coefficient * s["d"])).alias("d"))
+        return F.transform(F.array(new), lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (s["h"] * n["c"] * n["d"]).alias("h")))[0]
 
+    steps = F.sequence(F.lit(1), F.ceil(60 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(steps, start, step, lambda s: s["h"])
 
-@F.pandas_udf(DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    out = np.full(len(t), np.nan)
-    ok = (t.notna() & dof.notna() & (dof > 0)).to_numpy()
-    if ok.any():
-        out[ok] = student_t_two_sided(t[ok].to_numpy(), dof[ok].to_numpy())
-    return pd.Series(out)
+
+def student_t_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| > |t|) of Student's t as a regularised incomplete beta function; null without degrees of freedom."""
+    a, b = dof / 2, F.lit(0.5)
+    x = dof / (dof + t * t)
+    rest = t * t / (dof + t * t)  # 1 - x without cancellation
+    front = F.exp(a * F.log(x) + b * F.log(rest) + log_half_step(a) - math.log(math.pi) / 2)
+    direct = front * beta_fraction(a, b, x) / a
+    mirrored = 1.0 - front * beta_fraction(b, a, rest) / b
+    p = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+    inside = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return F.when(t.isNotNull() & (dof > 0), F.when((t == float("inf")) | (t == float("-inf")) | (x <= 0), 0.0).when(rest <= 0, 1.0).otherwise(inside))
 
 
 def trend_p_value(n: Column, slope: Column, std_err: Column, r_squared: Column) -> Column:
@@ -112,7 +109,7 @@ def trend_p_value(n: Column, slope: Column, std_err: Column, r_squared: Column)
     dof = (n - 2).cast("double")
     t = F.try_divide(slope, std_err)
     t = F.when(t.isNull() & (slope != 0) & (r_squared > 0), F.lit(float("inf"))).otherwise(t)
-    p = nan_free(_p_value(t, dof))
+    p = nan_free(student_t_two_sided(t, dof))
     flat = F.when(slope == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return F.when(n < 2, F.lit(1.0)).when(n == 2, flat).otherwise(F.coalesce(p, F.lit(1.0)))
 

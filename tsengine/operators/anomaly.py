@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import any_of, banded, display, safe_divide
+from tsengine.operators import sketches
 from tsengine.operators.joins import attach
 from tsengine.schema import CORE_VARIABLES, DEFAULTS, SERIES, present
 
@@ -44,9 +45,9 @@ def iqr_flags(
     approx: bool = False,
     keys=SERIES,
 ) -> DataFrame:
-    """True strictly outside the quartile fences."""
-    points = F.array(F.lit(0.25), F.lit(0.75))
-    q = F.percentile_approx(value, points, F.lit(10000)) if approx else F.percentile(value, points)
+    """True strictly outside the quartile fences; ``approx`` takes them from a sketch of fixed size."""
+    points = (0.25, 0.75)
+    q = sketches.quantiles(value, points) if approx else F.percentile(value, F.array(*[F.lit(p) for p in points]))
     quartiles = df.groupBy(*keys).agg(q.alias("_q"))
     reach = (F.col("_q")[1] - F.col("_q")[0]) * multiplier
     outside = (F.col(value) < F.col("_q")[0] - reach) | (F.col(value) > F.col("_q")[1] + reach)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import banded, display
+from tsengine.operators import sketches
 from tsengine.operators.joins import attach
 from tsengine.schema import CORE_VARIABLES, DATE, SERIES, VARIABLES, present
 
@@ -18,10 +19,9 @@ def quantiles(c: str, approx: bool = False) -> Column:
     """Quartiles; exact and interpolated unless ``approx``.
 
     The exact form keeps a count per distinct value, which one reading per day bounds. Rows
-    of a finer grain take ``approx``, whose state is of fixed size.
+    of a finer grain take ``approx``, a sketch of fixed size.
     """
-    points = F.array(*[F.lit(q) for q in QUARTILES])
-    return F.percentile_approx(c, points, F.lit(10000)) if approx else F.percentile(c, points)
+    return sketches.quantiles(c, QUARTILES) if approx else F.percentile(c, F.array(*[F.lit(q) for q in QUARTILES]))
 
 
 def summary_statistics(df: DataFrame, values=VARIABLES, approx: bool = False, keys=SERIES) -> DataFrame:
@@ -187,13 +187,13 @@ def month_means(df: DataFrame, value: str = "temperature", keys=SERIES) -> DataF
 
 
 def box_statistics(
-    df: DataFrame, values=("temperature", "precipitation", "humidity"), reach: float = 1.5, keys=SERIES
+    df: DataFrame, values=("temperature", "precipitation", "humidity"), reach: float = 1.5, keys=SERIES, approx: bool = False
 ) -> DataFrame:
-    """Quartiles, whiskers inside the 1.5-IQR fences, and outliers per calendar month."""
+    """Quartiles, whiskers inside the 1.5-IQR fences, and outliers per calendar month; ``approx`` as in ``quantiles``."""
     names = present(df, values)
     group = [*keys, "month"]
     daily = df.withColumn("month", F.month(DATE)).select(*group, *names)
-    quartiles = daily.groupBy(*group).agg(*[quantiles(c).alias(f"_q_{c}") for c in names])
+    quartiles = daily.groupBy(*group).agg(*[quantiles(c, approx).alias(f"_q_{c}") for c in names])
     joined = attach(daily, quartiles, group)
 
     def box(c: str) -> Column:

@@ -295,6 +295,7 @@ Q["merge_sources"] = chain(ORDER_PANEL, STATUS_PANEL) + out(
  FROM order_panel p FULL OUTER JOIN status_panel f USING (series_id, date)""",
     ALL,
 )
+Q["merge_buckets"] = Q["merge_sources"]
 _aligned = """SELECT series_id, date, s.temperature AS actual, o.temperature AS predicted
  FROM status_panel s JOIN order_panel o USING (series_id, date)"""
 Q["align_sources"] = chain(ORDER_PANEL, STATUS_PANEL) + out(_aligned, "actual predicted")
@@ -381,6 +382,13 @@ Q["month_means"] = chain(PANEL, PROFILE) + out(
  JOIN (SELECT unnest(range(1, 13)) AS month) m ON true LEFT JOIN mp ON mp.series_id = s.series_id AND mp.month = m.month""",
     "mean", "month",
 )
+Q["sketch_quantiles"] = chain(
+    PANEL, "l AS (" + " UNION ALL ".join(f"SELECT series_id, date, '{v}' AS variable, {v} AS v FROM panel" for v in VARS) + ")"
+) + out(
+    """SELECT * FROM (SELECT series_id, variable, count(v) AS count, min(v) AS min, max(v) AS max FROM l
+ WHERE year(date) BETWEEN 1993 AND 1996 GROUP BY ALL), (VALUES (0.25e0, true), (0.5e0, true), (0.75e0, true)) AS p(point, rank_holds)""",
+    "min max", "count",
+)
 Q["box_statistics"] = chain(
     PANEL,
     "l AS ("

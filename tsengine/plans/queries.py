@@ -17,6 +17,7 @@ from tsengine.operators import (
     joins,
     quality,
     rules,
+    sketches,
     smoothing,
     trend,
 )
@@ -282,6 +283,15 @@ def merge_sources(spark, folder):
     return shown(joins.merge_sources(tables.order_panel(spark, folder), tables.status_panel(spark, folder)))
 
 
+def merge_buckets(spark, folder):
+    """The same merge from two bucketed tables, without an exchange."""
+    sides = []
+    for rows in (tables.order_panel(spark, folder), tables.status_panel(spark, folder)):
+        path = scratch_path(spark)
+        sides.append(files.write_buckets(rows, f"panel_{path.rsplit('/', 1)[-1]}", path, buckets=8))
+    return shown(joins.merge_sources(*sides))
+
+
 def align_sources(spark, folder):
     actual = tables.status_panel(spark, folder).select("series_id", DATE, F.col("temperature").alias("actual"))
     other = tables.order_panel(spark, folder).select("series_id", DATE, F.col("temperature").alias("predicted"))
@@ -675,6 +685,25 @@ def observed_span(spark, folder):
     return shown(span.select("*", "date_range.start", "date_range.end").drop("date_range"))
 
 
+def sketch_quantiles(spark, folder):
+    """Quartiles of 1993 to 1996 from monthly sketches: counts, extremes, and whether their ranks hold."""
+    rows = panel(spark, folder)
+    months = materialize(sketches.monthly_sketches(rows))
+    spans = materialize(sketches.statistics(sketches.merged(months, "1993-01", "1996-12")))
+    found = spans.select("series_id", "variable", F.posexplode("quantiles").alias("_i", "_q")).withColumn(
+        "point", F.element_at(F.array(*[F.lit(p) for p in sketches.QUARTILES]), F.col("_i") + 1)
+    )
+    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in VARIABLES])
+    values = rows.filter(F.year(DATE).between(1993, 1996)).select("series_id", F.inline(cells))
+    value = F.col("value")
+    ranks = values.join(found, ["series_id", "variable"]).groupBy("series_id", "variable", "point").agg(
+        (F.count_if(value < F.col("_q")) / F.count(value)).alias("_below"), (F.count_if(value <= F.col("_q")) / F.count(value)).alias("_upto")
+    )
+    holds = (F.col("_below") <= F.col("point") + 0.005) & (F.col("_upto") >= F.col("point") - 0.005)
+    checked = ranks.select("series_id", "variable", "point", holds.alias("rank_holds"))
+    return shown(spans.drop("quantiles").join(checked, ["series_id", "variable"]))
+
+
 QUERIES = {
     "daily_panel": daily_panel,
     "csv_round_trip": csv_round_trip,
@@ -714,6 +743,7 @@ QUERIES = {
     "thin_rows": thin_rows,
     "date_range": date_range,
     "merge_sources": merge_sources,
+    "merge_buckets": merge_buckets,
     "align_sources": align_sources,
     "align_accuracy": align_accuracy,
     "summary_statistics": _over_panel(eda.summary_statistics),
@@ -728,6 +758,7 @@ QUERIES = {
     "month_profile": _over_panel(eda.month_profile),
     "season_card": _over_panel(eda.season_card),
     "month_means": _over_panel(eda.month_means),
+    "sketch_quantiles": sketch_quantiles,
     "box_statistics": _over_table(eda.box_statistics),
     "range_card": _over_panel(eda.range_card),
     "analysis_span": _over_panel(eda.analysis_span),
