@@ -7,8 +7,8 @@ series and tree; there each tree is one array of at most ``sample`` rows, of whi
 aggregate grows a whole level. A split compares a value with a cut between the node's smallest and
 largest one, so it is the same whatever the variables' scales, and nothing is scaled.
 
-The nodes of a series meet its days once, as arrays, and are walked by an expression; no node is
-copied to a day or to a block of days. On request one pooled forest serves all series; its at most
+The nodes of a series meet its days as arrays of at most ``DAYS_TOGETHER`` days, which few series exceed, and
+are walked by an expression; no node is copied to a day. On request one pooled forest serves all series; its at most
 ``trees * (2 * sample - 1)`` nodes go to all tasks.
 """
 
@@ -31,6 +31,8 @@ LEAST_ROWS = 10
 PRIME = (1 << 31) - 1
 DIGITS, FRACTION = 13, float(1 << 52)
 SCORE = "anomaly_score"
+#: Calendar days of a series that meet its forest as one array: 44 years.
+DAYS_TOGETHER = 1 << 14
 
 
 def average_path(n: Column) -> Column:
@@ -215,8 +217,10 @@ def scores(
 
     if pooled:  # one row of bounded size
         return rows.join(F.broadcast(grown_trees), by).select(*keys, DATE, scored(F.array(*values)))
-    # the days of a series and its nodes meet once, as arrays: no node is copied to a day
-    days = spread(rows, *keys).groupBy(*keys).agg(F.collect_list(F.struct(DATE, F.array(*values).alias("x"))).alias("_days"))
+    # days and nodes meet as arrays: no node is copied to a day, and a series of any length is no single array
+    part = F.floor(F.unix_date(DATE) / DAYS_TOGETHER).alias("_part")
+    days = rows.groupBy(*keys, part).agg(F.collect_list(F.struct(DATE, F.array(*values).alias("x"))).alias("_days"))
+    days = spread(days, *keys, "_part")
     met = days.join(grown_trees, list(keys))
     return met.select(*keys, F.inline(F.transform("_days", lambda d: F.struct(d[DATE].alias(DATE), scored(d["x"])))))
 

@@ -78,6 +78,7 @@ def executive_kpis(
     trends = trends.filter(c("variable") == "temperature").select(
         *keys,
         display(F.col("trend_per_decade"), 3).alias("warming_rate_per_decade"),
+        c("trend_per_decade").alias("warming_rate_raw"),
         display(F.col("r_squared"), 4).alias("historical_trend_r_squared"),
         c("p_value").alias("historical_trend_p_value"),
     )
@@ -214,11 +215,12 @@ def dashboard_labels(kpis: DataFrame) -> DataFrame:
 
 
 def insights(kpis: DataFrame) -> DataFrame:
-    """Ordered findings per series."""
+    """Ordered findings per series; texts show the rounded rate, thresholds read ``warming_rate_raw`` where it is given."""
     c, text = F.col, texts.INSIGHTS
     rate, r2, p = c("warming_rate_per_decade"), c("historical_trend_r_squared"), c("historical_trend_p_value")
+    raw = c("warming_rate_raw") if "warming_rate_raw" in kpis.columns else rate
     sure = F.when(p < 0.05, texts.SIGNIFICANCE[0]).otherwise(texts.SIGNIFICANCE[1])
-    trend = F.when(rate > 0.2, F.format_string(text["strong_trend"], rate, sure, r2, p, p_text(p))).otherwise(
+    trend = F.when(raw > 0.2, F.format_string(text["strong_trend"], rate, sure, r2, p, p_text(p))).otherwise(
         F.format_string(text["trend"], rate, sure, r2, p_text(p))
     )
     ratio, fc = c("trend_consistency_ratio"), c("forecast_trend_per_decade")

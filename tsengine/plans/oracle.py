@@ -99,6 +99,14 @@ Q["table_round_trip"] = chain(PANEL) + out(
     ALL, "year",
 )
 
+Q["parse_variant_payload"] = chain(PANEL) + out(
+    """SELECT series_id, date, 'T2M' AS parameter, temperature AS value, CAST(NULL AS VARCHAR) AS text FROM panel
+ UNION ALL SELECT series_id, date, 'RAIN', precipitation, NULL FROM panel WHERE year(date) % 2 = 0
+ UNION ALL SELECT series_id, date, 'WIND', wind_speed, NULL FROM panel WHERE year(date) % 2 = 0
+ UNION ALL SELECT series_id, date, 'WIND', NULL, CAST(wind_speed AS VARCHAR) || ' m/s' FROM panel WHERE year(date) % 2 = 1
+ UNION ALL SELECT series_id, date, 'RH2M', CASE WHEN day(date) <> 13 THEN humidity END, NULL FROM panel WHERE year(date) % 2 = 1""",
+    "value",
+)
 Q["rename_columns"] = """SELECT o_orderstatus AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS BIGINT) AS orders
  FROM orders GROUP BY ALL"""
 
@@ -836,7 +844,7 @@ _same, _differs = texts.CONSISTENCY
 KPIS = f"""averages AS (SELECT series_id, {disp('avg(temperature)', 2)} AS avg_temperature, {disp('max(temperature)', 2)} AS max_temperature,
  {disp('min(temperature)', 2)} AS min_temperature, {disp('avg(precipitation)', 2)} AS avg_precipitation FROM panel GROUP BY series_id),
 kpi0 AS (SELECT series_id, avg_temperature, max_temperature, min_temperature, avg_precipitation, {disp('h.hist_trend', 3)} AS warming_rate_per_decade,
- {disp('h.hist_r2', 4)} AS historical_trend_r_squared, h.hist_p AS historical_trend_p_value, total_anomaly_days AS anomaly_days, anomaly_percentage,
+ h.hist_trend AS warming_rate_raw, {disp('h.hist_r2', 4)} AS historical_trend_r_squared, h.hist_p AS historical_trend_p_value, total_anomaly_days AS anomaly_days, anomaly_percentage,
  {disp('per_decade', 3)} AS forecast_trend_per_decade, {disp('tr2', 4)} AS forecast_trend_r_squared, tp AS forecast_trend_p_value,
  round(ratio, 3) AS trend_consistency_ratio, {disp('h.hist_trend', 3)} AS historical_trend_per_decade, forecast_class, action AS recommended_action,
  {label('score')} AS forecast_reliability, score AS forecast_reliability_score, {disp('r_squared', 4)} AS model_r_squared, n_folds AS validation_n_folds,
@@ -852,7 +860,7 @@ kpis AS (SELECT *, historical_trend_p_value < 0.05 AS hist_significant,
  ELSE {filled(_differs, disp('trend_consistency_ratio', 2))} END AS fc_consistency_text FROM ({risk('SELECT * FROM kpi0')}))"""
 _KPI = (*_ASSESS, FLAGGED, ANOMALIES, SPAN, HALVES, KPIS)
 KPI_DOUBLES = (
-    "avg_temperature max_temperature min_temperature avg_precipitation warming_rate_per_decade historical_trend_r_squared historical_trend_p_value "
+    "avg_temperature max_temperature min_temperature avg_precipitation warming_rate_per_decade warming_rate_raw historical_trend_r_squared historical_trend_p_value "
     "anomaly_percentage forecast_trend_per_decade forecast_trend_r_squared forecast_trend_p_value trend_consistency_ratio historical_trend_per_decade "
     "forecast_reliability_score model_r_squared validation_avg_rmse validation_avg_mae validation_avg_mape validation_avg_r_squared model_rmse model_mae "
     f"model_mape original_trend_per_decade mid_year first_half_mean second_half_mean {RISK_COLUMNS}"
@@ -894,7 +902,7 @@ _in = texts.INSIGHTS
 _fc, _hist, _ratio = "forecast_trend_per_decade", "historical_trend_per_decade", "trend_consistency_ratio"
 Q["insights"] = chain(*_KPI) + rows_of(
     listed(
-        ("true", f"CASE WHEN {_rate} > 0.2 THEN {filled(_in['strong_trend'], _rate, 'hist_sig_text', _r2, _p, P_TEXT)} "
+        ("true", f"CASE WHEN warming_rate_raw > 0.2 THEN {filled(_in['strong_trend'], _rate, 'hist_sig_text', _r2, _p, P_TEXT)} "
                  f"ELSE {filled(_in['trend'], _rate, 'hist_sig_text', _r2, P_TEXT)} END"),
         ("true", filled(_in["precipitation"], "avg_precipitation")),
         ("true", filled(_in["anomalies"], "anomaly_days", disp("anomaly_percentage", 1))),
@@ -954,6 +962,32 @@ Q["dashboard_labels"] = chain(*_KPI) + f"""SELECT series_id, CASE WHEN {_rate} >
  CASE WHEN avg_temperature >= 30 THEN '30+' WHEN avg_temperature >= 25 THEN '25-30' WHEN avg_temperature >= 20 THEN '20-25' ELSE '<20' END AS temperature_band,
  CASE WHEN anomaly_percentage > 5 THEN 'up' ELSE 'stable' END AS anomaly_direction FROM kpis"""
 
+# -- exported feeds -----------------------------------------------------------------------
+
+_SPANNED = f"""spanned AS (SELECT series_id, count(*) AS data_points, min(date) AS start, max(date) AS "end", {disp('avg(temperature)', 2)} AS avg_temp,
+ {disp('sum(precipitation)', 2)} AS total_precip, count(*) FILTER (anomaly_zscore) AS days FROM flagged GROUP BY series_id)"""
+Q["feed_dashboard_metrics"] = chain(*_KPI, _SPANNED) + out(
+    'SELECT k.*, data_points, start, "end" FROM kpis k JOIN spanned USING (series_id)', KPI_DOUBLES, KPI_INTEGERS + " data_points"
+)
+Q["feed_regional_map"] = chain(*_KPI, _SPANNED) + out(
+    """SELECT series_id, s.avg_temp, s.total_precip, s.days AS anomaly_days, risk_category,
+ 'Line ' || series_id AS name, length(series_id) * 1.5e0 AS lat, -length(series_id) * 2.5e0 AS lon FROM spanned s JOIN kpis USING (series_id)""",
+    "avg_temp total_precip lat lon", "anomaly_days",
+)
+Q["feed_refresh"] = chain(PANEL) + out(
+    f"""SELECT series_id, date, {', '.join(CORE)} FROM (SELECT * REPLACE (temperature + CASE WHEN series_id = 'RF' THEN 1 ELSE 0 END AS temperature)
+ FROM panel)""",
+    " ".join(CORE),
+)
+Q["feed_forecast"] = chain(*_ASSESS) + out(
+    f"""SELECT series_id, forecast_class, array_to_string(why, ' | ') AS classification_reasons, action AS recommended_action,
+ score AS reliability_score, {label('score')} AS reliability_label, per_decade AS trend_per_decade, tr2 AS trend_r_squared,
+ round(ratio, 3) AS consistency_ratio, date, forecast, forecast_upper, forecast_lower FROM assessed JOIN (SELECT series_id, date,
+ {', '.join(f'{disp(b, 2)} AS {b}' for b in BOUNDS.split())}, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i
+ FROM bounds_rows) USING (series_id) WHERE i % 3 = 0""",
+    f"reliability_score trend_per_decade trend_r_squared consistency_ratio {BOUNDS}",
+)
+
 # -- smoothing with fixed parameters ------------------------------------------------------
 
 _a, _b, _c, _f = "0.3e0", "0.05e0", "0.2e0", "0.98e0"

@@ -144,6 +144,34 @@ def write_feeds(tables: dict[str, DataFrame], folder: str) -> None:
         files.write_json(table, f"{folder.rstrip('/')}/{name}")
 
 
+def changed_series(before: DataFrame, after: DataFrame, keys=SERIES) -> DataFrame:
+    """Series of ``after`` that ``before`` lacks or has with other rows, in whatever order.
+
+    A series is told by its row count and the sums of two hashes of its rows, in one aggregate per panel.
+    """
+    columns = sorted(c for c in after.columns if c not in keys)
+    if columns != sorted(c for c in before.columns if c not in keys):
+        return after.select(*keys).distinct()
+
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        # sums as decimals, which do not overflow
+        hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")) for seed in (1, 2)]
+        return df.groupBy(*keys).agg(F.struct(F.count("*"), *hashes).alias(name))
+
+    both = marks(after, "_after").join(marks(before, "_before"), list(keys), "left")
+    return both.filter(~F.col("_after").eqNullSafe(F.col("_before"))).select(*keys)
+
+
+def refresh_feeds(tables: dict[str, DataFrame], folder: str, changed: DataFrame | None = None, keys=SERIES) -> None:
+    """Write the feeds in a folder per series; with ``changed``, those of its series only, and no other file is touched.
+
+    A changed series keeps its former documents in a feed that has no rows for it any more.
+    """
+    for name, table in tables.items():
+        rows = table if changed is None else table.join(changed, list(keys), "left_semi")
+        files.replace_parts(rows, f"{folder.rstrip('/')}/{name}", keys)
+
+
 def run(
     panel: DataFrame, settings: Settings = DEFAULTS, stations: DataFrame | None = None, keys=SERIES, fixed: dict | None = None
 ) -> dict:

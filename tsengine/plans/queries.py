@@ -94,6 +94,19 @@ def parse_array_payload(spark, folder):
     return shown(payloads.parse_array_payload(documents, keys=keys).drop("payload_year"))
 
 
+def parse_variant_payload(spark, folder):
+    """Documents whose parameters, and the types of their readings, differ by year."""
+    rows, keys = panel(spark, folder), (*SERIES, "payload_year")
+    odd = F.year(DATE) % 2 == 1
+    wordy = rows.filter(odd).withColumns(
+        {"wind_speed": F.concat(F.col("wind_speed").cast("string"), F.lit(" m/s")), "humidity": F.when(F.dayofmonth(DATE) == 13, -999.0).otherwise(F.col("humidity"))}
+    )
+    documents = payloads.map_payloads(
+        rows.filter(~odd), columns={"T2M": "temperature", "RAIN": "precipitation", "WIND": "wind_speed"}, one_type=False
+    ).unionByName(payloads.map_payloads(wordy, columns={"T2M": "temperature", "RH2M": "humidity", "WIND": "wind_speed"}, one_type=False))
+    return shown(payloads.parse_variant_payload(documents, keys=keys, sentinels=(-999.0,)).drop("payload_year"))
+
+
 def rename_columns(spark, folder):
     """Status counts of orders under canonical names."""
     rows = tables.table(spark, folder, "orders").select("o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"))
@@ -547,6 +560,50 @@ def executive_kpis(spark, folder):
     return shown(_simple(kpi_rows(spark, folder)))
 
 
+def exported(spark, folder) -> dict[str, DataFrame]:
+    """The feeds, from the statistical flags and the seasonal-naive forecast."""
+    rows = panel(spark, folder)
+    flagged = anomaly.combine_flags(anomaly.zscore_flags(rows))
+    assessed_rows = materialize(assessed(spark, folder))
+    summary = pipeline.executive_summary(rows, anomaly.anomaly_summary(flagged), assessed_rows)
+    ahead = forecast.with_interval(*seasonal_forecast(materialize(evaluate.readings(rows))))
+    size = F.length("series_id")
+    stations = rows.select("series_id").distinct().withColumns(
+        {"name": F.concat(F.lit("Line "), F.col("series_id")), "lat": size * 1.5, "lon": -size * 2.5}
+    )
+    return pipeline.feeds(flagged, summary, ahead, assessed_rows, stations)
+
+
+def feed_dashboard_metrics(spark, folder):
+    rows = exported(spark, folder)["dashboard_metrics"]
+    return shown(_simple(rows.withColumns({"start": F.col("date_range.start"), "end": F.col("date_range.end")})))
+
+
+def feed_regional_map(spark, folder):
+    return shown(exported(spark, folder)["regional_map"])
+
+
+def feed_forecast(spark, folder):
+    """The forecast documents with their metadata, a row per exported day."""
+    rows = exported(spark, folder)["forecast"].select("series_id", "metadata.*", F.inline("data"))
+    return shown(rows.withColumn("classification_reasons", _joined("classification_reasons")))
+
+
+def feed_refresh(spark, folder):
+    """The daily feed after a second run in which one series had changed and only its files were rewritten."""
+    before = panel(spark, folder)
+    hotter = F.when(F.col("series_id") == "RF", F.col("temperature") + 1).otherwise(F.col("temperature"))
+    after = before.withColumn("temperature", hotter)
+    path = scratch_path(spark)
+
+    def feed(rows: DataFrame) -> dict[str, DataFrame]:
+        return {"daily": rows.select("series_id", DATE, *CORE_VARIABLES)}
+
+    pipeline.refresh_feeds(feed(before), path)
+    pipeline.refresh_feeds(feed(after), path, pipeline.changed_series(before, after))
+    return shown(files.read_parts(spark, f"{path}/daily", feed(after)["daily"].schema))
+
+
 def risk_score(spark, folder):
     rows = panel(spark, folder)
     flagged = anomaly.anomaly_summary(anomaly.combine_flags(anomaly.zscore_flags(rows)))
@@ -711,6 +768,7 @@ QUERIES = {
     "table_round_trip": table_round_trip,
     "parse_map_payload": parse_map_payload,
     "parse_array_payload": parse_array_payload,
+    "parse_variant_payload": parse_variant_payload,
     "rename_columns": rename_columns,
     "convert_types": convert_types,
     "rejected_rows": rejected_rows,
@@ -796,6 +854,10 @@ QUERIES = {
     "forecast_class": forecast_class,
     "risk_score": risk_score,
     "executive_kpis": executive_kpis,
+    "feed_dashboard_metrics": feed_dashboard_metrics,
+    "feed_regional_map": feed_regional_map,
+    "feed_forecast": feed_forecast,
+    "feed_refresh": feed_refresh,
     "interpretations": interpretations,
     "insights": insights,
     "recommendations": recommendations,

@@ -54,6 +54,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replace_parts(df: DataFrame, path: str, by=SERIES) -> None:
+    """JSON documents in one folder for each value of ``by``; folders of values that ``df`` lacks stay as they are."""
+    parted = df.withColumns({f"_part_{c}": F.col(c) for c in by})
+    names = [f"_part_{c}" for c in by]
+    (
+        parted.repartition(*names)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*names)
+        .json(path)
+    )
+
+
+def read_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Documents of all folders; the columns that name the folders are also in the documents."""
+    return spark.read.schema(schema).json(path).select(*schema.names)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

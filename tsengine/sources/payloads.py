@@ -96,19 +96,54 @@ def parse_array_payload(
     )
 
 
+def parse_variant_payload(
+    df: DataFrame, payload: str = "payload", keys=SERIES, path: str = "$.properties.parameter", sentinels=()
+) -> DataFrame:
+    """Readings of whatever parameters a document has, in long form: ``date``, ``parameter``, ``value``, ``text``.
+
+    ``path`` leads to an object parameter -> (day -> reading). Documents need no common schema: parameters
+    may differ, and readings may be of mixed types. Numbers, also as text, are the ``value``; other text is the
+    ``text``; nulls and ``sentinels`` have neither. Days are yyyyMMdd or yyyy-MM-dd, other names null. A document
+    that is no JSON or has nothing at the path has no rows. Keys must not be named pos, key or value.
+    """
+    tvf = df.sparkSession.tvf
+    documents = df.select(*keys, F.try_variant_get(F.try_parse_json(payload), path, "variant").alias("_parameters"))
+    named = documents.lateralJoin(tvf.variant_explode(F.col("_parameters").outer()))
+    named = named.select(*keys, F.col("key").alias("parameter"), F.col("value").alias("_days"))
+    days = named.lateralJoin(tvf.variant_explode(F.col("_days").outer()))
+    day = F.coalesce(F.try_to_timestamp("key", F.lit("yyyyMMdd")), F.try_to_timestamp("key", F.lit("yyyy-MM-dd")))
+    found = days.select(
+        *keys,
+        day.cast("date").alias(DATE),
+        "parameter",
+        F.try_variant_get("value", "$", "double").alias("_number"),
+        F.try_variant_get("value", "$", "string").alias("_text"),
+    )
+    text = F.when(F.col("_number").isNull(), F.col("_text"))
+    return found.select(*keys, DATE, "parameter", _clean(F.col("_number"), sentinels).alias("value"), text.alias("text"))
+
+
 def canonical_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Source column names to canonical ones; columns outside the map keep their names."""
     return df.withColumnsRenamed(columns)
 
 
-def map_payloads(panel: DataFrame, keys=SERIES, columns: dict[str, str] = MAP_PAYLOAD_COLUMNS) -> DataFrame:
-    """Daily rows to map payload documents, one per key and calendar year."""
+def map_payloads(
+    panel: DataFrame, keys=SERIES, columns: dict[str, str] = MAP_PAYLOAD_COLUMNS, one_type: bool = True
+) -> DataFrame:
+    """Daily rows to map payload documents, one per key and calendar year.
+
+    Columns of different types need ``one_type=False``: parameters are then fields and not map entries.
+    """
 
     def days(name: str) -> Column:
         pair = F.struct(F.date_format(DATE, "yyyyMMdd").alias("d"), F.col(name).alias("v"))
         return F.map_from_entries(F.sort_array(F.collect_list(pair)))
 
-    parameters = F.create_map(*[c for source, name in columns.items() for c in (F.lit(source), days(name))])
+    if one_type:
+        parameters = F.create_map(*[c for source, name in columns.items() for c in (F.lit(source), days(name))])
+    else:
+        parameters = F.struct(*[days(name).alias(source) for source, name in columns.items()])
     document = F.to_json(F.struct(F.struct(parameters.alias("parameter")).alias("properties")))
     return panel.groupBy(*keys, F.year(DATE).alias("payload_year")).agg(document.alias("payload"))
 
