@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsengine.session import materialize
+
 #: Rows and bytes of one Arrow batch to a Python worker. Texts may be long, so both bound it.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -19,21 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, the warehouse, which is shared too."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Write the rows once as Parquet in the shared folder and read them back.
+    """Write the rows once as Parquet in the folder of ``spark.checkpoint.dir`` and read them back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation, and every branch
-    sees the same rows.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation, and every branch sees the same
+    rows. Where the setting is unset, the warehouse serves in local mode, and any other mode raises.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df)
 
 
 def name(column: str) -> Column:
