@@ -11,7 +11,7 @@ import os
 import time
 
 from tsengine.plans.queries import QUERIES
-from tsengine.session import local_session
+from tsengine.session import clear_scratch, local_session
 
 HEADLINE = (
     "daily_panel",
@@ -54,6 +54,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     total = round(sum(seconds.values()), 3)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))

@@ -88,17 +88,28 @@ def beta_fraction(a: Column, b: Column, x: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["h"])
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def student_t_two_sided(t: Column, dof: Column) -> Column:
     """P(|T| > |t|) of Student's t as a regularised incomplete beta function; null without degrees of freedom."""
-    a, b = dof / 2, F.lit(0.5)
-    x = dof / (dof + t * t)
-    rest = t * t / (dof + t * t)  # 1 - x without cancellation
-    front = F.exp(a * F.log(x) + b * F.log(rest) + log_half_step(a) - math.log(math.pi) / 2)
-    direct = front * beta_fraction(a, b, x) / a
-    mirrored = 1.0 - front * beta_fraction(b, a, rest) / b
-    p = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
-    inside = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-    return F.when(t.isNotNull() & (dof > 0), F.when((t == float("inf")) | (t == float("-inf")) | (x <= 0), 0.0).when(rest <= 0, 1.0).otherwise(inside))
+
+    def given(v: Column) -> Column:
+        square = v["t"] * v["t"]
+        own = F.struct((v["dof"] / 2).alias("a"), (v["dof"] / (v["dof"] + square)).alias("x"), (square / (v["dof"] + square)).alias("rest"))
+        endless = (v["t"] == float("inf")) | (v["t"] == float("-inf"))
+        return F.when(v["t"].isNotNull() & (v["dof"] > 0), F.when(endless, 0.0).otherwise(_once(own, tail)))
+
+    def tail(v: Column) -> Column:
+        a, b, x, rest = v["a"], F.lit(0.5), v["x"], v["rest"]  # rest is 1 - x without cancellation
+        front = F.exp(a * F.log(x) + b * F.log(rest) + log_half_step(a) - math.log(math.pi) / 2)
+        low = x < (a + 1) / (a + b + 2)
+        p = F.when(low, front * beta_fraction(a, b, x) / a).otherwise(1.0 - front * beta_fraction(b, a, rest) / b)
+        return F.when(x <= 0, 0.0).when(rest <= 0, 1.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+    return _once(F.struct(t.alias("t"), dof.alias("dof")), given)
 
 
 def trend_p_value(n: Column, slope: Column, std_err: Column, r_squared: Column) -> Column:
@@ -109,7 +120,7 @@ def trend_p_value(n: Column, slope: Column, std_err: Column, r_squared: Column)
     dof = (n - 2).cast("double")
     t = F.try_divide(slope, std_err)
     t = F.when(t.isNull() & (slope != 0) & (r_squared > 0), F.lit(float("inf"))).otherwise(t)
-    p = nan_free(student_t_two_sided(t, dof))
+    p = F.nanvl(student_t_two_sided(t, dof), F.lit(None).cast("double"))
     flat = F.when(slope == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return F.when(n < 2, F.lit(1.0)).when(n == 2, flat).otherwise(F.coalesce(p, F.lit(1.0)))
 
