@@ -232,6 +232,30 @@ def test_tokens_equal_the_library(counter):
     assert counter.count([long], limit=100, chunk=64, overlap=2) == [len(counter.tokenizer.encode(long, add_special_tokens=False).ids)]
 
 
+def test_splices_equal_the_library_without_spaces(counter):
+    rng = random.Random(5)
+    kinds = ["的一是不了人我在有他这为之大来，。！？", "abcdefghijklmnop", "abc123+/", "a'st", "='s ", "aA é\n\t ", "ab\u0301\u200d😀🏽", "'lrevstd "]
+    for _ in range(1500):
+        letters = rng.choice(kinds) if rng.random() < 0.6 else "".join(rng.sample(kinds, 3))
+        parts = [rng.choice(letters) for _ in range(rng.randint(1, 300))]
+        if rng.random() < 0.3:
+            for _ in range(3):
+                parts.insert(rng.randrange(len(parts) + 1), "<|endoftext|>")
+        text = "".join(parts)
+        assert counter.spliced(text, rng.choice([16, 32, 64]), rng.choice([1, 2, 4, 8])) == counter.encode([text])[0]
+
+
+@pytest.mark.parametrize("letters", ["的一是不了人我在有他这为之大来以个中上们", "abcdefghijklmnopqrstuvwxyz0123456789+/", "a"])
+def test_work_on_texts_without_spaces_is_linear(counter, monkeypatch, letters):
+    rng = random.Random(6)
+    text = "".join(rng.choice(letters) for _ in range(200_000))
+    want, read = counter.encode([text])[0], []
+    plain = counter.tokens
+    monkeypatch.setattr(counter, "tokens", lambda t, b, e: read.append(e - b) or plain(t, b, e))
+    assert counter.spliced(text, 4096, 64) == want
+    assert sum(read) <= 8 * len(text)
+
+
 def test_token_column_on_odd_rows(odd, none, counter):
     import public_tokenizers
 

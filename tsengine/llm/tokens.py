@@ -1,18 +1,28 @@
 """Token counts of whole texts with a byte-level BPE vocabulary.
 
-A huge text is encoded in overlapping chunks with offsets. In an overlap both encodings must have
-a token boundary at a place that is proven stable: before a space that follows a character other
-than white space. The vocabulary's pattern never joins such a pair, and what stands on either side
-of the place cannot change the tokens of the other. The tokens before the place are counted in the
-one chunk and the tokens after it in the next. Where an overlap has no such place it is widened,
-up to the whole chunk, which is then encoded as one with the next.
+A huge text is encoded in overlapping chunks with offsets, and the chunks are spliced where both
+encodings of an overlap agree at a place that is proven stable:
 
-The same proof allows a text below the limit to be counted by its segments between stable places:
-the library encodes every distinct segment once, and a bounded table keeps the counts.
+* before white space that follows another character. The vocabulary's pattern never joins such a
+  pair, and what stands on either side cannot change the tokens of the other;
+* behind a token without white space that both encodings hold at the same offsets, outside
+  contractions. Any piece of the pattern that holds it goes on to the end of its run of letters,
+  digits or other characters, whatever came before, and a token sequence is the encoding of such a
+  run exactly if each pair of neighbours is. The pair on either side of the place is a pair of one
+  of the two encodings, so the tokens of the one up to the place and of the other from there on are
+  the encoding of the whole.
+
+Neither place lies inside the text of an added token. Where an overlap has no such place it is
+widened, up to the whole chunk; then the chunk doubles, so that even a text without any stable
+place costs a bounded multiple of one encoding.
+
+The first proof allows a text below the limit to be counted by its segments between spaces: the
+library encodes every distinct segment once, and a bounded table keeps the counts.
 
 Defined results: a null or empty text has no tokens; the text of a special token inside a text is
 that token, as the library has it by default; texts of any length count in full, with memory for
-one chunk unless a text has no stable place. Input columns named like an output give way to it.
+one chunk unless a text has no stable place (a run of one repeated character can be such a text).
+Input columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -21,6 +31,7 @@ import functools
 import json
 import os
 import re
+from bisect import bisect_left
 from itertools import chain
 
 import pyarrow as pa
@@ -57,6 +68,13 @@ class Counter:
             and not before.get("add_prefix_space", True)
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
         )
+        model = spec["model"]
+        # the second kind of place is proven for plain merges by rank
+        self.plain = model.get("type") == "BPE" and not any(
+            model.get(k)
+            for k in ("dropout", "ignore_merges", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+        )
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.kept: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> list[int]:
@@ -89,40 +107,63 @@ class Counter:
     def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a huge text from overlapping chunks."""
         total, begin, end = 0, 0, min(chunk, len(text))
-        starts, ends = self.offsets(text, begin, end)
-        done = begin  # tokens that start before it are counted
+        left, done = self.tokens(text, begin, end), 0  # tokens of the chunk before ``done`` are counted
+        place = begin
         while end < len(text):
             width = overlap
             while True:
-                low = max(end - width, done)
-                last = min(end + chunk, len(text))
-                more, more_ends = self.offsets(text, low, last)
-                place = common_boundary(text, max(low, done) + 1, end, (starts, ends), (more, more_ends))
-                if place is not None:
-                    total += sum(done <= s < place for s in starts)
-                    starts, ends, done, end = more, more_ends, place, last
+                low = max(end - width, begin)
+                last = min(end + max(chunk, end - begin), len(text))
+                right = self.tokens(text, low, last)
+                found = self.common_place(text, max(low, place) + 1, end, left, right)
+                if found:
+                    place, until, after = found
+                    total += until - done
+                    begin, end, left, done = low, last, right, after
                     break
-                if low == done:  # the overlap is the whole chunk: both become one
+                if low == begin:  # the overlap is the whole chunk: both become one
                     end = last
-                    starts, ends = self.offsets(text, done, end)
+                    left = self.tokens(text, begin, end)
                     break
-                width *= 4
-        return total + sum(s >= done for s in starts)
-
-    def offsets(self, text: str, begin: int, end: int) -> tuple[list[int], set[int]]:
-        """Where the tokens of a part of the text start (in order) and end."""
-        pairs = self.tokenizer.encode(text[begin:end], add_special_tokens=False).offsets
-        return [begin + s for s, _ in pairs], {begin + e for _, e in pairs}
-
-
-def common_boundary(text: str, low: int, high: int, left: tuple, right: tuple) -> int | None:
-    """The last stable place in [low, high) where both encodings end one token and start another."""
-    starts = set(left[0]) & set(right[0])
-    ends = left[1] & right[1]
-    for place in range(high - 1, low - 1, -1):
-        if text[place] == " " and not text[place - 1].isspace() and place in starts and place in ends:
-            return place
-    return None
+                width *= 16
+        return total + len(left[0]) - done
+
+    def tokens(self, text: str, begin: int, end: int) -> tuple[list[int], list[int], list[int]]:
+        """Ids, starts and ends of the tokens of a part of the text."""
+        found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
+        return found.ids, [begin + s for s, _ in found.offsets], [begin + e for _, e in found.offsets]
+
+    def common_place(self, text: str, low: int, high: int, left: tuple, right: tuple) -> tuple[int, int, int] | None:
+        """The last stable place in [low, high] that both encodings share, and how many of their tokens lie before it."""
+        ids, starts, ends = right
+        for j in range(bisect_left(starts, high) - 1, -1, -1):
+            s, e = starts[j], ends[j]
+            if s < low - 1:
+                return None
+            i = bisect_left(left[1], s)
+            if not (i < len(left[0]) and left[1][i] == s and clean(right, j) and clean(left, i)):
+                continue
+            if low <= s and text[s] in " \t\n\r" and not text[s - 1].isspace() and not self.inside(text, s):
+                return s, i, j
+            same = left[0][i] == ids[j] and left[2][i] == e and clean(right, j + 1) and clean(left, i + 1)
+            if self.plain and same and low <= e <= high and own_run(text, s, e) and not self.inside(text, e):
+                return e, i + 1, j + 1
+        return None
+
+    def inside(self, text: str, place: int) -> bool:
+        """Whether the text of an added token stands across the place."""
+        return any(t in text[max(place - len(t) + 1, 0) : place + len(t) - 1] for t in self.added)
+
+
+def clean(tokens: tuple, i: int) -> bool:
+    """Whether a token boundary before token ``i`` is a boundary of characters, too."""
+    _, starts, ends = tokens
+    return i == 0 or i == len(starts) or (ends[i - 1] <= starts[i])
+
+
+def own_run(text: str, start: int, end: int) -> bool:
+    """No white space in the token and no contraction that could hold it."""
+    return not any(map(str.isspace, text[start:end])) and "'" not in text[max(start - 2, 0) : end]
 
 
 @functools.cache
