@@ -1,22 +1,27 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns give the base spans. The tagger is trained in numpy on windows of a bounded sample of
-the same texts, labelled with their base spans. Windows of ``WINDOW`` characters at every
-``STRIDE`` tile the whole text; those with no digit and no ``@`` cannot hold any of the four kinds
-and are all outside. Every other window is decoded by Viterbi. Windows overlap by half and are
-reconciled over the whole text: a character takes its tag from the window in which it is most
-central, and spans are read from the joined tags, so none is cut at a window's edge. Spans of the
-tagger that overlap no base span are added to them.
+the same texts: windows labelled with their base spans, windows without any, and windows into which
+forms that the patterns miss were put (``forms``: spelled or spaced addresses, IPv6, numbers
+grouped or failing their check, phone numbers without a plus sign, account numbers, and access
+keys, the fifth kind) or harmless look-alikes (dates, prices, versions, identifiers of files).
+Windows of ``WINDOW`` characters at every ``STRIDE`` tile the whole text; a form without a digit,
+an ``@`` and a spelled ``dot`` is none of the kinds, so windows without all three are outside.
+Every other window is decoded by Viterbi. Windows overlap by half and are reconciled over the whole
+text: a character takes its tag from the window in which it is most central, and spans are read
+from the joined tags, so none is cut at a window's edge. Spans of the tagger that overlap no base
+span are added to them.
 
 Defined results: offsets are code points, end exclusive; a null or empty text has no spans; texts
-of any length are searched whole; equal texts have equal spans. Where the sample has no span the
-result is the base alone. Input columns named like an output give way to it.
+of any length are searched whole; equal texts have equal spans. Where no text of the sample has
+words the result is the base alone. Input columns named like an output give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -27,11 +32,16 @@ from pyspark.sql import types as T
 
 from tsengine.llm.common import crc_of_id, map_texts, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the patterns; and of the tagger, which knows access keys, too.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "key")
 WINDOW, STRIDE = 96, 48
 HIDDEN = 16
-#: Documented bounds of the training sample: documents read, windows trained on.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 2400
+#: The training sample: documents read (about; an id brings all its rows), windows trained on as they
+#: are and windows with a form put in (both bounds).
+SAMPLE_DOCS, SAMPLE_WINDOWS, FORM_WINDOWS = 4000, 2000, 3000
+#: Windows that the fit passes over, repeats included.
+PASSED = 45_000
 #: An added span has at least so many characters.
 LEAST = 7
 
@@ -85,23 +95,35 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-# Classes of characters: what the tagger sees. 0 pads.
-_SINGLE = " .@-+()_%\n"
-CLASSES = 6 + len(_SINGLE)
-_CLASS = np.full(128, 4, np.int64)
-_CLASS[[ord(c) for c in "0123456789"]] = 1
-_CLASS[97:123], _CLASS[65:91] = 2, 3
-_CLASS[[ord(c) for c in _SINGLE]] = np.arange(6, 6 + len(_SINGLE))
+# Classes of characters: what the tagger sees. 0 pads, 1 digits, 2 other ASCII, 3 beyond ASCII, 4 and 5 lower
+# and upper letters, 6 letters of hexadecimal digits, then the letters of "at" and "dot", then signs.
+_SPELLED, _SIGNS = "adot", " .@-+()_%\n:[]\"=/#,"
+CLASSES = 7 + len(_SPELLED) + len(_SIGNS)
+_CLASS = np.full(128, 2, np.int64)
+_CLASS[48:58], _CLASS[97:123], _CLASS[65:91] = 1, 4, 5
+_CLASS[[ord(c) for c in "bcefBCEF"]] = 6
+for _case in (_SPELLED, _SPELLED.upper()):
+    _CLASS[[ord(c) for c in _case]] = np.arange(7, 7 + len(_SPELLED))
+_CLASS[[ord(c) for c in _SIGNS]] = np.arange(7 + len(_SPELLED), CLASSES)
+_D, _O, _T, _AT = (_CLASS[ord(c)] for c in "dot@")
 
 
 def classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, _CLASS[np.minimum(points, 127)], 5)
+    return np.where(points < 128, _CLASS[np.minimum(points, 127)], 3)
+
+
+def signs(seen: np.ndarray) -> np.ndarray:
+    """Places of digits, of ``@``, and of the word ``dot``."""
+    letter = np.concatenate([[False], (seen >= 3) & (seen < 7 + len(_SPELLED)), [False]])
+    at = np.flatnonzero((seen[:-2] == _D) & (seen[1:-1] == _O) & (seen[2:] == _T))
+    at = at[~letter[at] & ~letter[at + 4]]
+    return np.union1d(np.flatnonzero((seen == 1) | (seen == _AT)), at)
 
 
 def windows(seen: np.ndarray) -> np.ndarray:
-    """Numbers of the windows that hold a digit or an ``@``."""
-    place = np.flatnonzero((seen == 1) | (seen == _CLASS[64]))
+    """Numbers of the windows that hold a digit, an ``@`` or a spelled dot."""
+    place = signs(seen)
     tiles = np.unique(np.concatenate([place // STRIDE, place // STRIDE - 1]))
     return tiles[tiles >= 0]
 
@@ -242,13 +264,14 @@ class Tagger:
         for d, trace, part in zip("fb", traces, (slice(0, h), slice(h, 2 * h))):
             dx, du = np.zeros_like(self.w["x" + d]), np.zeros_like(self.w["u" + d])
             dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            every = np.arange(CLASSES)[:, None]
             for s, i, f, o, g, before_h, before_c, tc in reversed(trace):
                 dh = dh + dboth[s][:, part]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate(
                     [dc * g * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1
                 )
-                np.add.at(dx, x[:, s], dz)
+                dx += (x[:, s] == every).astype(np.float32) @ dz
                 du += before_h.T @ dz
                 dh, dc = dz @ self.w["u" + d].T, dc * f
             out["x" + d], out["u" + d], out["c" + d] = dx, du, dx.sum(0)
@@ -260,7 +283,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.015, seed: int = 3) -> Tagger:
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.025, seed: int = 3) -> Tagger:
     """Adam with clipped gradients on labelled windows (classes and tags, both (windows, WINDOW))."""
     model, rng = Tagger(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -291,43 +314,183 @@ def tagged(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
     return out
 
 
-def training_windows(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows of a bounded sample: documents by a hash of the id, then windows by hash."""
+def _digits(rng: np.random.Generator, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _word(rng: np.random.Generator, low: int = 2, high: int = 9) -> str:
+    return "".join(chr(97 + int(i)) for i in rng.integers(0, 26, rng.integers(low, high + 1)))
+
+
+def _pick(rng: np.random.Generator, options):
+    return options[int(rng.integers(len(options)))]
+
+
+def _drawn(rng: np.random.Generator, alphabet: str, n: int) -> str:
+    return "".join(alphabet[int(i)] for i in rng.integers(0, len(alphabet), n))
+
+
+def _spelled_email(rng: np.random.Generator) -> str:
+    at, dot = _pick(rng, ((" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" @ ", " . "), (" AT ", " DOT ")))
+    user = _word(rng) + _pick(rng, ("", "." + _word(rng), "_" + _word(rng), _digits(rng, 2)))
+    if "dot" in dot.lower() and rng.random() < 0.3:
+        user = _word(rng) + dot + _word(rng)
+    return user + at + _word(rng, 3) + _pick(rng, ("", dot + _word(rng, 3))) + dot + _pick(rng, ("com", "org", "net", "de", "fr", "es", "info", "co"))
+
+
+def _hidden_ip(rng: np.random.Generator) -> str:
+    if rng.random() < 0.5:
+        groups = [_drawn(rng, "0123456789abcdef", int(rng.integers(1, 5))) for _ in range(8)]
+        if rng.random() < 0.5:
+            at, n = int(rng.integers(1, 4)), int(rng.integers(2, 5))
+            groups[at : at + n] = [""]
+        out = ":".join(groups)
+        return out.upper() if rng.random() < 0.3 else out
+    return _pick(rng, (" . ", "[.]", "(.)", " dot ", "[dot]")).join(str(int(i)) for i in rng.integers(0, 256, 4))
+
+
+def _hidden_card(rng: np.random.Generator) -> str:
+    if rng.random() < 0.3:  # account numbers of banks
+        head = "".join(chr(65 + int(i)) for i in rng.integers(0, 26, 2)) + _digits(rng, 2)
+        rest, gap = _digits(rng, int(rng.integers(12, 21))), _pick(rng, (" ", "", "-"))
+        return gap.join([head, *(rest[i : i + 4] for i in range(0, len(rest), 4))])
+    sep = _pick(rng, ("", " ", "-", ".", "_", "/", "  "))
+    return sep.join(_digits(rng, 4) for _ in range(4)) if rng.random() < 0.8 else sep.join((_digits(rng, 4), _digits(rng, 6), _digits(rng, 5)))
+
+
+def _hidden_phone(rng: np.random.Generator) -> str:
+    a, b, c, sep = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4), _pick(rng, (".", "-", " "))
+    return _pick(
+        rng,
+        (
+            f"({a}) {b}{sep}{c}", f"{a}{sep}{b}{sep}{c}", f"1{sep}{a}{sep}{b}{sep}{c}", f"+{a}/{b}/{c}", f"+{_digits(rng, 2)}.{a}.{b}.{c}",
+            f"00{_digits(rng, 2)} {a} {b}{c}", f"0{a} {b}{c}", f"0{a}/{b}{c}", f"0{_digits(rng, 1)} " + " ".join(_digits(rng, 2) for _ in range(4)),
+        ),
+    )
+
+
+def _key(rng: np.random.Generator) -> str:
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    head = _pick(rng, ("", "", _word(rng, 2, 3) + "_", _word(rng, 2, 3) + "-", _word(rng, 4, 4).upper()))
+    alphabet = _pick(rng, ("0123456789abcdef", "0123456789abcdef", mixed, mixed[:26] + mixed[52:], mixed + "-_+/"))
+    return head + _drawn(rng, alphabet, int(rng.integers(20, 65)))
+
+
+def _harmless(rng: np.random.Generator) -> str:
+    """Digits and signs that are no personal data."""
+    n, word = int(rng.integers(1, 7)), _word(rng)
+    day, month, year = int(rng.integers(1, 29)), int(rng.integers(1, 13)), int(rng.integers(1800, 2100))
+    return _pick(
+        rng,
+        (
+            _digits(rng, n), f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{month}/{day}/{year}", f"{year}-{year + n}",
+            f"{n},{_digits(rng, 3)},{_digits(rng, 3)}", f"${_digits(rng, n)}.{_digits(rng, 2)}", f"{_digits(rng, 2)}%", f"{n}.{month}",
+            f"{n}.{month}.{day}", f"version {n}.{month}", f"{day:02}:{month:02}", f"{day:02}:{month:02}:{n:02}", f"{word}{_digits(rng, n)}",
+            f"{word}_{_digits(rng, n)}.txt", f"#{_digits(rng, n)}", f"({year})", f"[{n}]", f"{n} x {_digits(rng, 3)}", f"{word} @ {word}",
+            f"@{word}", f"the dot on {word}", f"{word} dot {word}", f"{word} at {word}", f"= {_digits(rng, n)}", f"{n}:{month}", f"{n} / {day}",
+            f"ISBN {_digits(rng, 3)}-{n}", f"{_digits(rng, 3)} {_digits(rng, 3)}", f"{_digits(rng, 2)}-{_digits(rng, 3)}", f"{word}: {_digits(rng, 8)}",
+            f"{word} {_digits(rng, n)} {word} {_digits(rng, 2)}", f"= {_digits(rng, 2)} + {_digits(rng, 2)}", f"https://{word}.org/{word}/{n}",
+        ),
+    )
+
+
+_MAKERS = (_spelled_email, _hidden_ip, _hidden_card, _hidden_phone, _key)
+
+
+def forms(rng: np.random.Generator, n: int) -> list[tuple[int, str]]:
+    """(kind, form): what the patterns miss, each kind as often as look-alikes (kind -1, three times as often)."""
+    out: list[tuple[int, str]] = []
+    while len(out) < n:
+        kind = int(rng.integers(0, len(KINDS) + 3))
+        made = _MAKERS[kind](rng) if kind < len(KINDS) else _harmless(rng)
+        found = base_spans(made)
+        if not found:  # a form that the patterns find needs no tagger
+            out.append((kind if kind < len(KINDS) else -1, made))
+    return out
+
+
+def put_in(rng: np.random.Generator, left: str, right: str, kind: int, form: str) -> tuple[str, np.ndarray]:
+    """A window of real text with a form in it or cut by its edge, and its tags."""
+    lead = _pick(rng, (" ", " ", " ", "\n", ": ", " (", ' "', " = ", ', "'))
+    tail = {" (": ")", ' "': '"', ', "': '"'}.get(lead, _pick(rng, ("", "", "", ".", ",", ";"))) + _pick(rng, (" ", " ", "\n"))
+    if rng.random() < 0.05:
+        left, lead = "", ""
+    text = left + lead + form + tail + right
+    begin = len(left) + len(lead)
+    tags = tagged([(begin, kind, begin + len(form))] if kind >= 0 else [], len(text))
+    at = int(rng.integers(max(begin + len(form) // 2 - WINDOW + 1, 0), max(min(begin + len(form) // 2, len(text) - WINDOW), 0) + 1))
+    tags = np.concatenate([tags[at : at + WINDOW], np.zeros(WINDOW, np.int8)])[:WINDOW]
+    return text[at : at + WINDOW], tags
+
+
+def sample_windows(docs: DataFrame, text: str = "text") -> list[list[str]]:
+    """Windows of a bounded sample, each followed by its tags: documents by a hash of the id, then windows by hash.
+
+    Three parts: with base spans, with signs alone, and any (one a document). Windows that may hold
+    what the patterns miss (``doubtful``) are none of them, since nothing says whether they do.
+    """
     total = docs.count()
     step = max(total // SAMPLE_DOCS, 1)
     some = docs.filter(F.pmod(crc_of_id(), F.lit(step)) == 0).select(F.col(text).alias("text"))
-    field = [T.StructField("windows", T.ArrayType(T.StringType()))]
+    kinds = T.ArrayType(T.StringType())
+    fields = [T.StructField(c, kinds) for c in ("held", "signed", "plain")]
 
     def build():
         def work(texts: pa.Array) -> list:
-            out = []
+            out: list[list] = [[], [], []]
             for t in texts.to_pylist():
                 t = t or ""
-                seen = classes(t)
-                tiles = windows(seen)
-                tags = np.concatenate([tagged(base_spans(t), len(t)), np.zeros(WINDOW, np.int8)])
-                rows = cut(seen, tiles)
-                marks = [tags[i * STRIDE : i * STRIDE + WINDOW] for i in tiles.tolist()]
-                out.append([bytes((row + 65).astype(np.uint8)).decode() + bytes((mark + 65).astype(np.uint8)).decode() for row, mark in zip(rows, marks)])
-            return [pa.array(out, pa.list_(pa.string()))]
+                tags, parts = bytes(tagged(base_spans(t), len(t)).view(np.uint8) + 65).decode(), ([], [], [])
+                places = [(0, i * STRIDE) for i in windows(classes(t)).tolist()]
+                if t:
+                    places.append((2, zlib.crc32(t.encode("utf-8", "replace")) % ((len(t) - 1) // STRIDE + 1) * STRIDE))
+                for part, lo in places:
+                    w, marks = t[lo : lo + WINDOW], tags[lo : lo + WINDOW]
+                    if not doubtful(w, marks):
+                        parts[part or int(marks.count("A") == len(marks))].append(w + marks)
+                for column, part in zip(out, parts):
+                    column.append(part)
+            return [pa.array(c, pa.list_(pa.string())) for c in out]
 
         return work
 
-    found = map_texts(some, "text", field, build, keep=[]).select(F.explode("windows").alias("w"))
-    held = F.col("w").rlike(f".{{{WINDOW}}}.*[B-I]")
-    drawn = [found.filter(held if k else ~held).distinct().orderBy(F.md5("w"), "w").limit(SAMPLE_WINDOWS // 2) for k in (0, 1)]
-    rows = [r["w"] for part in drawn for r in part.collect()]
-    if not rows:
-        return np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
-    raw = np.array([np.frombuffer(r.encode(), np.uint8) for r in rows]).astype(np.int64) - 65
-    return raw[:, :WINDOW], raw[:, WINDOW:]
+    found = map_texts(some, "text", fields, build, keep=[])
+    each = found.select(F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array("held", "signed", "plain"))).alias("part", "w"))
+    each = each.select("part", F.explode("w").alias("w")).distinct()
+    bounds = (SAMPLE_WINDOWS // 2, SAMPLE_WINDOWS // 2, FORM_WINDOWS)
+    drawn = [each.filter(F.col("part") == k).orderBy(F.md5("w"), "w").limit(n) for k, n in enumerate(bounds)]
+    return [[r["w"] for r in part.collect()] for part in drawn]
+
+
+_LONG, _MANY = re.compile(r"\S*[0-9]\S*"), re.compile(r"(?:[0-9][^0-9\n]{0,3}){7}")
+
+
+def doubtful(window: str, marks: str) -> bool:
+    """Outside the base spans: long strings with digits, many digits in a row, an ``@`` or a spelled dot."""
+    rest = "".join(c if m == "A" else "x" for c, m in zip(window, marks))
+    return "@" in rest or bool(re.search(r"(?i)\bdot\b", rest)) or any(len(m[0]) >= 12 for m in _LONG.finditer(rest)) or bool(_MANY.search(rest))
+
+
+def training_windows(docs: DataFrame, text: str = "text", seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and tags of the sample as it is, and of its windows with forms put in."""
+    cut_ = [[(r[: len(r) // 2], np.frombuffer(r[len(r) // 2 :].encode(), np.uint8) - 65) for r in part] for part in sample_windows(docs, text)]
+    rng, rows, plain = np.random.default_rng(seed), cut_[0] + cut_[1], [w for w, _ in cut_[2]]
+    context = [w for w in plain if not signs(classes(w)).size] or [w for w in plain if w.strip()]
+    if context:
+        for kind, form in forms(rng, FORM_WINDOWS):
+            rows.append(put_in(rng, _pick(rng, context), _pick(rng, context), kind, form))
+    x, y = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
+    for i, (w, tags) in enumerate(rows):
+        seen = classes(w)
+        x[i, : len(seen)], y[i, : len(tags)] = seen, tags
+    return x, y
 
 
 def train(docs: DataFrame, text: str = "text") -> Tagger | None:
     x, y = training_windows(docs, text)
     if not y.any():
         return None
-    return fit(x, y, epochs=int(np.clip(9000 // len(x), 5, 40)))
+    return fit(x, y, epochs=max(PASSED // len(x), 1))
 
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 768) -> list[list]:
@@ -372,14 +535,15 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 FIELDS = [
-    *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
+    *[T.StructField(f"n_{k}", T.LongType()) for k in BASE],
     T.StructField("base_sha256", T.StringType()),
     T.StructField("spans", T.StringType()),
+    T.StructField("n_spans", T.LongType()),
 ]
 
 
 def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: list[str] | None = None, batch: int = 64) -> DataFrame:
-    """``keep`` (default: all columns), counts and digest of the base spans, and all ``spans``."""
+    """``keep`` (default: all columns), counts and digest of the base spans, and all ``spans`` and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # a fixed number of weights
 
     def build():
@@ -392,10 +556,11 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: list[
                 base = [base_spans(t) for t in some]
                 more = added_spans(model, some, base) if model else [[] for _ in some]
                 for b, m in zip(base, more):
-                    for k in range(len(KINDS)):
+                    for k in range(len(BASE)):
                         columns[k].append(sum(s[1] == k for s in b))
-                    columns[-2].append(hashlib.sha256(joined(b).encode()).hexdigest())
-                    columns[-1].append(joined(sorted(b + m)))
+                    columns[-3].append(hashlib.sha256(joined(b).encode()).hexdigest())
+                    columns[-2].append(joined(sorted(b + m)))
+                    columns[-1].append(len(b) + len(m))
             return columns
 
         return work
