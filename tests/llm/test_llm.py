@@ -210,6 +210,17 @@ def test_mix_keeps_columns_and_repeats_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.decide(none.selectExpr("doc_id", "source", "0L as size")).count() == 0
 
 
+def test_long_conversations(spark):
+    """Many turns, roles that alternate and repeat, over several runs of parts."""
+    rng = random.Random(8)
+    rows = [(1, i, rng.choice(["user", "assistant"]), rng.choice(["a", "", "é𝄞", "<|end|>", "long text"])) for i in range(3 * chat.RUN + 1)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = out.select(chat.turns_of(out["formatted"]).alias("turns"), chat.masked(out["formatted"], out["loss"]).alias("m"), "loss").collect()[0]
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [r[2:] for r in rows]
+    assert got["m"] == "".join(r[3] for r in rows if r[2] == "assistant")
+    assert len(got["loss"]) == sum(r[2] == "assistant" for r in rows)
+
+
 # tokens
 
 

@@ -48,18 +48,64 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blocks(turns: Column) -> Column:
-    """Adjacent turns of one role as one struct of the role and the array of its texts."""
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Adjacent turns of one role as one struct of the role and the array of its texts.
+
+    ``turns`` is a column. Blocks are slices from one change of role to the next, so the work grows with the turns.
+    """
+    opens = F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i))
+
+    def block(starts: Column):
+        return lambda s, j: F.struct(
+            F.get(turns, s)["role"].alias("role"),
+            F.transform(F.slice(turns, s + 1, F.coalesce(F.get(starts, j + 1), F.size(turns)) - s), lambda t: t["text"]).alias("texts"),
+        )
 
-    def add(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        one = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-        longer = F.array(F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts")))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.concat(done, one))
+    return let(F.filter(opens, F.isnotnull), lambda starts: F.transform(starts, block(starts)))
 
-    return F.aggregate(turns, none, add)
+
+#: Parts whose places are summed in one array that grows.
+RUN = 128
+
+
+def loss_spans(parts: Column) -> Column:
+    """Spans of the parts under the loss: places within runs of ``RUN`` parts, moved by the lengths of the runs before."""
+    none = F.array().cast("array<struct<start:int,length:int>>")
+
+    def span(state: Column, part: Column) -> Column:
+        begin = state["at"] + F.length(part["lead"])
+        own = F.array(F.struct(begin.alias("start"), F.length(part["body"]).alias("length")))
+        return F.struct(
+            (begin + F.length(part["body"])).alias("at"),
+            F.when(part["loss"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"),
+        )
+
+    def run(k: Column) -> Column:
+        return F.aggregate(F.slice(parts, k * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), none.alias("spans")), span)
+
+    def begins(runs: Column) -> Column:
+        first = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(
+            runs,
+            first,
+            lambda state, r: F.struct((state["at"] + r["at"]).alias("at"), F.concat(state["all"], F.array(state["at"])).alias("all")),
+            lambda state: state["all"],
+        )
+
+    def moved(runs: Column) -> Column:
+        def by(places: Column) -> Column:
+            shift = lambda k: lambda s: F.struct((s["start"] + F.get(places, k)).alias("start"), s["length"].alias("length"))
+            return F.flatten(F.transform(runs, lambda r, k: F.transform(r["spans"], shift(k))))
+
+        return let(begins(runs), by)
+
+    count = F.floor((F.size(parts) - 1) / RUN).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), count), run), moved)
 
 
 def formatted(found: DataFrame) -> DataFrame:
@@ -75,18 +121,8 @@ def formatted(found: DataFrame) -> DataFrame:
         return F.concat(texts, F.array(F.struct(F.lit(END).alias("lead"), F.lit("").alias("body"), F.lit(False).alias("loss"))))
 
     parts = merged.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("parts"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def span(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["lead"])
-        own = F.array(F.struct(begin.alias("start"), F.length(part["body"]).alias("length")))
-        return F.struct(
-            (begin + F.length(part["body"])).alias("at"),
-            F.when(part["loss"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"),
-        )
-
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"])), "")
-    return parts.select("conv_id", whole.alias("formatted"), F.aggregate("parts", start, span, lambda s: s["spans"]).alias("loss"))
+    return parts.select("conv_id", whole.alias("formatted"), loss_spans(F.col("parts")).alias("loss"))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -110,8 +146,16 @@ def turns_of(text: Column) -> Column:
 
 
 def masked(text: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(text, s["start"], s["length"]))), "")
+    """All text under the loss mask, unescaped, in order. The text is cut once for ``RUN`` spans, then for each span."""
+
+    def cut(some: Column) -> Column:
+        first, last = F.try_element_at(some, F.lit(1))["start"], F.try_element_at(some, F.lit(-1))
+        piece = F.substring(text, first, last["start"] + last["length"] - first)
+        each = lambda p: F.transform(some, lambda s: unescaped(F.substring(p, s["start"] - first + 1, s["length"])))
+        return let(piece, lambda p: F.array_join(each(p), ""))
+
+    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(loss) - 1) / RUN).cast("int"), F.lit(0)))
+    return F.array_join(F.transform(runs, lambda k: let(F.slice(loss, k * RUN + 1, F.lit(RUN)), cut)), "")
 
 
 def sha256(text: Column) -> Column:
