@@ -103,6 +103,68 @@ def test_training_rows_hold_one_text_an_id(spark):
     assert (texts, langs, y.tolist(), shares.tolist()) == (["t10", "u"], ["l10", None], [1, 0], [0.5, 0.5])
 
 
+def test_toxicity_learns_from_every_row_in_full(spark, monkeypatch):
+    """A word that only texts of over 20,000 characters have counts, with several learners, and reruns agree."""
+    rows = []
+    for i in range(240):
+        toxic, long = i % 4 == 0, i % 8 < 2
+        words = [f"w{(i * 7 + k * k) % 97}" for k in range(6000 if long else 40)]
+        if toxic:
+            words[len(words) // 2] = "zzz" if long else "aaa"
+        rows.append((i, " ".join(words), "en" if i % 3 else "de", int(toxic)))
+    assert all((len(r[1]) > 20_000) == (r[0] % 8 < 2) for r in rows)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    new = [(1, "w1 w2 w3 zzz w4"), (2, "w1 w2 w3 aaa w4"), (3, "w1 w2 w3 w5 w4"), (4, "w1 w5")]
+    new = spark.createDataFrame(new, "doc_id long, text string")
+    runs = []
+    monkeypatch.setattr(toxicity, "LEARNER_ROWS", 60)
+    for _ in range(2):
+        model = toxicity.train(docs, known, ~in_fold(1, 1))
+        runs.append({r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()})
+        assert min(runs[-1][1], runs[-1][2]) >= 0.5 > max(runs[-1][3], runs[-1][4])
+    assert runs[0] == runs[1]
+
+
+def test_steps_take_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(owner, i % 2, [i] * rng.choice([0, 1, 5, 30])) for owner in (0, 2, 5) for i in range(rng.choice([40, 100, 160]))]
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 200)
+    for cut in (7, 64, 1000):
+        batches = []
+        for lo in range(0, len(rows), cut):
+            owner, y, words = zip(*rows[lo : lo + cut])
+            kinds = [(owner, pa.int64()), (y, pa.int32()), (words, pa.list_(pa.int32()))]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in kinds], names=["learner", "y", "words"]))
+        got = []
+        for owner, buckets, bounds, y in toxicity._steps(iter(batches)):
+            assert len(y) <= toxicity.STEP_TEXTS and bounds[-1] == len(buckets) <= 200 + 30
+            got += [(owner, label, buckets[a:b, 0].tolist()) for label, a, b in zip(y, bounds[:-1], bounds[1:])]
+        assert got == rows
+
+
+def test_threshold_is_the_best_cut_of_every_language(spark):
+    rng = random.Random(9)
+    rows = [("en", int(rng.random() < s), s) for s in (round(rng.random(), 3) for _ in range(600))]
+    rows += [("de", int(s > 0.3), s) for s in (rng.random() for _ in range(60))] + [("fr", 1, 0.4)] * 20 + [(None, 0, 0.1)]
+    weights = np.array([0.7, 1.9])
+    out = toxicity._thresholds(spark.createDataFrame(rows, "lang string, y int, score double"), weights)
+    assert set(out) == {"en", "de"}
+    for lang, cut in out.items():
+        mine = [(y, s) for x, y, s in rows if x == lang]
+
+        def f1(c):
+            tp, fp = (weights[v] * sum(y == v and s >= c for y, s in mine) for v in (1, 0))
+            return 2 * tp / (tp + fp + weights[1] * sum(y for y, _ in mine))
+
+        known = sorted({s for _, s in mine})
+        cuts = [0.5, *((a + b) / 2 for a, b in zip(known, known[1:]))]
+        top = max(map(f1, cuts))
+        assert cut == min((c for c in cuts if f1(c) >= top - 1e-12), key=lambda c: (abs(c - 0.5), c))
+
+
 def test_convolution_scores_pieces_like_the_whole(monkeypatch):
     texts = ["good words here " * 50 + "awful thing", "good words here " * 60, "", "awful"] * 8
     y = np.array([1, 0, 0, 1] * 8)
