@@ -26,13 +26,13 @@ def _order_index(df: DataFrame, regular: bool, keys) -> tuple[DataFrame, Column,
     return with_position(df, keys), F.col(POS), [POS, ROWS]
 
 
-def impute_linear(df: DataFrame, values=None, regular: bool = False, keys=SERIES) -> DataFrame:
-    """Linear interpolation by row position; both edges take the nearest valid value."""
+def impute_linear(df: DataFrame, values=None, regular: bool = False, keys=SERIES, rows: int | None = None) -> DataFrame:
+    """Linear interpolation by row position; both edges take the nearest valid value. ``rows`` as in ``dealt``."""
     names = list(values) if values is not None else numeric_columns(df, keys)
     order = df.columns
     df, index, extra = _order_index(df, regular, keys)
     df = df.withColumn("_at", index)
-    filled = carried(df, names, F.col("_at"), keys)
+    filled = carried(df, names, F.col("_at"), keys, rows=rows)
 
     def value(v: str) -> Column:
         prev, after = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
@@ -81,22 +81,22 @@ def rolling_stages(spec, window: WindowSpec, strict: bool = False) -> list[dict[
 
 
 def rolling_means(
-    df: DataFrame, spec=None, regular: bool = False, strict: bool = False, keys=SERIES
+    df: DataFrame, spec=None, regular: bool = False, strict: bool = False, keys=SERIES, rows: int | None = None
 ) -> DataFrame:
     """Trailing means over rows, missing values skipped.
 
-    ``spec`` maps a column to its widths; ``strict`` needs a full window of values.
+    ``spec`` maps a column to its widths; ``strict`` needs a full window of values. ``rows`` as in ``dealt``.
     """
     spec = {c: w for c, w in (spec or DEFAULTS.rolling).items() if c in df.columns}
     kept = df.columns
     df, index, extra = _order_index(df, regular, keys)
     widest = max(w for widths in spec.values() for w in widths)
-    out = framed(df, lambda w: rolling_stages(spec, w, strict), before=widest - 1, keys=keys, index=index)
+    out = framed(df, lambda w: rolling_stages(spec, w, strict), before=widest - 1, keys=keys, index=index, rows=rows)
     return out.select(*kept, *[f"{c}_ma{w}" for c, widths in spec.items() for w in widths])
 
 
-def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -> DataFrame:
-    """Lags by row, missing lags back-filled with the next available lagged value."""
+def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES, rows: int | None = None) -> DataFrame:
+    """Lags by row, missing lags back-filled with the next available lagged value. ``rows`` as in ``dealt``."""
     spec = {c: k for c, k in (spec or DEFAULTS.lags).items() if c in df.columns}
     names = list(spec)
     kept = df.columns
@@ -108,7 +108,7 @@ def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -
         *[F.min(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_head_at_{c}") for c in names],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_head_{c}") for c in names],
     )
-    df = carried(placed, names, F.col("_at"), keys)
+    df = carried(placed, names, F.col("_at"), keys, rows=rows)
     widest = max(k for lags in spec.values() for k in lags)
 
     def columns(window):
@@ -121,7 +121,7 @@ def lag_features(df: DataFrame, spec=None, regular: bool = False, keys=SERIES) -
             }
         ]
 
-    lagged = attach(framed(df, columns, before=widest, keys=keys, index=F.col("_at")), edges, keys)
+    lagged = attach(framed(df, columns, before=widest, keys=keys, index=F.col("_at"), rows=rows), edges, keys)
 
     def value(c: str, k: int) -> Column:
         # The valid value at or after the lagged row, as long as its own lag falls inside the series.

@@ -9,6 +9,9 @@ A series is cut into blocks, so a single hot series never has to fit one task:
 * ``carried`` evaluates unbounded frames (forward and backward fill) per block and
   carries the last or first valid value over the block table.
 
+A task sorts all rows of its blocks, wide with what the frames add. Where the caller knows the
+number of rows, ``dealt`` keeps those of a task near ``TASK_ROWS``.
+
 The contract for all of them is one row per series and day; ``one_row_per_day`` enforces it.
 """
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from tsengine.schema import DATE, SERIES
 
 BLOCK_DAYS = 2048
+#: Rows of a task in an ordered step; imputing seven variables holds some 2 KB a row.
+TASK_ROWS = 1 << 17
 BLOCK = "_block"
 POS = "pos"
 ROWS = "_n"
@@ -43,12 +48,19 @@ def date_spine(df: DataFrame, keys=SERIES) -> DataFrame:
     return days.join(one_row_per_day(df, keys), [*keys, DATE], "left").select(*df.columns)
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """Hash the groups over as many tasks as ``rows`` rows need; few or unknown rows are left to the planner."""
+    if rows is None or rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def in_blocks(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.unix_date(DATE) / block_days))
 
 
-def with_position(df: DataFrame, keys=SERIES, block_days: int = BLOCK_DAYS) -> DataFrame:
-    """Add the 0-based rank by date (``pos``) and the series length (``_n``)."""
+def with_position(df: DataFrame, keys=SERIES, block_days: int = BLOCK_DAYS, rows: int | None = None) -> DataFrame:
+    """Add the 0-based rank by date (``pos``) and the series length (``_n``); ``rows`` as in ``dealt``."""
     blocked = in_blocks(df, block_days)
     sizes = blocked.groupBy(*keys, BLOCK).agg(F.count("*").alias("_size"))
     series = Window.partitionBy(*keys)
@@ -61,7 +73,8 @@ def with_position(df: DataFrame, keys=SERIES, block_days: int = BLOCK_DAYS) -> D
     )
     inside = Window.partitionBy(*keys, BLOCK).orderBy(DATE)
     return (
-        blocked.join(starts, [*keys, BLOCK])
+        dealt(blocked, rows, *keys, BLOCK)
+        .join(starts, [*keys, BLOCK])
         .withColumn(POS, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_start", BLOCK)
     )
@@ -80,12 +93,14 @@ def framed(
     keys=SERIES,
     index: Column | None = None,
     block_rows: int = BLOCK_DAYS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` rows back and ``after`` ahead.
 
     ``index`` numbers the rows of a series without gaps: ``pos``, or the day of a gap-free
     panel. One exchange on (series, block); a row near a block edge is copied to the
     neighbours that need it. ``columns`` gives the stages: later ones may use earlier ones.
+    ``rows`` as in ``dealt``.
     """
     index = F.col(POS) if index is None else index
     first = F.floor((F.col("_index") - after) / block_rows)
@@ -97,7 +112,7 @@ def framed(
     else:
         copies = copies.withColumn(BLOCK, home)
     window = Window.partitionBy(*keys, BLOCK).orderBy("_index")
-    out = copies
+    out = dealt(copies, rows, *keys, BLOCK)
     for stage in columns(window):
         out = out.withColumns(dict(stage))
     if before or after:
@@ -111,11 +126,12 @@ def carried(
     index: Column,
     keys=SERIES,
     block_days: int = BLOCK_DAYS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the nearest valid reading on each side of every row, the row itself included.
 
     ``_prev_<v>`` at index ``_prev_at_<v>`` is at or before the row, ``_next_<v>`` at
-    ``_next_at_<v>`` at or after it.
+    ``_next_at_<v>`` at or after it. ``rows`` as in ``dealt``.
     """
     blocked = in_blocks(df, block_days).withColumn("_i", index)
 
@@ -150,4 +166,4 @@ def carried(
                 F.last(reading, ignorenulls=True).over(onward), F.col(f"_after_{part}")
             )
     edges = per_block.select(*keys, BLOCK, *[c.alias(name) for name, c in carry.items()])
-    return blocked.join(edges, [*keys, BLOCK]).withColumns(filled).drop(BLOCK, "_i", *carry)
+    return dealt(blocked, rows, *keys, BLOCK).join(edges, [*keys, BLOCK]).withColumns(filled).drop(BLOCK, "_i", *carry)

@@ -14,11 +14,15 @@ from tsengine.sources import files
 
 
 def preprocess(panel: DataFrame, regular: bool = False, settings: Settings = DEFAULTS, keys=SERIES) -> DataFrame:
-    """Impute, then add calendar, rolling and lag features; an irregular panel is ranked once for all of them."""
-    ranked = panel if regular else with_position(panel, keys)
-    imputed = materialize(features.impute_linear(ranked, regular=regular, keys=keys))
-    rolled = features.rolling_means(features.temporal_features(imputed), settings.rolling, regular, keys=keys)
-    return features.lag_features(rolled, settings.lags, regular, keys=keys).drop(POS, ROWS)
+    """Impute, then add calendar, rolling and lag features; an irregular panel is ranked once for all of them.
+
+    The panel should be a written table: its rows are counted first, for the number of tasks.
+    """
+    rows = panel.count()
+    ranked = panel if regular else with_position(panel, keys, rows=rows)
+    imputed = materialize(features.impute_linear(ranked, regular=regular, keys=keys, rows=rows))
+    rolled = features.rolling_means(features.temporal_features(imputed), settings.rolling, regular, keys=keys, rows=rows)
+    return features.lag_features(rolled, settings.lags, regular, keys=keys, rows=rows).drop(POS, ROWS)
 
 
 def observed_span(df: DataFrame, keys=SERIES) -> DataFrame:
