@@ -114,3 +114,34 @@ def test_fills(series_frame):
     df = series_frame({"a": SHORT})
     assert pandas_of(features.forward_fill(df, ["temperature"]))["temperature"].fillna(-1).tolist() == [-1, -1, 1, 1, 4, 4]
     assert pandas_of(features.backward_fill(df, ["temperature"]))["temperature"].fillna(-1).tolist() == [1, 1, 1, 4, 4, -1]
+
+
+def test_ordered_steps_spread_over_tasks_by_rows(spark, make, monkeypatch):
+    """Imputation holds wide rows in sorts: a task's rows do not grow with the panel, and results stay."""
+    from tsengine.operators import order
+    from tsengine.plans import pipeline
+    from tsengine.session import materialize
+
+    n, rng = 60, np.random.default_rng(4)
+    dates = np.tile(np.arange("2019-01-01", "2019-03-02", dtype="datetime64[D]").astype(object), 64)
+    values = np.where(rng.random(64 * n) < 0.2, np.nan, rng.normal(20, 5, 64 * n))
+    columns = {"series_id": [f"s{i // n}" for i in range(64 * n)], "date": list(dates), "temperature": list(values)}
+    rows = materialize(make(columns, "series_id string, date date, temperature double"))
+    largest = []
+
+    def watched(df):
+        largest.append(max(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()))
+        return materialize(df)
+
+    monkeypatch.setattr(pipeline, "materialize", watched)
+    # a panel this small would be broadcast to the short tables that it is joined to
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = sorted(map(tuple, pipeline.preprocess(rows).collect()), key=repr)
+        monkeypatch.setattr(order, "TASK_ROWS", 256, raising=False)
+        spread = sorted(map(tuple, pipeline.preprocess(rows).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spread == whole and len(whole) == 64 * n
+    assert largest[1] < 64 * n / 4
