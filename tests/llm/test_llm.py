@@ -126,6 +126,39 @@ def test_toxicity_learns_from_every_row_in_full(spark, monkeypatch):
     assert runs[0] == runs[1]
 
 
+def test_second_moments_outlast_the_fixed_point(spark):
+    """Moments that fade over many steps do not turn negative when the learners' weights are averaged."""
+    rng = random.Random(6)
+    rows = [(0, i % 2, [rng.randrange(1 << 31) for _ in range(5)]) for i in range(300 * toxicity.STEP_TEXTS)]
+    learn = spark.createDataFrame(rows, "learner long, y int, words array<int>").coalesce(1)
+    work = toxicity._Descent(toxicity.Model(), np.array([1, 1]))
+    for bias, *rules in zip(work.model.bias, work.conv, work.bias):
+        bias[1:] = -50  # filters that no word reaches, so their moments only fade
+        for r in rules:
+            r.v[...] = np.linspace(0, 1e-9, r.v.size).reshape(r.v.shape)
+    for _ in range(2):
+        toxicity._epoch(learn, work)
+    assert all((r.v >= 0).all() for r in (*work.conv, *work.bias, work.head))
+    assert np.isfinite(work.dense()).all() and np.isfinite(work.model.embed).all()
+
+
+def test_dense_weights_travel_in_fixed_point():
+    model = toxicity.Model()
+    work, other = (toxicity._Descent(model, np.array([3, 1])) for _ in range(2))
+    rules = [*work.conv, *work.bias, work.head]
+    rng = np.random.default_rng(4)
+    for r in rules:
+        r.v[...] = 10.0 ** rng.uniform(-14, -2, r.v.shape)
+        r.m[...] = np.sqrt(r.v) * rng.uniform(-2, 2, r.v.shape)
+        r.t = 100
+    # a learner of 4,096 rows whose every sum is rounded
+    unit = 1 / (toxicity.POINT * 4096)
+    other.set_dense(np.floor(work.dense() / unit) * unit)
+    for a, b in zip(rules, [*other.conv, *other.bias, other.head]):
+        steps = [r.m / (np.sqrt(r.v) + 1e-6) for r in (a, b)]
+        assert (b.v >= 0).all() and np.allclose(*steps, atol=1e-3)
+
+
 def test_steps_take_every_row_once(monkeypatch):
     import pyarrow as pa
 

@@ -168,10 +168,15 @@ class _Descent:
         self.seen = np.zeros(self.touch.shape, bool)
 
     def dense(self) -> np.ndarray:
-        """All that is not kept by bucket, end to end."""
+        """All that is not kept by bucket, end to end.
+
+        Second moments go as their roots. These are as large as the first moments and the steps divide by them, so
+        fixed point is fine enough for both; the moments themselves are so small that rounding turns them negative.
+        """
         model, rules = self.model, [*self.conv, *self.bias, self.head]
         weights = [*model.conv, *model.bias, model.out, np.float32(model.offset)]
-        return np.concatenate([np.ravel(x).astype(np.float64) for x in (*weights, *[x for r in rules for x in (r.m, r.v, r.t)])])
+        moments = [x for r in rules for x in (r.m, np.sqrt(r.v), r.t)]
+        return np.concatenate([np.ravel(x).astype(np.float64) for x in (*weights, *moments)])
 
     def set_dense(self, values: np.ndarray) -> None:
         at = 0
@@ -185,7 +190,7 @@ class _Descent:
         model.conv, model.bias = [take(x) for x in model.conv], [take(x) for x in model.bias]
         model.out, model.offset = take(model.out), np.float32(take(model.offset))
         for r in (*self.conv, *self.bias, self.head):
-            r.m, r.v, r.t = take(r.m), take(r.v), float(take(r.t))
+            r.m, r.v, r.t = take(r.m), np.square(take(r.v)), float(take(r.t))
 
     def step(self, buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> None:
         """One step on whole texts. The gradient of a max reaches only the words where the max was."""
